@@ -97,3 +97,23 @@ FINDING_ROLES = {
     "recommendation": ["URL", "HowToStopThisWarning"],
     "database": ["DatabaseName", "Database"],
 }
+
+# Assessment notes (printf templates), in rule order.
+NOTES = {
+    "columnar": "Already has a columnstore index",
+    "low": "%s%% of columns are highly repetitive (<=1%% distinct) - excellent compression expected",
+    "medium": "%s%% of columns are repetitive (<=10%% distinct) - good compression expected",
+    "unique": "Data is mostly high-cardinality - compression benefit will be modest",
+    "small": "CAUTION: only ~%s potential rowgroups (%s rows) - likely too small to benefit",
+    "scans": "scan-heavy access pattern",
+    "bloat": "NC indexes (%s MB) outweigh base data (%s MB) - big reclaim potential",
+    "write_heavy": "CAUTION: write-heavy - consider nonclustered columnstore instead of clustered",
+    "writes": "write activity is significant - test delta-store behavior",
+    "update_heavy": "CAUTION: UPDATE-dominated writes fragment columnstore quickly",
+    "updates": "noticeable UPDATE share - plan for index maintenance",
+    "pressure": "CAUTION: %s high-cardinality wide string column(s) risk dictionary pressure / trimmed rowgroups",
+    "lob": "%s LOB/unsupported column(s) present - verify columnstore compatibility on your version",
+    "replicated": "NOTE: table is replicated",
+    "tracked": "NOTE: table is CDC-tracked",
+    "latches": "high PAGEIOLATCH waits - IO-bound scans; columnstore compression usually helps here",
+}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablescope.operators import profile as P
 from tablescope.operators import shape as S
+from tablescope.plans.registry import Registry
 from tablescope.plans.tables import SHAPE_SQL, TABLES, VERDICT_SQL, profile_sql
 from tablescope.sources.tables import read_table, read_tables
 
@@ -110,14 +111,6 @@ def top_columns(spark, sf):
     return S.top_columns(full_profile(spark, sf))
 
 
-QUERIES = {
-    f.__name__: f
-    for f in [
-        column_profile, column_eligibility, sampled_profile, case_insensitive_profile, approx_profile,
-        table_shape, compressed_estimate, shape_highlights, jackpot_column, clustering_column, top_columns,
-    ]
-}
-
 WITH_PROFILE = f"WITH profile AS ({profile_sql()})"
 
 SIZES_SQL = f"""sizes AS (
@@ -157,7 +150,7 @@ def _folded_sql() -> str:
     )
 
 
-ORACLES = {
+_ORACLES = {
     "column_profile": f"{WITH_PROFILE} {_PROFILE_SELECT}",
     "column_eligibility": _eligibility_sql(),
     "sampled_profile": f"""WITH sampled AS (
@@ -197,3 +190,10 @@ WHERE analyzed AND is_date GROUP BY "table\"""",
 SELECT * FROM (SELECT "table", row_number() OVER (PARTITION BY "table" ORDER BY duplication_factor DESC, ordinal)
   AS rank, "column", duplication_factor, distinct_values FROM profile WHERE analyzed) WHERE rank <= 8""",
 }
+
+shape = Registry()
+for _query in [
+    column_profile, column_eligibility, sampled_profile, case_insensitive_profile, approx_profile,
+    table_shape, compressed_estimate, shape_highlights, jackpot_column, clustering_column, top_columns,
+]:
+    shape.query(_ORACLES.get(_query.__name__))(_query)
