@@ -242,15 +242,22 @@ def failure_findings(spark, sf):
     return O.failure_findings(failures).select("server", "severity", "title", "details")
 
 
-@history.query("""
+_OWNED_SQL = """owned AS (
 SELECT 'srv' || (o_custkey % 4) AS server, 'job ' || o_orderkey AS job, owner, owner_type, o_orderstatus = 'O' AS enabled
 FROM orders JOIN (SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'svc_' || c_name WHEN 'BUILDING' THEN c_name || '$'
     WHEN 'FURNITURE' THEN 'nt ' || c_name ELSE c_name END AS owner,
   CASE c_nationkey % 3 WHEN 0 THEN 'SQL_LOGIN' WHEN 1 THEN 'WINDOWS_LOGIN' ELSE 'WINDOWS_GROUP' END AS owner_type FROM customer)
   ON c_custkey = o_custkey
 WHERE owner_type IN ('SQL_LOGIN', 'WINDOWS_LOGIN') AND lower(owner) <> 'sa' AND NOT ends_with(owner, '$')
-  AND NOT contains(lower(owner), 'svc') AND NOT contains(lower(owner), 'service') AND NOT starts_with(lower(owner), 'nt ')""")
+  AND NOT contains(lower(owner), 'svc') AND NOT contains(lower(owner), 'service') AND NOT starts_with(lower(owner), 'nt '))"""
+
+
+@history.query(f"WITH {_OWNED_SQL} SELECT * FROM owned")
 def owner_audit(spark, sf):
+    return _owner_audit(spark, sf).select("server", F.col("name").alias("job"), "owner", "owner_type", "enabled")
+
+
+def _owner_audit(spark, sf):
     sid = lambda key: F.col(key).cast("string").cast("binary")
     segment, name, nation = F.col("c_mktsegment"), F.col("c_name"), F.col("c_nationkey") % 3
     jobs = read_table(spark, sf, "orders").select(
@@ -263,9 +270,18 @@ def owner_audit(spark, sf):
         .when(segment == "FURNITURE", _text("nt ", name)).otherwise(name).alias("name"),
         F.when(nation == 0, "SQL_LOGIN").when(nation == 1, "WINDOWS_LOGIN").otherwise("WINDOWS_GROUP").alias("type_desc"),
     )
-    return O.owner_audit(jobs, principals).select(
-        "server", F.col("name").alias("job"), "owner", "owner_type", "enabled"
-    )
+    return O.owner_audit(jobs, principals)
+
+
+@history.query(f"""WITH {_OWNED_SQL}
+SELECT server, 'Landmine' AS category, 'High' AS severity, job AS object, true AS needs_annotation,
+  'Job "' || job || '" is owned by what looks like a personal login: ' || owner AS title,
+  'Owner type: ' || owner_type || ', job enabled: ' || enabled || '. The job may stop working when that login is disabled.' AS details,
+  'Who should own this job instead, or why does it need to stay as-is?' AS question
+FROM owned""")
+def owner_findings(spark, sf):
+    shown = ["server", "category", "severity", "object", "needs_annotation", "title", "details", "question"]
+    return O.owner_findings(_owner_audit(spark, sf)).select(shown)
 
 
 # ---- threshold rules --------------------------------------------------------
@@ -453,16 +469,26 @@ def all_healthy(spark, sf):
     return O.all_healthy(replicas, _lag(spark, sf)).select("server", "severity", "title")
 
 
-@history.query("""
+_ERRORS_SQL = """recent AS (
 SELECT 'srv' AS server, distributor, errors, array_to_string(lines[1:5], ' | ')
   || CASE WHEN errors > 5 THEN ' ... and ' || (errors - 5) || ' more' ELSE '' END AS summary
 FROM (SELECT distributor, count(*) AS errors, list(strftime(ts, '%Y-%m-%d %H:%M') || ': ' || props ORDER BY ts DESC, props) AS lines
-  FROM (SELECT user_id % 7 AS distributor, ts, props, row_number() OVER (PARTITION BY user_id % 7 ORDER BY ts DESC, props) AS rk
+  FROM (SELECT (user_id % 7)::VARCHAR AS distributor, ts, props, row_number() OVER (PARTITION BY user_id % 7 ORDER BY ts DESC, props) AS rk
     FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-29 12:00:00' AND ts <= TIMESTAMP '2024-01-30 12:00:00')
-  WHERE rk <= 50 GROUP BY 1)""")
+  WHERE rk <= 50 GROUP BY 1))"""
+
+
+@history.query(f"WITH {_ERRORS_SQL} SELECT * FROM recent")
 def recent_errors(spark, sf):
     errors = _events(spark, sf).filter("event_type = 'error'").select(
-        F.lit("srv").alias("server"), (F.col("user_id") % 7).alias("distributor"), F.col("ts").alias("time"),
+        F.lit("srv").alias("server"), (F.col("user_id") % 7).cast("string").alias("distributor"), F.col("ts").alias("time"),
         F.col("props").alias("error_text"),
     )
     return O.recent_errors(errors, "2024-01-30 12:00:00")
+
+
+@history.query(f"""WITH {_ERRORS_SQL}
+SELECT server, 'Availability' AS category, 'High' AS severity,
+  errors || ' replication error(s) in the last 24h (' || distributor || ')' AS title, summary AS details FROM recent""")
+def error_findings(spark, sf):
+    return O.error_findings(recent_errors(spark, sf)).select("server", "category", "severity", "title", "details")
