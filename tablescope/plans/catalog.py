@@ -301,7 +301,7 @@ _MANY_WRITES = 40_000
 WITH {_INVENTORY_SQL}
 SELECT server, object_id, index_id, index_name, type_desc, size_mb,
   array_to_string(keys, ', ') AS key_columns, array_to_string(includes, ', ') AS included_columns,
-  len(keys) AS key_column_count, len(includes) AS included_column_count, reads, user_updates,
+  len(keys)::INTEGER AS key_column_count, len(includes)::INTEGER AS included_column_count, reads, user_updates,
   CASE WHEN type_desc = 'NONCLUSTERED' AND reads = 0 AND user_updates > 0
       THEN 'DROP CANDIDATE: written to, never read (since last restart)'
     WHEN type_desc = 'NONCLUSTERED' AND len(includes) >= 5

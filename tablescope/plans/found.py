@@ -108,7 +108,7 @@ def _two_checks(spark, sf):
 
 
 _TWO_SQL = f"""{_NORMAL_SQL}, checks AS (
-SELECT 0 AS seq, {', '.join(SHOWN)} FROM normal
+SELECT 0::BIGINT AS seq, {', '.join(SHOWN)} FROM normal
 UNION ALL SELECT 1, 'Native', 'Maintenance', 'Medium', 2, 'Agent job failed: job ' || user_id,
   'Failed at ' || strftime(ts, '%Y-%m-%d %H:%M') || ': ' || props, NULL, NULL FROM events WHERE event_type = 'error')"""
 
@@ -135,7 +135,7 @@ def finding_rollup(spark, sf):
 
 @found.query(f"""WITH {_TWO_SQL}
 SELECT count(*) FILTER (severity = 'Critical') AS critical, count(*) FILTER (severity = 'High') AS high,
-  0 AS open_questions, count(*) AS findings FROM checks""")
+  0::BIGINT AS open_questions, count(*) AS findings FROM checks""")
 def finding_counts(spark, sf):
     return N.finding_counts(N.union_findings(_two_checks(spark, sf)))
 

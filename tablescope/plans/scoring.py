@@ -95,7 +95,7 @@ SELECT user_id % 14 AS i, count(*) FILTER (event_type = 'view') AS user_seeks,
   count(*) FILTER (event_type = 'purchase' AND value > 8 * (user_id % 14)) AS user_updates,
   count(*) FILTER (event_type = 'error' AND value > 250) AS missing_index_suggestions,
   coalesce(sum(floor(value)::BIGINT * 10 * (user_id % 14)) FILTER (event_type = 'click'), 0)::BIGINT AS row_lock_wait_ms,
-  0 AS page_lock_wait_ms, sum(floor(value)::BIGINT * 2)::BIGINT AS page_io_latch_wait_ms,
+  0::BIGINT AS page_lock_wait_ms, sum(floor(value)::BIGINT * 2)::BIGINT AS page_io_latch_wait_ms,
   count(*) FILTER (event_type = 'signup') AS leaf_inserts,
   count(*) FILTER (event_type = 'purchase' AND value > 40 * (user_id % 14)) AS leaf_updates,
   count(*) FILTER (event_type = 'error' AND value > 200 AND user_id % 14 % 2 = 0) AS leaf_deletes
@@ -227,10 +227,25 @@ def _report_parts(spark, sf):
     return scored(spark, sf, profile), profile, log
 
 
-@scoring.query()
+@scoring.query(f"""{WITH_PROFILE}, {SCORED_SQL}, {matches_sql(20)}, cols AS (
+SELECT "table", to_json(list({{'column': "column", 'distinct_values': distinct_values, 'null_count': null_count,
+    'verdict': {VERDICT_SQL}}} ORDER BY ordinal))::VARCHAR AS "columns" FROM profile GROUP BY 1
+), logged AS (
+SELECT "table" AS i, to_json(list({{'source': source, 'total_logical_reads': total_logical_reads, 'statement_text': statement_text}}
+    ORDER BY source, total_logical_reads DESC, statement_text))::VARCHAR AS referencing_queries FROM matched GROUP BY 1)
+SELECT "table", candidacy_score, "columns", referencing_queries
+FROM scored JOIN cols USING ("table") JOIN logged USING (i)""")
 def nested_report(spark, sf):
     tables, profile, log = _report_parts(spark, sf)
-    return sinks.nested_report(tables, profile, statements=log)
+    report = sinks.nested_report(tables, profile, statements=log)
+    # The comparison takes a few fields of each nested row, as JSON text.
+    shown = lambda nested, *fields: F.to_json(
+        F.transform(nested, lambda row: F.struct(*[row[f].alias(f) for f in fields]))
+    ).alias(nested)
+    return report.select(
+        "table", "candidacy_score", shown("columns", "column", "distinct_values", "null_count", "verdict"),
+        shown("referencing_queries", "source", "total_logical_reads", "statement_text"),
+    )
 
 
 @scoring.query(f"""{WITH_PROFILE}, {SCORED_SQL}, {matches_sql(20)}, cols AS (

@@ -187,7 +187,7 @@ SELECT "table", "column", distinct_values, avg_byte_length,
 SELECT "table", arg_min("column", ordinal) AS clustering_column FROM profile
 WHERE analyzed AND is_date GROUP BY "table\"""",
     "top_columns": f"""{WITH_PROFILE}
-SELECT * FROM (SELECT "table", row_number() OVER (PARTITION BY "table" ORDER BY duplication_factor DESC, ordinal)
+SELECT * FROM (SELECT "table", row_number() OVER (PARTITION BY "table" ORDER BY duplication_factor DESC, ordinal)::INTEGER
   AS rank, "column", duplication_factor, distinct_values FROM profile WHERE analyzed) WHERE rank <= 8""",
 }
 
