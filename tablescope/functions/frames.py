@@ -28,6 +28,12 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Does Catalyst estimate the rows to be small enough to broadcast in this session?"""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= limit
+
+
 def salted_lookup(
     fact: DataFrame,
     dim: DataFrame,
@@ -37,11 +43,14 @@ def salted_lookup(
 ) -> DataFrame:
     """Join facts to a dimension that is unique on `on`, however hot one key is.
 
-    Each fact row carries its input partition number modulo `salts`, and the
-    dimension is repeated once per salt, so the rows of one key are spread over
-    `salts` reducers. The salt depends on the partition only, so a lost task
-    that is run again places its rows as before.
+    A dimension below the session's broadcast threshold is joined as it is: the
+    facts then stay where they are. Otherwise each fact row carries its input
+    partition number modulo `salts`, and the dimension is repeated once per salt,
+    so the rows of one key are spread over `salts` reducers. The salt depends on
+    the partition only, so a lost task that is run again places its rows as before.
     """
+    if fits_broadcast(dim):
+        return fact.join(dim, list(on), how)
     keyed = fact.withColumn("_salt", F.spark_partition_id() % F.lit(salts))
     spread = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return keyed.join(spread, [*on, "_salt"], how).drop("_salt")

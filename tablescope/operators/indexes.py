@@ -89,6 +89,19 @@ def dead_indexes(inventory: DataFrame, few_reads: int = 20, many_writes: int = 1
     )
 
 
+def tables_without_index(tables: DataFrame, indexes: DataFrame) -> DataFrame:
+    """Tables without any index (heap entries do not count), as finding rows."""
+    indexed = indexes.filter(F.col("type") > 0).select(*TABLE_KEY).distinct()
+    return tables.select(*TABLE_KEY).join(indexed, TABLE_KEY, "left_anti").select(
+        *TABLE_KEY,
+        F.lit(None).cast("string").alias("index_name"),
+        F.lit(0.0).alias("size_mb"),
+        F.lit("no_index").alias("kind"),
+        F.lit("every read is a full scan").alias("detail"),
+        F.lit(0.0).alias("reclaim_mb"),
+    )
+
+
 def index_findings(
     inventory: DataFrame,
     tables: DataFrame,
@@ -98,7 +111,7 @@ def index_findings(
     low_distinct: int = 10,
     wide_includes: int = 5,
 ) -> DataFrame:
-    """Zero or more rows per nonclustered index, and one per table without any index.
+    """Zero or more rows per nonclustered index.
 
     `tables` carries base_data_mb; `columns` is the column profile per table
     (column, ordinal, is_lob, is_computed, analyzed, distinct_values).
@@ -164,16 +177,5 @@ def index_findings(
             row("wide", F.concat(F.col("included_column_count").cast("string"), F.lit(" included columns"))),
         ),
     ]
-    found = judged.select(
-        *TABLE_KEY, "index_name", size.alias("size_mb"), F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull()))
-    )
-    bare = tables.select(*TABLE_KEY).join(inventory.select(*TABLE_KEY).distinct(), TABLE_KEY, "left_anti")
-    bare = bare.select(
-        *TABLE_KEY,
-        F.lit(None).cast("string").alias("index_name"),
-        F.lit(0.0).alias("size_mb"),
-        F.lit("no_index").alias("kind"),
-        F.lit("every read is a full scan").alias("detail"),
-        F.lit(0.0).alias("reclaim_mb"),
-    )
-    return found.unionByName(bare)
+    present = F.filter(F.array(*rows), lambda r: r.isNotNull())
+    return judged.select(*TABLE_KEY, "index_name", size.alias("size_mb"), F.inline(present))

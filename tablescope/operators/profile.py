@@ -89,16 +89,21 @@ class ProfiledColumn:
             return "double"
         return "string" if self.is_string else kind.simpleString()
 
-    def key(self, case_insensitive: bool) -> Column:
-        col = F.col(f"`{self.column}`")
+    @property
+    def name(self) -> str:
+        """Quoted column name."""
+        return "`" + self.column.replace("`", "``") + "`"
+
+    def key(self, case_insensitive: bool) -> str:
+        """SQL text of the value to group by. One text per scan builds far faster than nested Columns."""
         kind = self.data_type
         if isinstance(kind, T.DateType):
-            return F.unix_date(col).cast("bigint")
+            return f"CAST(unix_date({self.name}) AS BIGINT)"
         if isinstance(kind, T.TimestampType):
-            return F.unix_micros(col)
-        if self.is_string:
-            return F.lower(col) if case_insensitive else col.cast("string")
-        return col.cast(self.key_type)
+            return f"unix_micros({self.name})"
+        if self.is_string and case_insensitive:
+            return f"lower({self.name})"
+        return f"CAST({self.name} AS {self.key_type})"
 
 
 def _is_lob_type(kind: T.DataType) -> bool:
@@ -175,7 +180,7 @@ def column_eligibility(
         .join(F.broadcast(rows), "table")
         .withColumn("analyzed", F.col("eligible") & (F.col("table_rows") > 0))
         .select(
-            "table", "column", "ordinal", "data_type", "is_lob", "is_computed", "table_rows",
+            "table", "column", "ordinal", "data_type", "is_date", "is_lob", "is_computed", "table_rows",
             "analyzed", "skip_reason",
         )
     )
@@ -254,20 +259,15 @@ def _unpivot(df, columns, cids, text, case_insensitive) -> DataFrame:
     cells = []
     for cid in cids:
         key = columns[cid].key(case_insensitive)
-        fields = [F.lit(cid).alias("cid")]
         if text:
-            long = F.octet_length(key) > DIGEST_ABOVE_BYTES
-            fields += [
-                F.coalesce(long, F.lit(False)).alias("digested"),
-                F.when(long, F.sha2(key, 256)).otherwise(key).alias("key"),
-                F.octet_length(f"`{columns[cid].column}`").cast("bigint").alias("bytes"),
-            ]
+            long = f"coalesce(octet_length({key}) > {DIGEST_ABOVE_BYTES}, false)"
+            cells.append(
+                f"{cid} AS cid, {long} AS digested, if({long}, sha2({key}, 256), {key}) AS key,"
+                f" CAST(octet_length({columns[cid].name}) AS BIGINT) AS bytes"
+            )
         else:
-            fields.append(key.alias("key"))
-        cells.append(fields)
-    if len(cells) == 1:
-        return df.select(*cells[0])
-    return df.select(F.inline(F.array(*[F.struct(*fields) for fields in cells])))
+            cells.append(f"{cid} AS cid, {key} AS key")
+    return df.selectExpr(f"inline(array({', '.join(f'struct({cell})' for cell in cells)}))")
 
 
 def _measure_approx(tables, columns, batch_size, case_insensitive) -> DataFrame | None:
@@ -276,30 +276,20 @@ def _measure_approx(tables, columns, batch_size, case_insensitive) -> DataFrame
     for table, df in tables.items():
         cids = [i for i, c in enumerate(columns) if c.table == table and c.eligible]
         for batch in _batches(cids, batch_size):
-            aggs = [F.count(F.lit(1)).alias("rows")]
+            aggs, cells = ["count(1) AS rows"], []
             for cid in batch:
                 spec = columns[cid]
-                size = (
-                    F.sum(F.octet_length(f"`{spec.column}`").cast("bigint"))
-                    if spec.is_string
-                    else F.lit(None).cast("bigint")
-                )
+                size = f"sum(CAST(octet_length({spec.name}) AS BIGINT))" if spec.is_string else "CAST(NULL AS BIGINT)"
                 aggs += [
-                    F.approx_count_distinct(spec.key(case_insensitive)).alias(f"d_{cid}"),
-                    F.count(f"`{spec.column}`").alias(f"nn_{cid}"),
-                    size.alias(f"b_{cid}"),
+                    f"approx_count_distinct({spec.key(case_insensitive)}) AS d_{cid}",
+                    f"count({spec.name}) AS nn_{cid}",
+                    f"{size} AS b_{cid}",
                 ]
-            cells = [
-                F.struct(
-                    F.lit(cid).alias("cid"),
-                    F.col("rows"),
-                    F.col(f"nn_{cid}").alias("non_null"),
-                    F.col(f"d_{cid}").alias("distinct_values"),
-                    F.col(f"b_{cid}").alias("bytes"),
+                cells.append(
+                    f"struct({cid} AS cid, rows, nn_{cid} AS non_null, d_{cid} AS distinct_values, b_{cid} AS bytes)"
                 )
-                for cid in batch
-            ]
-            results.append(df.agg(*aggs).select(F.inline(F.array(*cells))).filter("rows > 0"))
+            counted = df.selectExpr(*aggs).filter("rows > 0")
+            results.append(counted.selectExpr(f"inline(array({', '.join(cells)}))"))
     return union_all(results) if results else None
 
 

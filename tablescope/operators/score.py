@@ -140,30 +140,28 @@ def punch_list(findings: DataFrame, candidates: DataFrame, ordered: bool = True)
     has_columnstore, candidacy_score, base_data_mb and compressed_mb.
     """
     key = ["server", "object_id"]
-    open_tables = candidates.filter(~F.col("has_columnstore"))
-    relevant = findings.filter(F.col("kind").isin("dead", "lob_include")).join(
-        candidates.filter("has_columnstore").select(*key), key, "left_anti"
-    )
-    lob = relevant.filter(F.col("kind") == "lob_include").select(
-        *key, F.lit(1).alias("priority"),
-        F.concat(F.lit("rebuild "), F.col("index_name"), F.lit(" without the LOB include")).alias("action"),
-        "reclaim_mb",
-    )
-    dead = (
-        relevant.filter(F.col("kind") == "dead")
-        .groupBy(*key)
+    columnar = candidates.filter("has_columnstore").select(*key)
+    relevant = findings.filter(F.col("kind").isin("dead", "lob_include")).join(columnar, key, "left_anti")
+    # Dead indexes of a table become one action; each LOB include is its own.
+    rebuilt = F.when(F.col("kind") == "lob_include", F.col("index_name"))
+    action = F.when(
+        F.col("_rebuilt").isNotNull(), F.concat(F.lit("rebuild "), "_rebuilt", F.lit(" without the LOB include"))
+    ).otherwise("drop the dead nonclustered indexes")
+    cheap = (
+        relevant.groupBy(*key, rebuilt.alias("_rebuilt"))
         .agg(F.sum("reclaim_mb").alias("reclaim_mb"))
-        .filter(F.col("reclaim_mb") > 0)
-        .select(*key, F.lit(1).alias("priority"), F.lit("drop the dead nonclustered indexes").alias("action"), "reclaim_mb")
+        .filter(F.col("_rebuilt").isNotNull() | (F.col("reclaim_mb") > 0))
+        .select(*key, F.lit(1).alias("priority"), action.alias("action"), "reclaim_mb")
     )
     saved = F.greatest(
         F.lit(0.0), F.col("base_data_mb").cast("double") - F.coalesce("compressed_mb", F.lit(0.0))
     )
-    convert = open_tables.filter(F.col("candidacy_score") >= 35).select(
+    convertible = candidates.filter(~F.col("has_columnstore") & (F.col("candidacy_score") >= 35))
+    convert = convertible.select(
         *key, F.lit(2).alias("priority"), F.lit("plan the columnstore conversion").alias("action"),
         saved.alias("reclaim_mb"),
     )
-    items = lob.unionByName(dead).unionByName(convert)
+    items = cheap.unionByName(convert)
     if not ordered:
         return items
     return items.orderBy("priority", F.col("reclaim_mb").desc(), "action", *key)

@@ -108,7 +108,10 @@ def jackpot_column(
 
 
 def clustering_column(profile: DataFrame) -> DataFrame:
-    """First measured date column of each table, by column order."""
+    """First measured date column of each table, by column order.
+
+    `profile` may also be the output of column_eligibility, which needs no value counts.
+    """
     return (
         profile.filter(F.col("analyzed") & F.col("is_date"))
         .groupBy("table")

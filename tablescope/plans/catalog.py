@@ -222,17 +222,20 @@ def _index_key(order):
     return [server_of(table).alias("server"), table.alias("object_id"), order.alias("index_id")]
 
 
-def _inventory(spark, sf):
-    order, line = F.col("o_orderkey"), F.col("l_orderkey")
-    priority = F.left("o_orderpriority", F.lit(1))
-    orders, lines = read_table(spark, sf, "orders"), read_table(spark, sf, "lineitem")
-    indexes = orders.select(
+def _indexes(spark, sf):
+    order, priority = F.col("o_orderkey"), F.left("o_orderpriority", F.lit(1))
+    return read_table(spark, sf, "orders").select(
         *_index_key(order),
         F.concat(F.lit("ix_"), order.cast("string")).alias("index_name"),
         F.when(priority == "5", 0).when(priority == "1", 1).when(priority == "4", 6).otherwise(2).alias("type"),
         F.when(priority == "5", "HEAP").when(priority == "1", "CLUSTERED")
         .when(priority == "4", "NONCLUSTERED COLUMNSTORE").otherwise("NONCLUSTERED").alias("type_desc"),
     )
+
+
+def _inventory(spark, sf):
+    order, line = F.col("o_orderkey"), F.col("l_orderkey")
+    orders, lines = read_table(spark, sf, "orders"), read_table(spark, sf, "lineitem")
     columns = lines.select(
         *_index_key(line),
         F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("column_name"),
@@ -246,7 +249,7 @@ def _inventory(spark, sf):
         (F.col("o_custkey") % 3).alias("user_seeks"), none.alias("user_scans"), none.alias("user_lookups"),
         F.floor(F.col("o_totalprice") / 10).alias("user_updates"),
     )
-    return X.index_inventory(indexes, columns, sizes, usage)
+    return X.index_inventory(_indexes(spark, sf), columns, sizes, usage)
 
 
 def _index_tables(spark, sf):
@@ -351,7 +354,7 @@ _FINDINGS_SQL = f"""{_INVENTORY_SQL}, base AS (
     FROM judged WHERE NOT dead AND len(includes) >= 3
   UNION ALL SELECT 'srv0', -c_custkey - 1, NULL, 0.0, 'no_index', 'every read is a full scan', 0.0 FROM customer
   UNION ALL SELECT 'srv' || (object_id % 4), object_id, NULL, 0.0, 'no_index', 'every read is a full scan', 0.0
-    FROM base WHERE object_id NOT IN (SELECT object_id FROM inv)
+    FROM base WHERE object_id NOT IN (SELECT o_orderkey // 16 FROM orders WHERE left(o_orderpriority, 1) <> '5')
 )"""
 
 
@@ -367,7 +370,8 @@ def _findings(spark, sf):
 WITH {_FINDINGS_SQL}
 SELECT server, object_id, index_name, size_mb, kind, detail, round(reclaim_mb, 3) AS reclaim_mb FROM found""")
 def index_findings(spark, sf):
-    return _findings(spark, sf).withColumn("reclaim_mb", F.round("reclaim_mb", 3))
+    bare = X.tables_without_index(_index_tables(spark, sf), _indexes(spark, sf))
+    return _findings(spark, sf).unionByName(bare).withColumn("reclaim_mb", F.round("reclaim_mb", 3))
 
 
 def _candidates(spark, sf):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.frames import constant_rows
 from tablescope.operators import discover as D
+from tablescope.operators import profile as P
 from tablescope.operators import score as C
 from tablescope.operators import shape as S
 from tablescope.operators import workload as L
@@ -18,7 +19,7 @@ from tablescope.plans.shape import SIZES_SQL, WITH_PROFILE, full_profile, table_
 from tablescope.plans.statements import CLASSES_SQL, matches, matches_sql
 from tablescope.plans.tables import SHAPE_SQL, TABLES, VERDICT_SQL
 from tablescope.sources import sinks
-from tablescope.sources.tables import read_table
+from tablescope.sources.tables import read_table, read_tables
 
 scoring = Registry()
 
@@ -75,15 +76,15 @@ def scored(spark, sf, profile=None):
 
 def judged(spark, sf):
     """Scored tables with aggregation evidence and a clustering column."""
-    profile = full_profile(spark, sf)
+    tables = read_tables(spark, sf, TABLES)
     evidence = (
         L.heaviest_statement(matches(spark, sf, top=1))
         .filter(F.col("table") < 14)
         .select(F.col("table").alias("i"), "has_aggregation")
     )
     return (
-        scored(spark, sf, profile)
-        .join(S.clustering_column(profile), "table", "left")
+        scored(spark, sf, P.profile_columns(tables))
+        .join(S.clustering_column(P.column_eligibility(tables)), "table", "left")
         .join(evidence, "i", "left")
         .fillna(False, ["has_aggregation"])
     )

@@ -34,7 +34,7 @@ def column_profile(spark, sf):
 def column_eligibility(spark, sf):
     return P.column_eligibility(
         read_tables(spark, sf, TABLES), computed_columns=[("documents", "n_chars")]
-    )
+    ).drop("is_date")
 
 
 def sampled_profile(spark, sf):
@@ -104,7 +104,7 @@ def jackpot_column(spark, sf):
 
 
 def clustering_column(spark, sf):
-    return S.clustering_column(full_profile(spark, sf))
+    return S.clustering_column(P.column_eligibility(read_tables(spark, sf, TABLES)))
 
 
 def top_columns(spark, sf):
