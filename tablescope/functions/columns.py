@@ -83,7 +83,7 @@ def cap_list(values: Column, cap: int, total: Column | None = None) -> Column:
 
 def split_cols(text: Column) -> Column:
     """'a, b,,c' -> ['a', 'b', 'c']."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda p: F.trim(p))
     return F.filter(parts, lambda p: p != "")
 
 
