@@ -182,7 +182,7 @@ def user_roles(spark, sf):
 # ---- grants ------------------------------------------------------------------
 
 
-def _grants(spark, sf):
+def _grant_inputs(spark, sf):
     server = F.lit("srv").alias("server")
     db = lambda key: _text("db", key % 3).alias("database")
     databases = F.explode(F.array(*[F.lit(f"db{i}") for i in range(3)])).alias("database")
@@ -215,7 +215,11 @@ def _grants(spark, sf):
         server, db(F.col("p_partkey")), F.col("p_partkey").alias("object_id"),
         F.explode(F.sequence(F.lit(1), F.lit(3))).alias("column_id"),
     ).withColumn("name", _text("Col", F.col("column_id")))
-    return A.resolve_grants(perms, principals, objects, schemas, columns)
+    return perms, principals, objects, schemas, columns
+
+
+def _grants(spark, sf):
+    return A.resolve_grants(*_grant_inputs(spark, sf))
 
 
 _GRANTS_SQL = """grants AS (
