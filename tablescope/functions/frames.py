@@ -29,7 +29,12 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Does Catalyst estimate the rows to be small enough to broadcast in this session?"""
+    """Does Catalyst estimate the rows to be small enough to broadcast in this session?
+
+    Sessions that offer no estimate (Spark Connect) answer no.
+    """
+    if not hasattr(df, "_jdf"):
+        return False
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= limit
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tablescope.operators import access as A
 from tablescope.operators import oplog as O
 from tablescope.plans.registry import Registry
-from tablescope.sources.tables import read_table
+from tablescope.plans.tables import read_table
 
 audit = Registry()
 

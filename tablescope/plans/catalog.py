@@ -12,7 +12,7 @@ from tablescope.operators import discover as D
 from tablescope.operators import indexes as X
 from tablescope.operators import score as C
 from tablescope.plans.registry import Registry
-from tablescope.sources.tables import read_table
+from tablescope.plans.tables import read_table
 
 catalog = Registry()
 SERVERS = 4

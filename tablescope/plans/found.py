@@ -13,7 +13,7 @@ from tablescope.functions.columns import severity_from_priority, severity_rank
 from tablescope.operators import findings as N
 from tablescope.operators import oplog as O
 from tablescope.plans.registry import Registry
-from tablescope.sources.tables import read_table
+from tablescope.plans.tables import read_table
 
 found = Registry()
 

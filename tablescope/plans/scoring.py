@@ -17,9 +17,8 @@ from tablescope.operators import workload as L
 from tablescope.plans.registry import Registry
 from tablescope.plans.shape import SIZES_SQL, WITH_PROFILE, full_profile, table_sizes
 from tablescope.plans.statements import CLASSES_SQL, matches, matches_sql
-from tablescope.plans.tables import SHAPE_SQL, TABLES, VERDICT_SQL
+from tablescope.plans.tables import SHAPE_SQL, TABLES, VERDICT_SQL, read_table, read_tables
 from tablescope.sources import sinks
-from tablescope.sources.tables import read_table, read_tables
 
 scoring = Registry()
 

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from tablescope.operators import profile as P
 from tablescope.operators import shape as S
 from tablescope.plans.registry import Registry
-from tablescope.plans.tables import SHAPE_SQL, TABLES, VERDICT_SQL, profile_sql
-from tablescope.sources.tables import read_table, read_tables
+from tablescope.plans.tables import SHAPE_SQL, TABLES, VERDICT_SQL, profile_sql, read_table, read_tables
 
 # Estimates and the jackpot column are shown for tables as if they held this
 # many times their rows, so that the reporting thresholds are reached.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablescope.operators import workload as L
 from tablescope.plans.registry import Registry
-from tablescope.sources.tables import read_table
+from tablescope.plans.tables import read_table
 
 statements = Registry()
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, SparkSession
+
 from tablescope.functions.constants import SKIP_LOB
 
 # (column, kind) per table, in schema order; kind -> (Spark type, storage bytes).
@@ -38,6 +42,16 @@ def columns_of(table: str) -> list[tuple[str, str]]:
     return [tuple(entry.split(":")) for entry in COLUMNS[table].split()]
 
 
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Read with the known schema: no job to infer it from the file footers."""
+    ddl = ", ".join(f"{column} {KINDS[kind][0]}" for column, kind in columns_of(name))
+    return spark.read.schema(ddl).parquet(f"{folder}/{name}.parquet")
+
+
+def read_tables(spark: SparkSession, folder: str, names: Iterable[str]) -> dict[str, DataFrame]:
+    return {name: read_table(spark, folder, name) for name in names}
+
+
 def profile_sql(tables=TABLES, source=None) -> str:
     """One naive SELECT per column: count(distinct ...), count(...), mean length."""
     parts = []

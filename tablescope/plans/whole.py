@@ -14,8 +14,7 @@ from tablescope.plans import scoring as G
 from tablescope.plans.registry import Registry
 from tablescope.plans.shape import WITH_PROFILE
 from tablescope.plans.statements import statement_log
-from tablescope.plans.tables import TABLES
-from tablescope.sources.tables import read_table, read_tables
+from tablescope.plans.tables import TABLES, read_table, read_tables
 
 whole = Registry()
 
@@ -145,7 +144,7 @@ def table_report(spark, sf):
     facts = (
         numbered.join(sizes, "table").join(G._usage(spark, sf), "i", "left").fillna(0, G.COUNTERS)
         .select(
-            "*", F.lit("srv0").alias("server"), i.alias("object_id"), (F.col("base_data_mb") * (i % 4) / 2).alias("nonclustered_mb"),
+            "*", H._text("srv", i % 5).alias("server"), i.alias("object_id"), (F.col("base_data_mb") * (i % 4) / 2).alias("nonclustered_mb"),
             (i % 5 == 4).alias("has_columnstore"), (i % 3 == 0).alias("is_replicated"), (i % 4 == 1).alias("is_cdc_tracked"),
         )
     )
@@ -157,10 +156,10 @@ def table_report(spark, sf):
 @whole.query(f"""WITH {U._GRANTS_SQL}, kept AS ({U._GROUPED_SQL.format(cap=10, where=U._RISKY)})
 SELECT CASE WHEN lower(grantee) = 'public' THEN 'High' ELSE 'Medium' END AS severity, 'Landmine' AS category,
   count(*) AS findings FROM kept GROUP BY 1
-UNION ALL SELECT 'Info', 'Security', count(*) FROM supplier WHERE s_suppkey % 7 = 1
-UNION ALL SELECT 'High', 'Landmine_login', count(*) FROM supplier WHERE s_acctbal < 0 AND s_suppkey > 4
+UNION ALL SELECT 'Info', 'Security', count(*) FROM supplier WHERE s_suppkey % 7 = 1 HAVING count(*) > 0
+UNION ALL SELECT 'High', 'Landmine_login', count(*) FROM supplier WHERE s_acctbal < 0 AND s_suppkey > 4 HAVING count(*) > 0
 UNION ALL SELECT 'Low', 'Security', 3 * count(*) FROM customer WHERE c_custkey > 4
-  AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey)""")
+  AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey) HAVING count(*) > 0""")
 def access_audit(spark, sf):
     """All access findings, counted; findings about logins are told apart from grants."""
     perms, _, objects, schemas, columns = U._grant_inputs(spark, sf)
@@ -175,7 +174,7 @@ def access_audit(spark, sf):
     )
     role = constant_rows(spark, [("srv", -1, None, "sysadmin", "R", "SERVER_ROLE", False)],
                          "server STRING, principal_id BIGINT, sid BINARY, name STRING, type STRING, type_desc STRING, is_disabled BOOLEAN")
-    members = suppliers.filter(key % 7 == 1).select(server, key.alias("member_principal_id"), F.lit(-1).cast("bigint").alias("role_principal_id"))
+    members = suppliers.filter(key % 7 == 1).select(server, key.alias("member_principal_id"), (-(key % 7)).alias("role_principal_id"))
     grantees = suppliers.select(
         server, databases, key.alias("principal_id"),
         F.when(F.col("s_nationkey") < 3, "Public").otherwise(F.col("s_name")).alias("name"),
