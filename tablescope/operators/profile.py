@@ -20,26 +20,12 @@ from tablescope.functions.constants import (
     SKIP_LOB,
 )
 from tablescope.functions.frames import constant_rows, union_all
+from tablescope.functions.widths import TEXT, storage_width
 
 # Longer text is grouped by its SHA-256 instead of its bytes: a document-sized
 # value then costs 64 bytes in the shuffle.
 DIGEST_ABOVE_BYTES = 64
 
-_FIXED_WIDTH = {
-    T.BooleanType: 1,
-    T.ByteType: 1,
-    T.ShortType: 2,
-    T.IntegerType: 4,
-    T.FloatType: 4,
-    T.DateType: 4,
-    T.YearMonthIntervalType: 4,
-    T.LongType: 8,
-    T.DoubleType: 8,
-    T.TimestampType: 8,
-    T.TimestampNTZType: 8,
-    T.DayTimeIntervalType: 8,
-}
-
 _WHOLE = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -66,19 +52,12 @@ class ProfiledColumn:
 
     @property
     def is_string(self) -> bool:
-        return isinstance(self.data_type, (T.StringType, T.CharType, T.VarcharType))
+        return isinstance(self.data_type, TEXT)
 
     @property
     def is_date(self) -> bool:
         return isinstance(self.data_type, (T.DateType, T.TimestampType, T.TimestampNTZType))
 
-    @property
-    def width(self) -> int | None:
-        """Storage bytes of a fixed-width value; None for text."""
-        if isinstance(self.data_type, T.DecimalType):
-            return 8 if self.data_type.precision <= 18 else 16
-        return _FIXED_WIDTH.get(type(self.data_type))
-
     @property
     def key_type(self) -> str:
         """Columns with one key type share a scan and a shuffle, without text casts."""
@@ -107,10 +86,7 @@ class ProfiledColumn:
 
 
 def _is_lob_type(kind: T.DataType) -> bool:
-    return not (
-        isinstance(kind, (T.StringType, T.CharType, T.VarcharType, T.DecimalType))
-        or type(kind) in _FIXED_WIDTH
-    )
+    return not isinstance(kind, TEXT) and storage_width(kind) is None
 
 
 def describe_columns(
@@ -150,7 +126,7 @@ def _catalog_frame(spark, columns: list[ProfiledColumn]) -> DataFrame:
                 c.is_computed,
                 c.eligible,
                 c.skip_reason,
-                c.width,
+                storage_width(c.data_type),
             )
             for i, c in enumerate(columns)
         ],

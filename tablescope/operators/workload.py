@@ -59,18 +59,16 @@ def interval_totals(
 ) -> DataFrame:
     """Interval averages rolled up to totals per statement text; the top_n by CPU per server.
 
-    Totals are formed per (plan, interval), then plan, query and text, each time
-    before the next join, so a hot plan or text is one row when it is shuffled.
+    Totals are formed per plan, query and text, each time before the next join,
+    so a hot plan or text is one row when it is shuffled.
     """
     runs = F.col("count_executions")
-    # Totals per plan and interval; the interval only adds its end time.
-    totals = runtime_stats.groupBy("server", "plan_id", "interval_id").agg(
-        F.sum("count_executions").alias("executions"),
-        F.sum(F.col("avg_logical_io_reads") * runs).alias("reads"),
-        F.sum(F.col("avg_cpu_time") * runs).alias("cpu"),
-        F.sum(F.col("avg_duration") * runs).alias("duration"),
+    totals = salted_lookup(runtime_stats, intervals, ["server", "interval_id"], "inner").select(
+        "server", "plan_id", "end_time", runs.alias("executions"),
+        (F.col("avg_logical_io_reads") * runs).alias("reads"),
+        (F.col("avg_cpu_time") * runs).alias("cpu"),
+        (F.col("avg_duration") * runs).alias("duration"),
     )
-    totals = salted_lookup(totals, intervals, ["server", "interval_id"], "inner")
 
     def roll(df: DataFrame, key: str) -> DataFrame:
         return df.groupBy("server", key).agg(

@@ -204,3 +204,11 @@ def test_hot_value_and_hot_copies(spark):
     )
     got = profile_of(df)
     assert got["k"].distinct_values == got["s"].distinct_values == 20_001
+
+
+def test_byte_length(spark):
+    from tablescope.functions.widths import byte_length
+
+    df = spark.sql("SELECT * FROM VALUES ('é', 1, DATE'2024-01-01', 1.5, array(1)), (NULL, NULL, NULL, NULL, NULL) AS t(s, i, d, n, a)")
+    sized = df.select(*[byte_length(F.col(f.name), f.dataType) for f in df.schema])
+    assert [tuple(r) for r in sized.collect()] == [(2, 4, 4, 8, None), (None,) * 5]
