@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.columns import moment
+from tablescope.functions.constants import MIN_MB, MIN_ROWS, TOP_TABLES
 from tablescope.functions.frames import latest_snapshot
 from tablescope.operators import access as A
 from tablescope.operators import discover as D
@@ -128,20 +129,40 @@ def access_audit(inputs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
+def table_facts(
+    inputs: Mapping[str, DataFrame], min_rows: int = MIN_ROWS, min_mb: int = MIN_MB, top_n: int = TOP_TABLES
+) -> DataFrame:
+    """Candidate tables of every server with sizes, usage, contention, write mix and flags."""
+    found = D.discover_tables(
+        inputs["tables"], inputs["table_schemas"], inputs["partition_stats"], min_rows, min_mb, top_n
+    )
+    used = D.usage_rollup(found, inputs["index_usage"], inputs["missing_index"])
+    flagged = D.flag_columnar(used, inputs["indexes"])
+    operations = D.operational_totals(inputs["operational_stats"])
+    counters = [c for c in operations.columns if c not in D.TABLE_KEY]
+    return (
+        flagged.join(operations, D.TABLE_KEY, "left")
+        .fillna(0, counters)
+        .withColumn("table", F.concat_ws(".", "schema_name", "table_name"))
+    )
+
+
 def table_report(
     tables: Mapping[str, DataFrame],
     facts: DataFrame,
     log: DataFrame | None = None,
+    index_inputs: Mapping[str, DataFrame] | None = None,
     sample_target: int | None = None,
     row_counts: Mapping[str, int] | None = None,
     lob_columns: Iterable[tuple[str, str]] = (),
     computed_columns: Iterable[tuple[str, str]] = (),
 ) -> dict[str, DataFrame]:
-    """Profile, score and judge the tables that are not columnar yet.
+    """Profile, score and judge tables, and review their indexes.
 
-    `facts` has one row per table of `tables`: server, object_id, table, sizes,
-    usage, contention, has_columnstore, is_replicated and is_cdc_tracked. Tables
-    with more than twice `sample_target` rows (by `row_counts`) are sampled.
+    `facts` has one row per table of `tables` (see table_facts). `log` is a
+    statement log; a statement belongs to a table whose table_name it contains.
+    `index_inputs` are indexes, index_columns, partition_stats and index_usage.
+    Tables with more than twice `sample_target` rows (by `row_counts`) are sampled.
     """
     if sample_target is not None:
         counts = row_counts or {}
@@ -151,21 +172,36 @@ def table_report(
         }
     profile = P.profile_columns(tables, lob_columns, computed_columns)
     eligible = P.column_eligibility(tables, lob_columns, computed_columns)
-    shape = S.table_shape(profile)
-    rated = D.size_ratios(D.write_ratios(D.usage_ratios(facts.join(shape, "table"))))
+    estimate = S.compressed_estimate(profile, facts).select("table", "compressed_mb")
+    rated = D.size_ratios(D.write_ratios(D.usage_ratios(facts.join(S.table_shape(profile), "table"))))
+    scored = (
+        C.score_tables(rated)
+        .join(S.clustering_column(eligible), "table", "left")
+        .join(estimate, "table", "left")
+    )
     out = {"columns": profile, "highlights": S.shape_highlights(profile)}
-    scored = C.score_tables(rated).join(S.clustering_column(eligible), "table", "left")
     if log is None:
         scored = scored.withColumn("has_aggregation", F.lit(False))
     else:
-        names = facts.select("server", "table", F.col("table").alias("name"))
+        names = facts.select("server", "table", F.col("table_name").alias("name"))
         out["statements"] = L.match_statements(log, names)
-        evidence = L.heaviest_statement(out["statements"])
-        out["heaviest_statements"] = evidence
-        scored = scored.join(
-            evidence.select("server", "table", "has_aggregation"), ["server", "table"], "left"
-        ).fillna(False, ["has_aggregation"])
+        out["heaviest_statements"] = L.heaviest_statement(out["statements"])
+        out["counters_reset"] = L.counters_reset(facts, out["statements"])
+        evidence = out["heaviest_statements"].select("server", "table", "has_aggregation")
+        scored = scored.join(evidence, ["server", "table"], "left").fillna(False, ["has_aggregation"])
     scored = C.recommendation(scored).withColumn("verdict", C.verdict_tier())
-    estimate = S.compressed_estimate(profile, facts).select("table", "compressed_mb")
-    out["candidates"] = C.ranked_candidates(scored.join(estimate, "table", "left"))
+    out["candidates"] = C.ranked_candidates(scored)
+    if index_inputs is not None:
+        keyed = facts.select(*D.TABLE_KEY, "table")
+        inventory = X.index_inventory(
+            *[
+                index_inputs[name].join(keyed.select(*D.TABLE_KEY), D.TABLE_KEY, "left_semi")
+                for name in ["indexes", "index_columns", "partition_stats", "index_usage"]
+            ]
+        )
+        found = X.index_findings(inventory, facts, profile.join(keyed, "table"))
+        out["indexes"] = inventory
+        out["index_findings"] = found.unionByName(X.tables_without_index(facts, index_inputs["indexes"]))
+        out["punch_list"] = C.punch_list(found, scored)
+        out["punch_total"] = C.punch_total(C.punch_list(found, scored, ordered=False))
     return out

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablescope.operators import discover as D
 from tablescope.operators import indexes as X
 from tablescope.operators import score as C
+from tablescope.operators import workload as L
 from tablescope.plans.registry import Registry
 from tablescope.plans.tables import read_table
 
@@ -46,7 +47,15 @@ def _partition_stats(spark, sf):
     )
 
 
-@catalog.query("""
+def _schemas(spark, sf):
+    return read_table(spark, sf, "nation").select(
+        F.explode(F.transform(F.sequence(F.lit(0), F.lit(SERVERS - 1)), server_of)).alias("server"),
+        F.col("n_nationkey").alias("schema_id"),
+        F.col("n_name").alias("schema_name"),
+    )
+
+
+DISCOVER_SQL = """
 SELECT server, object_id, row_count, total_size_mb, base_data_mb, nonclustered_mb, table_name,
   is_replicated, is_cdc_tracked, schema_name
 FROM (SELECT *, row_number() OVER (PARTITION BY server
@@ -61,21 +70,19 @@ FROM (SELECT *, row_number() OVER (PARTITION BY server
     WHERE NOT (s_acctbal < -500) AND NOT (s_acctbal > 9500)
     GROUP BY ALL
     HAVING row_count >= 2400 OR floor(sum(floor(l_extendedprice)) * 8 / 1024) >= 240000))
-WHERE rk <= 10""")
+WHERE rk <= 10"""
+
+
+@catalog.query(DISCOVER_SQL)
 def discover_tables(spark, sf):
-    schemas = read_table(spark, sf, "nation").select(
-        F.explode(F.transform(F.sequence(F.lit(0), F.lit(SERVERS - 1)), server_of)).alias("server"),
-        F.col("n_nationkey").alias("schema_id"),
-        F.col("n_name").alias("schema_name"),
-    )
     found = D.discover_tables(
-        _suppliers(spark, sf), schemas, _partition_stats(spark, sf), min_rows=2400, min_mb=240_000, top_n=10
+        _suppliers(spark, sf), _schemas(spark, sf), _partition_stats(spark, sf), min_rows=2400, min_mb=240_000, top_n=10
     )
     sizes = ["total_size_mb", "base_data_mb", "nonclustered_mb"]
     return found.withColumns({c: F.col(c).cast("double") for c in sizes})
 
 
-@catalog.query("""
+OPERATIONS_SQL = """
 SELECT 'srv' || (l_suppkey % 4) AS server, l_suppkey AS object_id,
   sum(l_linenumber)::BIGINT AS row_lock_wait_ms, sum(l_quantity::BIGINT)::BIGINT AS page_lock_wait_ms,
   sum(l_partkey)::BIGINT AS page_io_latch_wait_ms,
@@ -83,10 +90,17 @@ SELECT 'srv' || (l_suppkey % 4) AS server, l_suppkey AS object_id,
   count(*) FILTER (l_returnflag = 'R') + count(*) FILTER (l_linestatus = 'F') AS leaf_deletes,
   100.0 * count(*) FILTER (l_returnflag = 'N')
     / (count(*) + count(*) FILTER (l_linestatus = 'F'))::DOUBLE AS update_share_pct
-FROM lineitem GROUP BY ALL""")
+FROM lineitem GROUP BY ALL"""
+
+
+@catalog.query(OPERATIONS_SQL)
 def operational_totals(spark, sf):
+    return D.write_ratios(D.operational_totals(_operational_stats(spark, sf)))
+
+
+def _operational_stats(spark, sf):
     flag = lambda column, value: (F.col(column) == value).cast("bigint")
-    stats = read_table(spark, sf, "lineitem").select(
+    return read_table(spark, sf, "lineitem").select(
         server_of(F.col("l_suppkey")).alias("server"),
         F.col("l_suppkey").alias("object_id"),
         F.col("l_linenumber").cast("bigint").alias("row_lock_wait_ms"),
@@ -97,7 +111,6 @@ def operational_totals(spark, sf):
         flag("l_returnflag", "R").alias("leaf_delete"),
         flag("l_linestatus", "F").alias("leaf_ghost"),
     )
-    return D.write_ratios(D.operational_totals(stats))
 
 
 @catalog.query("""
@@ -105,13 +118,16 @@ SELECT 'srv' || (s_suppkey % 4) AS server, s_suppkey AS object_id, s_name AS tab
   EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_partkey % 1000 IN (5, 6)) AS has_columnstore
 FROM supplier""")
 def existence_flag(spark, sf):
-    indexes = read_table(spark, sf, "lineitem").select(
+    tables = _suppliers(spark, sf).select("server", "object_id", "table_name")
+    return D.flag_columnar(tables, _typed_indexes(spark, sf))
+
+
+def _typed_indexes(spark, sf):
+    return read_table(spark, sf, "lineitem").select(
         server_of(F.col("l_suppkey")).alias("server"),
         F.col("l_suppkey").alias("object_id"),
         (F.col("l_partkey") % 1000).alias("type"),
     )
-    tables = _suppliers(spark, sf).select("server", "object_id", "table_name")
-    return D.flag_columnar(tables, indexes)
 
 
 def event_usage(events, key, server):
@@ -129,12 +145,24 @@ def _customer_tables(spark, sf, *more):
     )
 
 
-def _customer_usage(spark, sf, tables):
-    events = read_table(spark, sf, "events")
-    user = F.col("user_id")
-    usage = event_usage(events, user, server_of(user))
+def _usage_inputs(spark, sf):
+    events, user = read_table(spark, sf, "events"), F.col("user_id")
     missing = events.filter("event_type = 'error'").select(server_of(user).alias("server"), user.alias("object_id"))
-    return D.usage_rollup(tables, usage, missing)
+    return event_usage(events, user, server_of(user)), missing
+
+
+def _customer_usage(spark, sf, tables):
+    return D.usage_rollup(tables, *_usage_inputs(spark, sf))
+
+
+def fact_inputs(spark, sf):
+    """The inputs of table_facts: suppliers as tables, lineitem and events as their counters."""
+    usage, missing = _usage_inputs(spark, sf)
+    return {
+        "tables": _suppliers(spark, sf), "table_schemas": _schemas(spark, sf), "partition_stats": _partition_stats(spark, sf),
+        "index_usage": usage, "missing_index": missing, "indexes": _typed_indexes(spark, sf),
+        "operational_stats": _operational_stats(spark, sf),
+    }
 
 
 _USAGE_SQL = """
@@ -199,12 +227,10 @@ SELECT server, object_id, used AS is_used, append AS is_insert_only, used AND ap
 FROM (SELECT *, user_seeks + user_scans + user_lookups + user_updates > 0 AS used,
   leaf_inserts > 0 AND leaf_updates = 0 AND leaf_deletes = 0 AS append FROM ({_USAGE_SQL}))""")
 def workload_flags(spark, sf):
-    from tablescope.operators.workload import workload_flags as flags
-
     operations = _event_operations(spark, sf)
     counters = [c for c in operations.columns if c not in D.TABLE_KEY]
     tables = _customer_usage(spark, sf, _customer_tables(spark, sf)).join(operations, D.TABLE_KEY, "left")
-    flagged = flags(tables.fillna(0, counters), many_lookups=13, long_latch_ms=700)
+    flagged = L.workload_flags(tables.fillna(0, counters), many_lookups=13, long_latch_ms=700)
     return flagged.select(
         *D.TABLE_KEY, "is_used", "is_insert_only", "append_only_writes", "update_heavy", "uncovered_lookups", "io_bound"
     )

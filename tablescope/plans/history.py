@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablescope.operators import oplog as O
-from tablescope.operators.findings import by_urgency
+from tablescope.operators.findings import by_urgency, union_findings
 from tablescope.plans.registry import Registry
 from tablescope.plans.tables import read_table
 
@@ -192,14 +192,12 @@ FROM (VALUES ('customer#0000000'), ('Customer#00000012'), ('Nightly - ')) AS e(e
 LEFT JOIN customer ON starts_with(lower(c_name), lower(expected_prefix))
 LEFT JOIN ({_LAST_SQL}) AS l ON l.user_id = c_custkey LEFT JOIN ({_NEXT_SQL}) AS n ON n.user_id = c_custkey""")
 def maintenance_status(spark, sf):
-    from tablescope.operators.oplog import JOB_KEY
-
     prefixes = ["customer#0000000", "Customer#00000012", "Nightly - "]
     covered = O.expected_coverage(_jobs(spark, sf), "name", prefixes)
     return (
-        covered.join(O.latest_run(_runs(spark, sf)), JOB_KEY, "left")
-        .join(O.next_run(_activity(spark, sf)), JOB_KEY, "left")
-        .drop(*JOB_KEY)
+        covered.join(O.latest_run(_runs(spark, sf)), O.JOB_KEY, "left")
+        .join(O.next_run(_activity(spark, sf)), O.JOB_KEY, "left")
+        .drop(*O.JOB_KEY)
     )
 
 
@@ -376,8 +374,6 @@ def inventory_findings(spark, sf):
         server, F.col("n_name").alias("name"), F.lit("p").alias("product"), F.lit("v").alias("provider"),
         F.col("n_regionkey").cast("string").alias("data_source"), (F.col("c_acctbal") < 0).alias("uses_self_credential"),
     )
-    from tablescope.operators.findings import union_findings
-
     found = union_findings(
         [
             O.role_member_findings(principals, members, ROLE),

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablescope.functions.constants import SKIP_COMPUTED, SKIP_LOB
 from tablescope.operators import profile as P
 from tablescope.operators import shape as S
 from tablescope.plans.registry import Registry
-from tablescope.plans.tables import SHAPE_SQL, TABLES, VERDICT_SQL, profile_sql, read_table, read_tables
+from tablescope.plans.tables import (
+    KINDS, SHAPE_SQL, TABLES, VERDICT_SQL, columns_of, profile_sql, read_table, read_tables,
+)
 
 # Estimates and the jackpot column are shown for tables as if they held this
 # many times their rows, so that the reporting thresholds are reached.
@@ -123,9 +126,6 @@ FROM profile"""
 
 
 def _eligibility_sql() -> str:
-    from tablescope.functions.constants import SKIP_COMPUTED, SKIP_LOB
-    from tablescope.plans.tables import KINDS, columns_of
-
     rows = []
     for t in TABLES:
         for i, (c, k) in enumerate(columns_of(t)):

@@ -8,6 +8,8 @@ from tablescope import flows
 from tablescope.functions import columns as K
 from tablescope.functions.frames import constant_rows, latest_snapshot as newest
 from tablescope.operators import findings as N
+from tablescope.operators.profile import profile_columns
+from tablescope.plans import catalog as T
 from tablescope.plans import audit as U
 from tablescope.plans import history as H
 from tablescope.plans import scoring as G
@@ -129,6 +131,27 @@ def health_check(spark, sf):
     return report["findings"].groupBy("category", "severity").agg(F.count(F.lit(1)).alias("findings"))
 
 
+@whole.query(f"""
+WITH found AS ({T.DISCOVER_SQL}), used AS (
+  SELECT user_id, count(*) FILTER (event_type = 'view') AS seeks, count(*) FILTER (event_type = 'click') AS scans,
+    count(*) FILTER (event_type = 'signup') AS lookups, count(*) FILTER (event_type = 'purchase') AS updates,
+    count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1), operations AS ({T.OPERATIONS_SQL})
+SELECT schema_name || '.' || table_name AS "table", found.object_id, row_count, total_size_mb, coalesce(seeks, 0) AS user_seeks,
+  coalesce(scans, 0) AS user_scans, coalesce(lookups, 0) AS user_lookups, coalesce(updates, 0) AS user_updates,
+  coalesce(errors, 0) AS missing_index_suggestions,
+  EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = found.object_id AND l_partkey % 1000 IN (5, 6)) AS has_columnstore,
+  row_lock_wait_ms, page_io_latch_wait_ms, leaf_inserts, leaf_updates, leaf_deletes
+FROM found LEFT JOIN used ON user_id = found.object_id LEFT JOIN operations o ON o.object_id = found.object_id""")
+def table_facts(spark, sf):
+    """Candidate tables with all their counters, in one row each."""
+    facts = flows.table_facts(T.fact_inputs(spark, sf), min_rows=2400, min_mb=240_000, top_n=10)
+    return facts.select(
+        "table", "object_id", "row_count", F.col("total_size_mb").cast("double").alias("total_size_mb"), *T.D.USAGE,
+        "missing_index_suggestions", "has_columnstore", "row_lock_wait_ms", "page_io_latch_wait_ms", "leaf_inserts",
+        "leaf_updates", "leaf_deletes",
+    )
+
+
 @whole.query(f"""{WITH_PROFILE}, {G.JUDGED_SQL}
 SELECT "table", candidacy_score, has_aggregation, CASE WHEN has_columnstore THEN NULL WHEN candidacy_score >= 35 THEN 'convert'
   WHEN candidacy_score >= 20 AND append AND potential_rowgroups >= 3 THEN 'later' ELSE 'leave' END AS recommendation
@@ -138,13 +161,11 @@ def table_report(spark, sf):
     tables = read_tables(spark, sf, TABLES)
     i = F.col("i")
     numbered = constant_rows(spark, list(enumerate(TABLES)), "i INT, table STRING")
-    from tablescope.operators.profile import profile_columns
-
     sizes = G.table_sizes(profile_columns(tables))
     facts = (
         numbered.join(sizes, "table").join(G._usage(spark, sf), "i", "left").fillna(0, G.COUNTERS)
         .select(
-            "*", H._text("srv", i % 5).alias("server"), i.alias("object_id"), (F.col("base_data_mb") * (i % 4) / 2).alias("nonclustered_mb"),
+            "*", F.col("table").alias("table_name"), H._text("srv", i % 5).alias("server"), i.alias("object_id"), (F.col("base_data_mb") * (i % 4) / 2).alias("nonclustered_mb"),
             (i % 5 == 4).alias("has_columnstore"), (i % 3 == 0).alias("is_replicated"), (i % 4 == 1).alias("is_cdc_tracked"),
         )
     )
