@@ -171,14 +171,8 @@ def table_report(
             for name, df in tables.items()
         }
     profile = P.profile_columns(tables, lob_columns, computed_columns)
-    eligible = P.column_eligibility(tables, lob_columns, computed_columns)
-    estimate = S.compressed_estimate(profile, facts).select("table", "compressed_mb")
     rated = D.size_ratios(D.write_ratios(D.usage_ratios(facts.join(S.table_shape(profile), "table"))))
-    scored = (
-        C.score_tables(rated)
-        .join(S.clustering_column(eligible), "table", "left")
-        .join(estimate, "table", "left")
-    )
+    scored = C.score_tables(rated).withColumn("compressed_mb", S.compressed_mb())
     out = {"columns": profile, "highlights": S.shape_highlights(profile)}
     if log is None:
         scored = scored.withColumn("has_aggregation", F.lit(False))

@@ -19,8 +19,13 @@ def measured(profile: DataFrame) -> DataFrame:
 
 
 def table_shape(profile: DataFrame) -> DataFrame:
-    """Repetitiveness of each table: one row per table, LOB columns always counted."""
+    """Repetitiveness of each table: one row per table, LOB columns always counted.
+
+    compressed_row_bytes is the rough columnar size of one row; clustering_column
+    is the first measured date column.
+    """
     done = F.col("analyzed") & (F.col("sample_rows") > 0)
+    row_bytes = F.when(done, F.col("avg_byte_length") * _compressed_weight())
     share = lambda limit: F.coalesce(
         F.lit(100.0)
         * F.count_if(done & (F.col("distinct_ratio") <= limit)).cast("double")
@@ -41,21 +46,28 @@ def table_shape(profile: DataFrame) -> DataFrame:
         F.count_if(done & F.col("dictionary_pressure")).alias("dictionary_pressure_columns"),
         F.count_if("is_lob").alias("lob_columns"),
         F.count_if("is_computed").alias("computed_columns"),
+        F.coalesce(F.sum(row_bytes), F.lit(0.0)).alias("compressed_row_bytes"),
+        F.min_by("column", F.when(done & F.col("is_date"), F.col("ordinal"))).alias("clustering_column"),
     )
 
 
-def compressed_estimate(profile: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Rough columnar size of each table; `sizes` has table, row_count, base_data_mb.
+def compressed_mb() -> Column:
+    """Rough columnar size from compressed_row_bytes and row_count.
 
     The mean length is of non-null values but is multiplied by all rows, so
     sparse columns are overstated.
     """
-    bytes_ = F.col("avg_byte_length") * F.col("row_count") * _compressed_weight()
+    return F.col("compressed_row_bytes") * F.col("row_count") / MEGABYTE
+
+
+def compressed_estimate(shape: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rough columnar size of each measured table; `sizes` has table, row_count, base_data_mb."""
     estimate = (
-        measured(profile)
+        shape.filter("analyzed_columns > 0")
+        .select("table", "compressed_row_bytes")
         .join(sizes.select("table", "row_count", "base_data_mb"), "table")
-        .groupBy("table", "row_count", "base_data_mb")
-        .agg((F.sum(bytes_) / MEGABYTE).alias("compressed_mb"))
+        .withColumn("compressed_mb", compressed_mb())
+        .drop("compressed_row_bytes")
     )
     worth_reporting = (
         (F.col("compressed_mb") > 0)

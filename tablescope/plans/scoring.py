@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 from tablescope.functions.columns import csv_field
 from tablescope.functions.frames import constant_rows
 from tablescope.operators import discover as D
-from tablescope.operators import profile as P
 from tablescope.operators import score as C
 from tablescope.operators import shape as S
 from tablescope.operators import workload as L
 from tablescope.plans.registry import Registry
 from tablescope.plans.shape import SIZES_SQL, WITH_PROFILE, full_profile, table_sizes
 from tablescope.plans.statements import CLASSES_SQL, matches, matches_sql
-from tablescope.plans.tables import SHAPE_SQL, TABLES, VERDICT_SQL, read_table, read_tables
+from tablescope.plans.tables import SHAPE_SQL, TABLES, VERDICT_SQL, read_table
 from tablescope.sources import sinks
 
 scoring = Registry()
@@ -75,19 +74,13 @@ def scored(spark, sf, profile=None):
 
 
 def judged(spark, sf):
-    """Scored tables with aggregation evidence and a clustering column."""
-    tables = read_tables(spark, sf, TABLES)
+    """Scored tables with aggregation evidence."""
     evidence = (
         L.heaviest_statement(matches(spark, sf, top=1))
         .filter(F.col("table") < 14)
         .select(F.col("table").alias("i"), "has_aggregation")
     )
-    return (
-        scored(spark, sf, P.profile_columns(tables))
-        .join(S.clustering_column(P.column_eligibility(tables)), "table", "left")
-        .join(evidence, "i", "left")
-        .fillna(False, ["has_aggregation"])
-    )
+    return scored(spark, sf).join(evidence, "i", "left").fillna(False, ["has_aggregation"])
 
 
 SCORED_SQL = f"""{SIZES_SQL}, shaped AS ({SHAPE_SQL}), used AS (
@@ -148,10 +141,9 @@ JUDGED_SQL = f"""{SCORED_SQL}, {matches_sql(1)}, evidence AS (
 SELECT "table" AS i, bool_or(is_aggregation) AS has_aggregation
 FROM (SELECT *, {CLASSES_SQL} FROM matched) WHERE NOT is_own GROUP BY 1
 ), judged AS (
-SELECT scored.*, coalesce(has_aggregation, false) AS has_aggregation, clustering_column,
+SELECT scored.*, coalesce(has_aggregation, false) AS has_aggregation,
   leaf_inserts > 0 AND leaf_updates = 0 AND leaf_deletes = 0 AS append
-FROM scored LEFT JOIN evidence USING (i) LEFT JOIN (SELECT "table", arg_min("column", ordinal) AS clustering_column
-  FROM profile WHERE analyzed AND is_date GROUP BY 1) USING ("table"))"""
+FROM scored LEFT JOIN evidence USING (i))"""
 
 RATIOS = ["scan_pct", "write_pct", "update_share_pct", "index_bloat_ratio", "potential_rowgroups"]
 _ROUNDED_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in RATIOS)

@@ -74,12 +74,12 @@ def table_sizes(profile: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 def table_shape(spark, sf):
-    return S.table_shape(full_profile(spark, sf))
+    return S.table_shape(full_profile(spark, sf)).drop("compressed_row_bytes")
 
 
 def compressed_estimate(spark, sf):
     profile = full_profile(spark, sf)
-    return S.compressed_estimate(profile, table_sizes(profile)).select(
+    return S.compressed_estimate(S.table_shape(profile), table_sizes(profile)).select(
         "table", "row_count",
         F.round("base_data_mb", 3).alias("base_data_mb"),
         F.round("compressed_mb", 3).alias("compressed_mb"),

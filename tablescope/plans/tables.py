@@ -104,5 +104,6 @@ SELECT "table", count(*) FILTER (analyzed) AS analyzed_columns,
   100.0 * (count(*) FILTER (analyzed AND distinct_ratio <= 0.10))::DOUBLE / count(*) FILTER (analyzed) AS pct_medium,
   list_sort(list(duplication_factor) FILTER (analyzed))[(count(*) FILTER (analyzed)) // 2 + 1] AS median_duplication_factor,
   count(*) FILTER (analyzed AND dictionary_pressure) AS dictionary_pressure_columns,
-  count(*) FILTER (is_lob) AS lob_columns, 0::BIGINT AS computed_columns
+  count(*) FILTER (is_lob) AS lob_columns, 0::BIGINT AS computed_columns,
+  arg_min("column", ordinal) FILTER (analyzed AND is_date) AS clustering_column
 FROM profile GROUP BY "table\""""

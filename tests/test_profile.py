@@ -121,7 +121,7 @@ def test_median_is_the_upper_middle(spark):
         [("t", i, float(i)) for i in (1, 2, 3, 4)], "table STRING, ordinal INT, duplication_factor DOUBLE"
     ).selectExpr(
         "*", "true AS analyzed", "1L AS sample_rows", "0.5D AS distinct_ratio", "false AS dictionary_pressure",
-        "false AS is_lob", "false AS is_computed",
+        "false AS is_lob", "false AS is_computed", "false AS is_date", "4.0D AS avg_byte_length", "'c' AS column",
     )
     assert S.table_shape(profile).first().median_duplication_factor == 3.0
 
@@ -189,9 +189,9 @@ def test_highlights_and_jackpot(frame):
     jackpot = S.jackpot_column(profile, sizes).first()
     assert (jackpot.column, jackpot.distinct_values) == ("s", 2)
     assert jackpot.payload_mb == 40.5 * 1_000_000 / 1024 / 1024
-    assert S.clustering_column(profile).first().clustering_column == "d"
+    assert S.clustering_column(profile).first().clustering_column == S.table_shape(profile).first().clustering_column == "d"
     assert [r.column for r in S.top_columns(profile, top=2).orderBy("rank").collect()] == ["s", "d"]
-    estimate = S.compressed_estimate(profile, sizes).first()
+    estimate = S.compressed_estimate(S.table_shape(profile), sizes).first()
     assert estimate.compressed_mb == pytest.approx((40.5 * 0.05 + 4 * 0.05 + 4 * 0.15 + 4 * 0.5) * 1e6 / 2**20)
     assert estimate.worth_reporting
 

@@ -1,5 +1,4 @@
 from conftest import rows
-from pyspark.sql import functions as F
 
 from tablescope.operators import discover as D
 from tablescope.operators import score as C
