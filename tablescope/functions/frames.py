@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +24,13 @@ def constant_rows(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataF
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    """Union by name, built as a balanced tree: each step is analysed again as a whole."""
+    frames = list(frames)
+    while len(frames) > 1:
+        pairs = zip(frames[::2], frames[1::2])
+        odd = frames[-1:] if len(frames) % 2 else []
+        frames = [a.unionByName(b) for a, b in pairs] + odd
+    return frames[0]
 
 
 def fits_broadcast(df: DataFrame) -> bool:
