@@ -186,19 +186,15 @@ def next_run(spark, sf):
 
 
 @history.query(f"""
-SELECT expected_prefix, c_custkey IS NOT NULL AS found, c_name AS name, c_acctbal > 0 AS enabled, last_run_outcome,
-  last_run_time, next_run_time
-FROM (VALUES ('customer#0000000'), ('Customer#00000012'), ('Nightly - ')) AS e(expected_prefix)
-LEFT JOIN customer ON starts_with(lower(c_name), lower(expected_prefix))
+SELECT e.server, expected_prefix, c_custkey IS NOT NULL AS found, c_custkey::VARCHAR AS job_id, c_name AS name,
+  c_acctbal > 0 AS enabled, last_run_outcome, last_run_time, next_run_time
+FROM (SELECT DISTINCT 'srv' || (c_custkey % 4) AS server, unnest(['customer#0000000', 'Customer#00000012', 'Nightly - '])
+    AS expected_prefix FROM customer) AS e
+LEFT JOIN customer ON 'srv' || (c_custkey % 4) = e.server AND starts_with(lower(c_name), lower(expected_prefix))
 LEFT JOIN ({_LAST_SQL}) AS l ON l.user_id = c_custkey LEFT JOIN ({_NEXT_SQL}) AS n ON n.user_id = c_custkey""")
 def maintenance_status(spark, sf):
     prefixes = ["customer#0000000", "Customer#00000012", "Nightly - "]
-    covered = O.expected_coverage(_jobs(spark, sf), "name", prefixes)
-    return (
-        covered.join(O.latest_run(_runs(spark, sf)), O.JOB_KEY, "left")
-        .join(O.next_run(_activity(spark, sf)), O.JOB_KEY, "left")
-        .drop(*O.JOB_KEY)
-    )
+    return O.maintenance_status(_jobs(spark, sf), _runs(spark, sf), _activity(spark, sf), prefixes)
 
 
 @history.query("""
@@ -211,12 +207,18 @@ def expected_coverage(spark, sf):
 
 
 @history.query("""
-SELECT component, modified IS NOT NULL AS installed, strftime(modified, '%Y-%m-%d') AS version,
+SELECT server, component, modified IS NOT NULL AS installed, strftime(modified, '%Y-%m-%d') AS version,
   CASE WHEN modified IS NULL THEN 'not found - install from ' || pointer ELSE '' END AS instructions
-FROM (VALUES ('Click', 'a'), ('PURCHASE', 'b'), ('refund', 'c')) AS e(component, pointer)
-LEFT JOIN (SELECT event_type, max(ts) AS modified FROM events GROUP BY 1) ON event_type = lower(component)""")
+FROM (SELECT DISTINCT 'srv' || user_id AS server FROM events)
+JOIN (VALUES ('Click', 'a'), ('PURCHASE', 'b'), ('refund', 'c')) AS e(component, pointer) ON true
+LEFT JOIN (SELECT 'srv' || user_id AS owner, event_type, max(ts) AS modified FROM events WHERE value > 100 GROUP BY ALL)
+  ON owner = server AND event_type = lower(component)""")
 def component_inventory(spark, sf):
-    found = _events(spark, sf).select(F.col("event_type").alias("name"), F.col("ts").alias("modified"))
+    # Small events are other components: they only make their server known.
+    name = F.when(F.col("value") > 100, F.col("event_type")).otherwise("other")
+    found = _events(spark, sf).select(
+        _text("srv", F.col("user_id")).alias("server"), name.alias("name"), F.col("ts").alias("modified")
+    )
     return O.component_inventory(found, {"Click": "a", "PURCHASE": "b", "refund": "c"})
 
 
