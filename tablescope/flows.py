@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.columns import moment
-from tablescope.functions.constants import MIN_MB, MIN_ROWS, TOP_TABLES
+from tablescope.functions.constants import MIN_MB, MIN_ROWS, SAMPLE_TARGET_ROWS, TOP_TABLES
 from tablescope.functions.frames import latest_snapshot
 from tablescope.operators import access as A
 from tablescope.operators import discover as D
@@ -152,8 +152,9 @@ def table_report(
     facts: DataFrame,
     log: DataFrame | None = None,
     index_inputs: Mapping[str, DataFrame] | None = None,
-    sample_target: int | None = None,
     row_counts: Mapping[str, int] | None = None,
+    sample_target: int = SAMPLE_TARGET_ROWS,
+    sample_files: bool = False,
     lob_columns: Iterable[tuple[str, str]] = (),
     computed_columns: Iterable[tuple[str, str]] = (),
 ) -> dict[str, DataFrame]:
@@ -162,14 +163,14 @@ def table_report(
     `facts` has one row per table of `tables` (see table_facts). `log` is a
     statement log; a statement belongs to a table whose table_name it contains.
     `index_inputs` are indexes, index_columns, partition_stats and index_usage.
-    Tables with more than twice `sample_target` rows (by `row_counts`) are sampled.
+    Tables listed in `row_counts` with more than twice `sample_target` rows are
+    sampled, by rows or by whole files; the others are read whole.
     """
-    if sample_target is not None:
-        counts = row_counts or {}
-        tables = {
-            name: P.sample_table(df, counts[name], sample_target) if name in counts else df
-            for name, df in tables.items()
-        }
+    counts = row_counts or {}
+    tables = {
+        name: P.sample_table(df, counts.get(name, 0), sample_target, by_file=sample_files)
+        for name, df in tables.items()
+    }
     profile = P.profile_columns(tables, lob_columns, computed_columns)
     rated = D.size_ratios(D.write_ratios(D.usage_ratios(facts.join(S.table_shape(profile), "table"))))
     scored = C.score_tables(rated).withColumn("compressed_mb", S.compressed_mb())

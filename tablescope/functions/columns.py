@@ -11,10 +11,6 @@ MICROS_PER_DAY = 86_400_000_000.0
 MICROS_PER_HOUR = 3_600_000_000.0
 
 
-def as_column(value: Column | str) -> Column:
-    return F.col(value) if isinstance(value, str) else value
-
-
 def safe_div(n: Column, d: Column) -> Column:
     """n / d as double, 0 where d is zero or null (ANSI mode would raise)."""
     return F.when(F.coalesce(d, F.lit(0)) == 0, F.lit(0.0)).otherwise(

@@ -334,11 +334,24 @@ def sample_table(
     target: int = SAMPLE_TARGET_ROWS,
     key: str | None = None,
     seed: int = SAMPLE_SEED,
+    by_file: bool = False,
 ) -> DataFrame:
-    """Seeded row sample, or with `key` a sample of whole keys that any engine can repeat."""
+    """Seeded sample of a table with more than twice `target` rows; smaller tables are kept whole.
+
+    By default single rows are drawn, which reads every file. With `key`, whole keys
+    are drawn by hash, which any engine can repeat. With `by_file`, whole files are
+    drawn: the others are not opened, which suits tables of thousands of files.
+    """
     percent = sample_percent(rows, target)
     if percent is None:
         return df
+    if by_file:
+        return df.filter(_file_bucket(seed) < int(round(percent * 10_000)))
     if key is None:
         return df.sample(withReplacement=False, fraction=percent / 100, seed=seed)
     return df.filter(hash_bucket(F.col(key)) < int(round(percent * 10_000)))
+
+
+def _file_bucket(seed: int) -> Column:
+    """Bucket of the file a row comes from. Spark prunes files on it before the scan."""
+    return F.pmod(F.xxhash64("_metadata.file_path", F.lit(seed)), F.lit(1_000_000))

@@ -212,3 +212,19 @@ def test_byte_length(spark):
     df = spark.sql("SELECT * FROM VALUES ('é', 1, DATE'2024-01-01', 1.5, array(1)), (NULL, NULL, NULL, NULL, NULL) AS t(s, i, d, n, a)")
     sized = df.select(*[byte_length(F.col(f.name), f.dataType) for f in df.schema])
     assert [tuple(r) for r in sized.collect()] == [(2, 4, 4, 8, None), (None,) * 5]
+
+
+def test_file_sample_opens_only_the_drawn_files(spark, tmp_path):
+    path = str(tmp_path / "many")
+    spark.range(4_000, numPartitions=100).write.parquet(path)
+    table = spark.read.parquet(path)
+    sample = P.sample_table(table, 4_000, target=1_000, by_file=True)
+    assert sample.columns == ["id"]
+    drawn = {r[0].rsplit("/", 1)[1] for r in sample.select("_metadata.file_path").distinct().collect()}
+    assert 10 < len(drawn) < 45 and sample.count() == len(drawn) * 40
+    assert rows(sample) == rows(P.sample_table(spark.read.parquet(path), 4_000, target=1_000, by_file=True))
+    # The other files are never opened: breaking them goes unnoticed.
+    for file in (tmp_path / "many").glob("part-*"):
+        if file.name not in drawn:
+            file.write_bytes(b"broken")
+    assert profile_of(sample)["id"].distinct_values == len(drawn) * 40
