@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import bpe, chat, language, packing, toxicity
+from tablescope.llm import bpe, chat, jaccard, language, neighbours, packing, pii, product, suffixes, toxicity
 from tablescope.llm.common import held_out, shipped, table, tokenizer_path
 
 queries: dict = {}
@@ -31,6 +31,25 @@ def op1_sum_of_squares_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+@query
+def op2_disclosure_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.detect(table(spark, sf, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, k)) for k in range(len(pii.KINDS))]
+    counts = [(F.size("base") - n).cast("long").alias(f"n_{kind}") for n, kind in zip(counts, pii.KINDS)]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.described(F.col("base")), 256).alias("base_sha256"),
+        pii.described(F.col("all_spans")).alias("spans"),
+    )
+
+
+@query
+def op3_product_quantised_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return product.near_duplicates(table(spark, sf, "embeddings"))
+
+
 @query
 def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
@@ -42,6 +61,16 @@ def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(docs.select("doc_id", out.alias("held_out"), "text"), model).drop("text")
 
 
+@query
+def op5_sparse_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf, "documents"))
+
+
+@query
+def op6_stable_projection_search(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op7_segment_tree_bpe(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
@@ -96,6 +125,11 @@ FROM marked GROUP BY conv_id
 """
 
 
+@query
+def op9_signature_tree_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf, "documents")).drop("set_id")
+
+
 @query
 def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
