@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.columns import moment
 from tablescope.functions.constants import MIN_MB, MIN_ROWS, SAMPLE_TARGET_ROWS, TOP_TABLES
-from tablescope.functions.frames import latest_snapshot
+from tablescope.functions.frames import newest_snapshot
 from tablescope.operators import access as A
 from tablescope.operators import discover as D
 from tablescope.operators import findings as N
@@ -24,28 +24,21 @@ from tablescope.operators import score as C
 from tablescope.operators import shape as S
 from tablescope.operators import workload as L
 
-# State-like inputs and what one of their rows is about (besides the server).
-STATE_KEYS = {
-    "waits": ["wait_type"],
-    "databases": ["database_name"],
-    "integrity_checks": ["database_name"],
-    "settings": ["name"],
-    "temp_files": ["name"],
-    "jobs": ["job_id"],
-    "principals": ["principal_id"],
-    "replicas": ["ag_name", "replica"],
-    "replica_databases": ["ag_name", "replica", "database_name"],
-}
+# Inputs that list a server's state: each snapshot (collected_at) lists all of it.
+STATE = (
+    "waits databases integrity_checks settings temp_files jobs principals replicas replica_databases db_principals"
+    " server_role_members linked_servers components db_role_members db_permissions objects db_schemas columns"
+).split()
 
 
 def current_state(inputs: Mapping[str, DataFrame], as_of) -> dict[str, DataFrame]:
-    """Inputs that carry collected_at, reduced to their newest rows as of `as_of`."""
+    """Inputs that carry collected_at, reduced to each server's newest snapshot as of `as_of`."""
     out = dict(inputs)
-    for name, keys in STATE_KEYS.items():
+    for name in STATE:
         df = inputs.get(name)
         if df is not None and "collected_at" in df.columns:
-            limit = moment(as_of).cast(df.schema["collected_at"].dataType)
-            out[name] = latest_snapshot(df, ["server", *keys], "collected_at", limit).drop("collected_at")
+            limit = None if as_of is None else moment(as_of).cast(df.schema["collected_at"].dataType)
+            out[name] = newest_snapshot(df, "collected_at", limit).drop("collected_at")
     return out
 
 
@@ -68,13 +61,15 @@ def health_check(
     if has("components"):
         out["components"] = O.component_inventory(at["components"])
     if has("jobs", "job_runs", "job_activity"):
-        out["maintenance_jobs"] = O.maintenance_status(at["jobs"], at["job_runs"], at["job_activity"])
+        out["maintenance_jobs"] = O.maintenance_status(
+            at["jobs"], O.until(at["job_runs"], "run_time", as_of), O.until(at["job_activity"], "start_time", as_of)
+        )
     if has("waits"):
         checks.append(O.wait_findings(O.top_waits(at["waits"])))
     if has("integrity_checks"):
         checks.append(O.integrity_findings(at["integrity_checks"], as_of))
     if has("databases", "backups"):
-        checks.append(O.freshness_findings(O.backup_recency(at["databases"], at["backups"]), as_of))
+        checks.append(O.freshness_findings(O.backup_recency(at["databases"], at["backups"], as_of), as_of))
     measures = []
     if has("temp_files"):
         measures.append(O.temp_file_measures(at["temp_files"]))
@@ -109,14 +104,19 @@ def health_check(
     return out
 
 
-def access_audit(inputs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Logins, users, grants, findings and summaries of every database."""
+def access_audit(inputs: Mapping[str, DataFrame], as_of=None, grants: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Logins, users, grants, findings and summaries of every database, as each server's newest snapshot has them.
+
+    Five outputs read the resolved grants: pass them as a written table (`grants`) to resolve them once.
+    """
+    inputs = current_state(inputs, as_of)
     roles = A.principal_roles(inputs["principals"], inputs["server_role_members"])
     users = A.resolve_users(inputs["db_principals"], inputs["principals"])
     logins = A.users_per_login(roles, users)
-    grants = A.resolve_grants(
-        inputs["db_permissions"], inputs["db_principals"], inputs["objects"], inputs["db_schemas"], inputs["columns"]
-    )
+    if grants is None:
+        grants = A.resolve_grants(
+            inputs["db_permissions"], inputs["db_principals"], inputs["objects"], inputs["db_schemas"], inputs["columns"]
+        )
     return {
         "logins": logins,
         "users": users,
@@ -157,6 +157,7 @@ def table_report(
     sample_files: bool = False,
     lob_columns: Iterable[tuple[str, str]] = (),
     computed_columns: Iterable[tuple[str, str]] = (),
+    profile: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Profile, score and judge tables, and review their indexes.
 
@@ -164,14 +165,16 @@ def table_report(
     statement log; a statement belongs to a table whose table_name it contains.
     `index_inputs` are indexes, index_columns, partition_stats and index_usage.
     Tables listed in `row_counts` with more than twice `sample_target` rows are
-    sampled, by rows or by whole files; the others are read whole.
+    sampled, by rows or by whole files; the others are read whole. Most outputs read the profile: pass it
+    as a written table (`profile`, from profile_columns) to read the tables once.
     """
     counts = row_counts or {}
     tables = {
         name: P.sample_table(df, counts.get(name, 0), sample_target, by_file=sample_files)
         for name, df in tables.items()
     }
-    profile = P.profile_columns(tables, lob_columns, computed_columns)
+    if profile is None:
+        profile = P.profile_columns(tables, lob_columns, computed_columns)
     rated = D.size_ratios(D.write_ratios(D.usage_ratios(facts.join(S.table_shape(profile), "table"))))
     scored = C.score_tables(rated).withColumn("compressed_mb", S.compressed_mb())
     out = {"columns": profile, "highlights": S.shape_highlights(profile)}

@@ -90,7 +90,8 @@ def hash_bucket(key: Column, buckets: int = 1_000_000) -> Column:
 
 
 def int_datetime(yyyymmdd: Column, hhmmss: Column) -> Column:
-    return F.to_timestamp(F.format_string("%08d%06d", yyyymmdd, hhmmss), "yyyyMMddHHmmss")
+    """Null for what is no moment, such as the 0 and 0 of a job that never ran."""
+    return F.try_to_timestamp(F.format_string("%08d%06d", yyyymmdd, hhmmss), F.lit("yyyyMMddHHmmss"))
 
 
 def megabytes_from_pages(pages: Column) -> Column:

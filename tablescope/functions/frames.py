@@ -72,6 +72,19 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -
     return df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= k).drop("_rank")
 
 
+def newest_snapshot(
+    df: DataFrame, time: str, as_of: Column | None = None, keys: Sequence[str] = ("server",)
+) -> DataFrame:
+    """The rows of each server's newest snapshot no later than `as_of`: what it no longer lists is gone.
+
+    The times come from one small aggregate, one row per server.
+    """
+    if as_of is not None:
+        df = df.filter(F.col(time) <= as_of)
+    newest = df.groupBy(*keys).agg(F.max(time).alias(time))
+    return df.join(newest, [*keys, time], "left_semi")
+
+
 def latest_snapshot(
     df: DataFrame, keys: Sequence[str], time: str, as_of: Column | None = None
 ) -> DataFrame:

@@ -172,11 +172,15 @@ def union_findings(checks: Sequence[DataFrame]) -> DataFrame:
 def finalize(
     checks: Sequence[DataFrame], database: str, all_databases: bool = False, keys: Sequence[str] = ("server",)
 ) -> DataFrame:
-    """Union, scope, then de-duplicate; within a check the finding text decides what is first."""
+    """Union, scope, then de-duplicate.
+
+    Of equal findings the first stays: by check, title, details, database, object, recommendation, question, and last by a
+    digest of the whole row (maps as JSON), so that the survivor is always the same.
+    """
     scoped = scope_to_database(union_findings(checks), database, all_databases)
-    return dedupe_keep_first(
-        scoped, ["seq", "title", "details", "database", "object", "recommendation"], keys=keys
-    )
+    whole = F.md5(F.to_json(F.struct(*scoped.columns), {"ignoreNullFields": "false"}))
+    order = ["seq", "title", "details", "database", "object", "recommendation", "question", "_whole"]
+    return dedupe_keep_first(scoped.withColumn("_whole", whole), order, keys=keys).drop("_whole")
 
 
 def by_urgency(findings: DataFrame) -> DataFrame:

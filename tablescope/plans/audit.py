@@ -260,7 +260,7 @@ def grant_targets(spark, sf):
 
 @audit.query(f"WITH {_GRANTS_SQL} {_GROUPED_SQL.format(cap=3, where='')}")
 def group_grants(spark, sf):
-    return A.group_grants(_grants(spark, sf), cap=3).drop("targets")
+    return A.group_grants(_grants(spark, sf), cap=3).drop("first_targets")
 
 
 _RISKY = "WHERE (state = 'GRANT' AND upper(permission) IN ('CONTROL', 'ALTER', 'TAKE OWNERSHIP')) OR lower(grantee) = 'public'"
@@ -270,7 +270,7 @@ _RISKY = "WHERE (state = 'GRANT' AND upper(permission) IN ('CONTROL', 'ALTER', '
 SELECT *, CASE WHEN lower(grantee) = 'public' THEN 'High' ELSE 'Medium' END AS severity
 FROM ({_GROUPED_SQL.format(cap=10, where=_RISKY)})""")
 def risky_grants(spark, sf):
-    return A.risky_grants(_grants(spark, sf)).drop("targets")
+    return A.risky_grants(_grants(spark, sf)).drop("first_targets")
 
 
 @audit.query(f"""WITH {_GRANTS_SQL}
@@ -289,4 +289,4 @@ def risky_grant_findings(spark, sf):
 SELECT * EXCLUDE (rk) FROM (SELECT *, row_number() OVER (PARTITION BY server, database ORDER BY target_count DESC,
   grantee, grantee_type, class_desc, permission, state) AS rk FROM ({_GROUPED_SQL.format(cap=3, where='')})) WHERE rk <= 20""")
 def top_grant_groups(spark, sf):
-    return A.top_grant_groups(A.group_grants(_grants(spark, sf), cap=3), top=20).drop("targets")
+    return A.top_grant_groups(A.group_grants(_grants(spark, sf), cap=3), top=20).drop("first_targets")

@@ -76,7 +76,7 @@ def scored(spark, sf, profile=None):
 def judged(spark, sf):
     """Scored tables with aggregation evidence."""
     evidence = (
-        L.heaviest_statement(matches(spark, sf, top=1))
+        L.heaviest_statement(matches(spark, sf))
         .filter(F.col("table") < 14)
         .select(F.col("table").alias("i"), "has_aggregation")
     )
@@ -137,7 +137,7 @@ NOTES_SQL = """CASE WHEN has_columnstore THEN 'Already has a columnstore index'
   CASE WHEN page_io_latch_wait_ms > 60000
     THEN 'high PAGEIOLATCH waits - IO-bound scans; columnstore compression usually helps here' END) END AS notes"""
 
-JUDGED_SQL = f"""{SCORED_SQL}, {matches_sql(1)}, evidence AS (
+JUDGED_SQL = f"""{SCORED_SQL}, {matches_sql(20)}, evidence AS (
 SELECT "table" AS i, bool_or(is_aggregation) AS has_aggregation
 FROM (SELECT *, {CLASSES_SQL} FROM matched) WHERE NOT is_own GROUP BY 1
 ), judged AS (

@@ -239,15 +239,11 @@ def _recent_usage(spark, sf):
     )
 
 
-@statements.query("""
+@statements.query(f"""WITH {matches_sql(20)}
 SELECT server, all_unused, coalesce(n, 0) AS matched_statements, all_unused AND coalesce(n, 0) > 0 AS counters_reset
 FROM (SELECT 'srv' || (c_custkey // 100) AS server,
     bool_and(NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey AND event_type <> 'error')) AS all_unused
   FROM customer GROUP BY 1) AS t
-LEFT JOIN (SELECT 'srv' || (o_custkey // 100) AS server, count(*) AS n FROM orders
-  WHERE o_totalprice > 499000 GROUP BY 1) AS m USING (server)""")
+LEFT JOIN (SELECT server, count(*) AS n FROM matched GROUP BY 1) AS m USING (server)""")
 def counters_reset_flag(spark, sf):
-    evidence = read_table(spark, sf, "orders").filter("o_totalprice > 499000").select(
-        F.concat(F.lit("srv"), F.floor(F.col("o_custkey") / 100).cast("string")).alias("server")
-    )
-    return L.counters_reset(_recent_usage(spark, sf), evidence)
+    return L.counters_reset(_recent_usage(spark, sf), matches(spark, sf))

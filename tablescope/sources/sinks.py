@@ -11,33 +11,48 @@ from pyspark.sql import types as T
 from tablescope.functions.columns import contains_ci, csv_clean
 from tablescope.functions.frames import top_k
 
-MAX_STATEMENT_CHARS = 4000
 RATIO_COLUMNS = ("distinct_ratio",)
 
 
-def csv_columns(df: DataFrame) -> DataFrame:
-    """Text without line breaks, numbers rounded (ratios to four decimals, others to two),
-    lists joined by ', ', maps and structs as JSON."""
+def plain_number(value: Column, places: int) -> Column:
+    """Rounded, as text without exponent and without trailing zeros; what is not finite stays a word.
+
+    Doubles beyond 28 digits keep their own form: they have no decimals to round.
+    """
+    exact = F.round(value, places).cast(f"decimal(38,{places})").cast("string")
+    short = F.regexp_replace(F.regexp_replace(exact, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.coalesce(F.when(short == "-0", "0").otherwise(short), value.cast("string"))
+
+
+def csv_columns(df: DataFrame, statement_chars: int | None = None) -> DataFrame:
+    """Text without line breaks, numbers rounded (ratios to four decimals, others to two) and written plainly,
+    lists joined by ', ', maps and structs as JSON.
+
+    With `statement_chars`, a statement_text that is longer is cut there and marked by '...'.
+    """
     out = []
     for field in df.schema.fields:
         col = F.col(f"`{field.name}`")
         kind = field.dataType
         if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-            col = F.round(col, 4 if field.name in RATIO_COLUMNS else 2)
+            col = plain_number(col, 4 if field.name in RATIO_COLUMNS else 2)
         elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
             col = csv_clean(F.array_join(col, ", "))
         elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
             col = csv_clean(F.to_json(col))
         elif isinstance(kind, T.StringType):
-            col = csv_clean(F.left(col, F.lit(MAX_STATEMENT_CHARS)) if field.name == "statement_text" else col)
+            if field.name == "statement_text" and statement_chars is not None:
+                cut = F.concat(F.left(col, F.lit(statement_chars)), F.lit("..."))
+                col = F.when(F.char_length(col) > statement_chars, cut).otherwise(col)
+            col = csv_clean(col)
         out.append(col.alias(field.name))
     return df.select(*out)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Quotes are doubled, nulls are empty; timestamps as yyyy-MM-dd HH:mm:ss."""
-    csv_columns(df).write.mode(mode).options(
-        header=True, quote='"', escape='"', emptyValue="", nullValue="",
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", statement_chars: int | None = None) -> None:
+    """Quotes are doubled, nulls are empty, spaces at the ends stay; timestamps as yyyy-MM-dd HH:mm:ss."""
+    csv_columns(df, statement_chars).write.mode(mode).options(
+        header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, quote='"', escape='"', emptyValue="", nullValue="",
         timestampFormat="yyyy-MM-dd HH:mm:ss", timestampNTZFormat="yyyy-MM-dd HH:mm:ss",
     ).csv(path)
 

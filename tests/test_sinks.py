@@ -16,12 +16,24 @@ def test_csv(spark, tmp_path):
     )
     sinks.write_csv(df.coalesce(1), str(tmp_path / "out"))
     text = next((tmp_path / "out").glob("part-*.csv")).read_text()
-    assert text.splitlines()[1] == '"a,b","say ""hi""",x  y,,1.23,0.1235,"k, l",2024-01-02 03:04:05,' + "z" * 4000
+    assert text.splitlines()[1] == '"a,b","say ""hi""",x  y,,1.23,0.1235,"k, l",2024-01-02 03:04:05,' + "z" * 5000
+
+
+def test_csv_numbers_spaces_and_cut(spark, tmp_path):
+    df = spark.createDataFrame(
+        [(12345678.9, 2.0, "  pad  ", "x" * 12), (0.001, -0.0, "", "short"), (float("nan"), 1e30, None, None)],
+        "a DOUBLE, b DOUBLE, c STRING, statement_text STRING",
+    )
+    sinks.write_csv(df.coalesce(1), str(tmp_path / "out"), statement_chars=10)
+    lines = next((tmp_path / "out").glob("part-*.csv")).read_text().splitlines()
+    assert lines[1:3] == ["12345678.9,2,  pad  ," + "x" * 10 + "...", "0,0,,short"]
+    back = spark.read.csv(str(tmp_path / "out"), header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    assert {r.a for r in back.collect()} == {"12345678.9", "0", "NaN"}
 
 
 def test_csv_decimal_values_stay_numbers(spark):
     out = sinks.csv_columns(spark.sql("SELECT CAST(1.256 AS DECIMAL(9,3)) AS d, map('a', 'b') AS m, 5 AS i")).first()
-    assert (float(out.d), out.m, out.i) == (1.26, '{"a":"b"}', 5)
+    assert (out.d, out.m, out.i) == ("1.26", '{"a":"b"}', 5)
 
 
 def test_nested_report_round_trip(spark, tmp_path):
