@@ -207,6 +207,9 @@ class Scorer:
                 self.parts[p] = self.words[own[0]] if own else 0
 
     def score(self, some: list[str]) -> Iterator[tuple[str, float]]:
+        if not self.model.languages:
+            yield from ((UNKNOWN, 0.0) for _ in some)
+            return
         cut = [chunks(t) for t in some]
         if self.size > CACHED or len(self.parts) > CACHED:
             self.clear()
@@ -215,7 +218,7 @@ class Scorer:
         get = self.parts.__getitem__
         for c in cut:
             at = np.fromiter(map(get, c), np.int64, len(c))
-            if not self.model.languages or not at.any():
+            if not at.any():
                 yield UNKNOWN, 0.0
                 continue
             total = self.table[at].sum(0, dtype=np.float64)
