@@ -94,9 +94,9 @@ def _health_inputs(spark, sf):
 
 @whole.query(f"""
 WITH latest AS (
-  SELECT server, wait_type, arg_max(ms, day) AS ms, max(day) AS day FROM (
+  SELECT * FROM (
     SELECT 'srv' || (user_id % 4) AS server, event_type AS wait_type, date_trunc('day', ts) AS day, sum(floor(value))::BIGINT AS ms
-    FROM events GROUP BY ALL) GROUP BY ALL),
+    FROM events GROUP BY ALL) WHERE day <= {H._ts} QUALIFY day = max(day) OVER (PARTITION BY server)),
 lag AS (
   SELECT user_id, count(*) FILTER (event_type = 'error') > 18 AS suspended, count(*) FILTER (event_type = 'view') > 16 AS stopped,
     floor((epoch_us({H._ts}) - epoch_us(max(ts))) / 1000000)::BIGINT AS lag_seconds, sum(floor(value))::BIGINT * 1000 AS redo
