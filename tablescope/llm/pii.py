@@ -252,9 +252,10 @@ def detect(docs: DataFrame, reach: int = 6, alpha: float = 1.25, support: int =
         .groupBy("text_key").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("terms"))
     )
     none = F.array().cast("array<struct<start:long,kind:int,end:long>>")
-    return spans.join(terms, "text_key", "left").select(
-        "doc_id", "text_key", "base", _spans(F.col("base"), F.coalesce("terms", none)).alias("all_spans")
-    )
+    # rows without entities share the null key, so they stay out of the join
+    held = spans.filter("text_key IS NOT NULL").join(terms, "text_key", "left")
+    held = held.select("doc_id", "text_key", "base", _spans(F.col("base"), F.coalesce("terms", none)).alias("all_spans"))
+    return held.unionByName(spans.filter("text_key IS NULL").select("doc_id", "text_key", "base", F.col("base").alias("all_spans")))
 
 
 def described(spans: F.Column) -> F.Column:
