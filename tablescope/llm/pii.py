@@ -293,7 +293,11 @@ def sanitise(docs: DataFrame, reach: int = 6, alpha: float = 1.25, support: int
     terms = written(terms, "terms")
     schema = docs.schema
     key = F.when(F.col("text").rlike("[0-9@]"), F.md5(F.col("text").cast("binary")))
-    keyed = docs.withColumn("_key", key).join(terms.withColumnRenamed("text_key", "_key"), "_key", "left")
+    keyed = docs.withColumn("_key", key)
+    # texts that can hold no entity share the null key, so they stay out of the join
+    joined = keyed.filter("_key IS NOT NULL").join(terms.withColumnRenamed("text_key", "_key"), "_key", "left")
+    plain = keyed.filter("_key IS NULL").withColumn("_terms", F.lit(None).cast(terms.schema["_terms"].dataType))
+    keyed = joined.unionByName(plain)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
