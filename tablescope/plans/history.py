@@ -346,14 +346,14 @@ ROLE = "Supplier#000000003"
 
 @history.query(f"""
 SELECT 'srv' AS server, 'Security' AS category, 'Info' AS severity,
-  '{ROLE} member: ' || s_name || CASE WHEN s_acctbal < 0 THEN ' (disabled)' ELSE '' END AS title
+  '{ROLE} member: ' || s_name || CASE WHEN s_acctbal < 0 THEN ' (disabled)' ELSE '' END AS title, NULL AS database
 FROM supplier WHERE s_suppkey % 3 <> 2
   AND EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_partkey % 1000 = 3)
-UNION ALL SELECT 'srv', 'Security', 'Info', 'Disabled login still present: ' || s_name FROM supplier
+UNION ALL SELECT 'srv', 'Security', 'Info', 'Disabled login still present: ' || s_name, NULL FROM supplier
 WHERE s_acctbal < 0 AND s_suppkey % 3 <> 2
-UNION ALL SELECT 'srv', 'Security', 'Low', 'Orphaned database user: ' || c_name FROM customer
+UNION ALL SELECT 'srv', 'Security', 'Low', 'Orphaned database user: ' || c_name, 'db' || c_nationkey FROM customer
 WHERE c_nationkey % 4 <> 0 AND c_custkey > 4 AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey * 3 = c_custkey)
-UNION ALL SELECT 'srv', 'Landmine', 'Info', 'Linked server: ' || n_name FROM nation""")
+UNION ALL SELECT 'srv', 'Landmine', 'Info', 'Linked server: ' || n_name, NULL FROM nation""")
 def inventory_findings(spark, sf):
     server = F.lit("srv").alias("server")
     sid = lambda key: key.cast("string").cast("binary").alias("sid")
@@ -367,8 +367,8 @@ def inventory_findings(spark, sf):
         server, F.col("l_suppkey").alias("member_principal_id"), (F.col("l_partkey") % 1000).alias("role_principal_id")
     )
     users = read_table(spark, sf, "customer").select(
-        server, F.col("c_custkey").alias("principal_id"), F.col("c_name").alias("name"), F.lit("S").alias("type"),
-        sid(F.col("c_custkey")),
+        server, _text("db", F.col("c_nationkey")).alias("database"), F.col("c_custkey").alias("principal_id"),
+        F.col("c_name").alias("name"), F.lit("S").alias("type"), sid(F.col("c_custkey")),
         F.when(F.col("c_nationkey") % 4 == 0, "DATABASE").otherwise("INSTANCE").alias("auth_type"),
     )
     nation, customer = read_table(spark, sf, "nation"), read_table(spark, sf, "customer")
@@ -384,7 +384,7 @@ def inventory_findings(spark, sf):
             O.linked_server_findings(linked),
         ]
     )
-    return by_urgency(found).select("server", "category", "severity", "title")
+    return by_urgency(found).select("server", "category", "severity", "title", "database")
 
 
 # ---- availability -----------------------------------------------------------
