@@ -46,18 +46,24 @@ def sampled_profile(spark, sf):
 
 
 def case_insensitive_profile(spark, sf):
-    """Distinct values under a case-insensitive comparison, text columns only."""
-    return P.profile_columns(
-        {"part": read_table(spark, sf, "part"), "pages": read_table(spark, sf, "pages"),
-         "documents": read_table(spark, sf, "documents")},
-        case_insensitive=True,
-    ).filter("is_string").select("table", "column", "sample_rows", "distinct_values")
+    """Distinct values of every text column under a case-insensitive comparison."""
+    tables = {t: read_table(spark, sf, t).select(*_text_columns(t)) for t in TABLES if _text_columns(t)}
+    return P.profile_columns(tables, case_insensitive=True).select("table", "column", "sample_rows", "distinct_values")
+
+
+def _text_columns(table: str) -> list[str]:
+    return [column for column, kind in columns_of(table) if kind == "text"]
 
 
 def approx_profile(spark, sf):
-    return P.profile_columns(
-        {"lineitem": read_table(spark, sf, "lineitem")}, approx=True
-    ).select("table", "column", "sample_rows", "null_count", "avg_byte_length", "distinct_values")
+    """Sketched profile of every column. A fifth is four standard errors of the sketch."""
+    tables = read_tables(spark, sf, TABLES)
+    exact = P.profile_columns(tables).select("table", "column", F.col("distinct_values").alias("exact_values"))
+    off = F.abs(F.col("distinct_values") - F.col("exact_values"))
+    return P.profile_columns(tables, approx=True).join(exact, ["table", "column"]).select(
+        "table", "column", "sample_rows", "null_count", "avg_byte_length",
+        (off <= F.col("exact_values") / 5).alias("within_a_fifth"),
+    )
 
 
 def table_sizes(profile: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -140,12 +146,11 @@ def _eligibility_sql() -> str:
 
 
 def _folded_sql() -> str:
-    columns = [("part", "p_name"), ("part", "p_brand"), ("part", "p_type"), ("pages", "url"), ("pages", "html"),
-               ("documents", "text"), ("documents", "lang"), ("documents", "source")]
     return " UNION ALL ".join(
         f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", count(*) AS sample_rows,"
         f" count(DISTINCT lower({c})) AS distinct_values FROM {t}"
-        for t, c in columns
+        for t in TABLES
+        for c in _text_columns(t)
     )
 
 
@@ -159,6 +164,8 @@ _ORACLES = {
         < round(round(greatest(0.1, least(100.0, 100.0 * {SAMPLE_TARGET} / total)), 4) * 10000)
 ), profile AS ({profile_sql(["orders"], "sampled")}) {_PROFILE_SELECT}""",
     "case_insensitive_profile": _folded_sql(),
+    "approx_profile": f"""{WITH_PROFILE}
+SELECT "table", "column", sample_rows, null_count, avg_byte_length, true AS within_a_fifth FROM profile""",
     "table_shape": f"{WITH_PROFILE} {SHAPE_SQL}",
     "compressed_estimate": f"""{WITH_PROFILE}, {SIZES_SQL}
 SELECT *, compressed_mb > 0 AND base_data_mb > 50 AND compressed_mb < base_data_mb * 0.6 AS worth_reporting
