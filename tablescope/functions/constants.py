@@ -11,7 +11,6 @@ SAMPLE_TARGET_ROWS = 1_000_000
 SAMPLE_SEED = 424242
 COLUMN_BATCH = 20
 STATEMENTS_PER_TABLE = 20
-INTERVAL_STATEMENTS = 500
 ROWGROUP_ROWS = 1_048_576
 MAX_SERVER_MEMORY_UNSET = 2_147_483_647
 REDO_QUEUE_WARNING_KB = 1_048_576

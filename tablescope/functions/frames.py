@@ -1,4 +1,4 @@
-"""Small DataFrame helpers: constant rows, skew-safe lookups, top-k, snapshots."""
+"""Small DataFrame helpers: constant rows, unions, top-k, snapshots."""
 
 from __future__ import annotations
 
@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-LOOKUP_SALTS = 16
-
 
 def constant_rows(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
     """Rules, names or column metadata as a local relation (schema-sized, never data-sized)."""
@@ -33,39 +31,6 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return frames[0]
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Does Catalyst estimate the rows to be small enough to broadcast in this session?
-
-    Sessions that offer no estimate (Spark Connect) answer no.
-    """
-    if not hasattr(df, "_jdf"):
-        return False
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= limit
-
-
-def salted_lookup(
-    fact: DataFrame,
-    dim: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    salts: int = LOOKUP_SALTS,
-) -> DataFrame:
-    """Join facts to a dimension that is unique on `on`, however hot one key is.
-
-    A dimension below the session's broadcast threshold is joined as it is: the
-    facts then stay where they are. Otherwise each fact row carries its input
-    partition number modulo `salts`, and the dimension is repeated once per salt,
-    so the rows of one key are spread over `salts` reducers. The salt depends on
-    the partition only, so a lost task that is run again places its rows as before.
-    """
-    if fits_broadcast(dim):
-        return fact.join(dim, list(on), how)
-    keyed = fact.withColumn("_salt", F.spark_partition_id() % F.lit(salts))
-    spread = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return keyed.join(spread, [*on, "_salt"], how).drop("_salt")
-
-
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """First k rows per key; planned with a per-task group limit before the shuffle."""
     window = W.partitionBy(*keys).orderBy(*order)

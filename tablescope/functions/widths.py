@@ -22,6 +22,7 @@ FIXED_WIDTH = {
     T.TimestampType: 8,
     T.TimestampNTZType: 8,
     T.DayTimeIntervalType: 8,
+    T.TimeType: 8,
 }
 
 

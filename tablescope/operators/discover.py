@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.columns import megabytes_from_pages, safe_div, safe_pct
 from tablescope.functions.constants import MIN_MB, MIN_ROWS, ROWGROUP_ROWS, TOP_TABLES
-from tablescope.functions.frames import salted_lookup, top_k
+from tablescope.functions.frames import top_k
 
 TABLE_KEY = ["server", "object_id"]
 USAGE = ["user_seeks", "user_scans", "user_lookups", "user_updates"]
@@ -51,7 +51,7 @@ def discover_tables(
     )
     user_tables = tables.filter(~F.col("is_system") & ~F.col("is_memory_optimized"))
     named = sized.join(user_tables, TABLE_KEY).drop("is_system", "is_memory_optimized")
-    named = salted_lookup(named, schemas, ["server", "schema_id"], "inner").drop("schema_id")
+    named = named.join(schemas, ["server", "schema_id"], "inner").drop("schema_id")
     biggest = [F.col("total_size_mb").desc(), F.col("schema_name"), F.col("table_name"), F.col("object_id")]
     return top_k(named, ["server"], biggest, top_n)
 

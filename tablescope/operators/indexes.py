@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.columns import megabytes_from_pages
 from tablescope.functions.constants import INDEX_NOTE_DROP, INDEX_NOTE_WIDE
-from tablescope.functions.frames import salted_lookup
 from tablescope.operators.discover import TABLE_KEY, USAGE
 
 INDEX_KEY = [*TABLE_KEY, "index_id"]
@@ -128,7 +127,7 @@ def index_findings(
     )
     per_table = tables.select(*TABLE_KEY, "base_data_mb").join(facts, TABLE_KEY, "left")
     # One table may own most of the indexes.
-    judged = salted_lookup(inventory.filter(_nonclustered()), per_table, TABLE_KEY, "inner")
+    judged = inventory.filter(_nonclustered()).join(per_table, TABLE_KEY, "inner")
 
     folded = lambda names: F.transform(names, F.lower)
     leading = F.lower(F.get("key_columns", F.lit(0)))

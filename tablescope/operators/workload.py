@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.columns import contains_ci, safe_div, safe_pct, starts_with_ci, thousands
 from tablescope.functions.constants import (
-    INTERVAL_STATEMENTS,
     STALE_LOG_REASON_BITS,
     STATEMENTS_PER_TABLE,
 )
-from tablescope.functions.frames import salted_lookup, top_k, union_all
+from tablescope.functions.frames import top_k, union_all
 
 # Up to this many names, each statement is tested against every name.
 DIRECT_NAMES = 256
 # More names are found through their first characters, broadcast in parts of this size.
 BROADCAST_NAMES = 200_000
-GRAM = 8
+# A name is keyed by its first characters: the most of these that it has.
+GRAMS = (8, 4, 2, 1)
 
 
 def slice_statement(text: Column, start: Column, end: Column) -> Column:
@@ -35,7 +35,7 @@ def _half(value: Column) -> Column:
 def cached_statements(stats: DataFrame, texts: DataFrame, source: str = "PlanCache") -> DataFrame:
     """Statement log from per-statement counters and batch texts; microseconds become ms."""
     # One batch may hold many of the statements.
-    joined = salted_lookup(stats, texts, ["server", "handle"], "inner")
+    joined = stats.join(texts, ["server", "handle"], "inner")
     return joined.select(
         "server",
         F.lit(source).alias("source"),
@@ -54,16 +54,16 @@ def interval_totals(
     plans: DataFrame,
     query_ids: DataFrame,
     texts: DataFrame,
-    top_n: int = INTERVAL_STATEMENTS,
+    top_n: int | None = None,
     source: str = "QueryStore",
 ) -> DataFrame:
-    """Interval averages rolled up to totals per statement text; the top_n by CPU per server.
+    """Interval averages rolled up to totals per statement text; with `top_n` only the first by CPU of each server.
 
-    Totals are formed per plan, query and text, each time before the next join,
+    Statements that go to `match_statements` are not cut here: it ranks them by reads. Totals are formed per plan, query and text, each time before the next join,
     so a hot plan or text is one row when it is shuffled.
     """
     runs = F.col("count_executions")
-    totals = salted_lookup(runtime_stats, intervals, ["server", "interval_id"], "inner").select(
+    totals = runtime_stats.join(intervals, ["server", "interval_id"], "inner").select(
         "server", "plan_id", "end_time", runs.alias("executions"),
         (F.col("avg_logical_io_reads") * runs).alias("reads"),
         (F.col("avg_cpu_time") * runs).alias("cpu"),
@@ -80,8 +80,9 @@ def interval_totals(
     by_query = roll(by_plan.join(plans, ["server", "plan_id"]), "query_id")
     by_text_id = roll(by_query.join(query_ids, ["server", "query_id"]), "text_id")
     by_text = roll(by_text_id.join(texts, ["server", "text_id"]), "query_text")
-    heaviest = top_k(by_text, ["server"], [F.col("cpu").desc(), F.col("query_text")], top_n)
-    return heaviest.select(
+    if top_n is not None:
+        by_text = top_k(by_text, ["server"], [F.col("cpu").desc(), F.col("query_text")], top_n)
+    return by_text.select(
         "server",
         F.lit(source).alias("source"),
         F.col("executions").alias("execution_count"),
@@ -113,7 +114,7 @@ def source_gate(status: DataFrame) -> DataFrame:
 def trusted_statements(log: DataFrame, gated: DataFrame) -> DataFrame:
     """Drops the statements of unusable sources; sources without a status stay."""
     unusable = gated.filter(~F.col("usable")).select("server", "source").distinct()
-    return salted_lookup(log, unusable, ["server", "source"], "left_anti")
+    return log.join(unusable, ["server", "source"], "left_anti")
 
 
 def match_statements(
@@ -133,11 +134,11 @@ def match_statements(
     """
     names = names.filter(F.col("name") != "").select("server", "table", "name").distinct()
     count = names.count()
-    foreign = log.filter(~contains_ci(F.col("statement_text"), "AS __rows"))
+    # both sides are lowered once, not per pair
+    names = names.withColumn("_name", F.lower("name"))
+    foreign = log.filter(~contains_ci(F.col("statement_text"), "AS __rows")).withColumn("_text", F.lower("statement_text"))
     if count <= direct_names:
-        matched = foreign.join(F.broadcast(names), "server").filter(
-            contains_ci(F.col("statement_text"), F.col("name"))
-        )
+        matched = foreign.join(F.broadcast(names), "server").filter(F.contains("_text", "_name"))
     else:
         parts = math.ceil(count / broadcast_names)
         bucket = F.pmod(F.xxhash64("server", "table", "name"), F.lit(parts))
@@ -150,25 +151,22 @@ def match_statements(
         F.col("execution_count").desc(),
         F.col("last_execution_time").desc(),
     ]
-    return top_k(matched.drop("name"), ["server", "table", "source"], order, top)
+    return top_k(matched.drop("name", "_name", "_text"), ["server", "table", "source"], order, top)
 
 
 def _match_by_gram(log: DataFrame, names: DataFrame) -> DataFrame:
-    """Names keyed by their first GRAM characters (all of them if shorter).
+    """Names keyed by their first characters, as many as the longest of GRAMS that they have.
 
     A statement lists each of its distinct character runs once, and a name has
     one key, so a pair is formed at most once; `contains` then settles it.
     """
-    lowered = F.lower("name")
-    keyed = names.withColumn("_gram", F.left(lowered, F.lit(GRAM)))
-    lengths = sorted(r[0] for r in keyed.select(F.char_length("_gram")).distinct().collect())
-    text = F.lower("statement_text")
-    runs = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
-    grams = F.array_distinct(F.concat(*runs)) if runs else F.array().cast("array<string>")
+    first = [F.when(F.char_length("_name") >= n, F.left("_name", F.lit(n))) for n in GRAMS]
+    keyed = names.withColumn("_gram", F.coalesce(*first))
+    runs = [F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in GRAMS]
     return (
-        log.withColumn("_gram", F.explode(grams))
+        log.withColumn("_gram", F.explode(F.array_distinct(F.concat(*runs))))
         .join(F.broadcast(keyed), ["server", "_gram"])
-        .filter(contains_ci(F.col("statement_text"), F.col("name")))
+        .filter(F.contains("_text", "_name"))
         .drop("_gram")
     )
 

@@ -18,7 +18,7 @@ def spark():
 
 @pytest.fixture
 def shuffled_joins(spark):
-    """No join may broadcast: exercises the salted way."""
+    """No join may broadcast: every lookup is a shuffled join."""
     name = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(name)
     spark.conf.set(name, "-1")

@@ -81,11 +81,18 @@ def test_resolve_grants(frame):
     assert rows(resolved.select(A.target_label().alias("t"), "resolved")) == sorted(WANT, key=repr)
 
 
-def test_resolve_grants_salted(shuffled_joins, frame):
+def test_resolve_grants_without_broadcasts(shuffled_joins, frame):
     resolved = A.resolve_grants(*catalog(frame))
     assert rows(resolved.select(A.target_label().alias("t"), "resolved")) == sorted(WANT, key=repr)
-    plan = final_plan(resolved)
-    assert "_salt" in plan and "BroadcastHashJoin" not in plan
+    assert "BroadcastHashJoin" not in final_plan(resolved)
+
+
+def test_risky_grants_are_filtered_before_they_are_named(shuffled_joins, frame):
+    risky = A.risky_grants(A.resolve_grants(*catalog(frame)))
+    plan = risky._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("upper(permission") > plan.index("Join LeftOuter")
+    first = plan[: plan.index("upper(permission")]
+    assert first.count("Join LeftOuter") == 3  # objects, columns and schemas are joined above the filter
 
 
 def logins(frame):
