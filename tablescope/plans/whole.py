@@ -55,7 +55,7 @@ def latest_snapshot(spark, sf):
 
 @whole.query(f"""WITH {H._OWNED_SQL}
 SELECT 'Landmine' AS category, 'Job "' || job || '" is owned by what looks like a personal login: ' || owner AS title,
-  'Who should own this job instead, or why does it need to stay as-is?' AS question FROM owned""")
+  'Which service account should own the job? If none, why?' AS question FROM owned""")
 def open_questions(spark, sf):
     found = H.O.owner_findings(H._owner_audit(spark, sf))
     return N.open_questions(N.union_findings([found])).select("category", "title", "question")
