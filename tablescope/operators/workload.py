@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,14 +10,12 @@ from tablescope.functions.constants import (
     STALE_LOG_REASON_BITS,
     STATEMENTS_PER_TABLE,
 )
-from tablescope.functions.frames import top_k, union_all
+from tablescope.functions.frames import top_k
 
-# Up to this many names, each statement is tested against every name.
-DIRECT_NAMES = 256
-# More names are found through their first characters, broadcast in parts of this size.
-BROADCAST_NAMES = 200_000
 # A name is keyed by its first characters: the most of these that it has.
 GRAMS = (8, 4, 2, 1)
+# Bits of each server's filter of name keys: 8 KB, however many names.
+FILTER_BITS = 1 << 16
 
 
 def slice_statement(text: Column, start: Column, end: Column) -> Column:
@@ -117,58 +113,52 @@ def trusted_statements(log: DataFrame, gated: DataFrame) -> DataFrame:
     return log.join(unusable, ["server", "source"], "left_anti")
 
 
-def match_statements(
-    log: DataFrame,
-    names: DataFrame,
-    top: int = STATEMENTS_PER_TABLE,
-    direct_names: int = DIRECT_NAMES,
-    broadcast_names: int = BROADCAST_NAMES,
-) -> DataFrame:
+def match_statements(log: DataFrame, names: DataFrame, top: int = STATEMENTS_PER_TABLE) -> DataFrame:
     """Statements that contain a table's name (literal, any case): top by reads per table and source.
 
-    `names` has server, table and name. Names are counted first. A few are tested
-    against every statement of their server. Many are looked up by their first
-    characters among the character runs of the statement, then verified; beyond
-    the broadcast bound the names are split and the log is read once per part.
-    The log itself is never broadcast and, before the top-k, never shuffled.
+    `names` has server, table and name. A name is looked up by its first
+    characters among the character runs of its server's statements, then
+    verified. Runs that cannot be a name's key are dropped inside the row, by a
+    filter of fixed size per server. The log is read once and never broadcast.
     """
     names = names.filter(F.col("name") != "").select("server", "table", "name").distinct()
-    count = names.count()
     # both sides are lowered once, not per pair
-    names = names.withColumn("_name", F.lower("name"))
+    first = [F.when(F.char_length("_name") >= n, F.left("_name", F.lit(n))) for n in GRAMS]
+    keyed = names.withColumn("_name", F.lower("name")).withColumn("_gram", F.coalesce(*first))
     foreign = log.filter(~contains_ci(F.col("statement_text"), "AS __rows")).withColumn("_text", F.lower("statement_text"))
-    if count <= direct_names:
-        matched = foreign.join(F.broadcast(names), "server").filter(F.contains("_text", "_name"))
-    else:
-        parts = math.ceil(count / broadcast_names)
-        bucket = F.pmod(F.xxhash64("server", "table", "name"), F.lit(parts))
-        matched = union_all(
-            [_match_by_gram(foreign, names.filter(bucket == part)) for part in range(parts)]
-        )
+    runs = F.concat(*[F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in GRAMS])
+    # a statement lists each run once and a name has one key, so a pair is formed at most once
+    likely = foreign.join(F.broadcast(_key_filters(keyed)), "server").withColumn(
+        "_gram", F.explode(F.array_distinct(F.filter(runs, lambda run: _passes(F.col("_filter"), run))))
+    )
+    matched = likely.drop("_filter").join(keyed, ["server", "_gram"]).filter(F.contains("_text", "_name"))
     order = [
         F.col("total_logical_reads").desc(),
         F.col("statement_text"),
         F.col("execution_count").desc(),
         F.col("last_execution_time").desc(),
     ]
-    return top_k(matched.drop("name", "_name", "_text"), ["server", "table", "source"], order, top)
-
+    return top_k(matched.drop("name", "_name", "_text", "_gram"), ["server", "table", "source"], order, top)
+
+
+def _key_filters(keyed: DataFrame) -> DataFrame:
+    """server, _filter: 64-bit words in which the bits of the server's name keys are set."""
+    bit = F.pmod(F.xxhash64("_gram"), F.lit(FILTER_BITS))
+    words = (
+        keyed.select("server", (bit / 64).cast("int").alias("_word"), (bit % 64).cast("int").alias("_bit"))
+        .groupBy("server", "_word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_bit"))).alias("_bits"))
+    )
+    held = words.groupBy("server").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_held"))
+    places = F.sequence(F.lit(0), F.lit(FILTER_BITS // 64 - 1))
+    return held.select(
+        "server", F.transform(places, lambda i: F.coalesce(F.try_element_at("_held", i), F.lit(0).cast("bigint"))).alias("_filter")
+    )
 
-def _match_by_gram(log: DataFrame, names: DataFrame) -> DataFrame:
-    """Names keyed by their first characters, as many as the longest of GRAMS that they have.
 
-    A statement lists each of its distinct character runs once, and a name has
-    one key, so a pair is formed at most once; `contains` then settles it.
-    """
-    first = [F.when(F.char_length("_name") >= n, F.left("_name", F.lit(n))) for n in GRAMS]
-    keyed = names.withColumn("_gram", F.coalesce(*first))
-    runs = [F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in GRAMS]
-    return (
-        log.withColumn("_gram", F.explode(F.array_distinct(F.concat(*runs))))
-        .join(F.broadcast(keyed), ["server", "_gram"])
-        .filter(F.contains("_text", "_name"))
-        .drop("_gram")
-    )
+def _passes(words: Column, key: Column) -> Column:
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    word = F.get(words, (bit / 64).cast("int"))
+    return F.call_function("shiftright", word, (bit % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
 def classify(df: DataFrame, text: str = "statement_text") -> DataFrame:

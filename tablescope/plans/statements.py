@@ -55,8 +55,8 @@ def table_names(spark, sf):
     )
 
 
-def matches(spark, sf, **options):
-    return L.match_statements(statement_log(spark, sf).drop("o_orderkey"), table_names(spark, sf), **options)
+def matches(spark, sf):
+    return L.match_statements(statement_log(spark, sf).drop("o_orderkey"), table_names(spark, sf))
 
 
 LOG_SQL = """log AS (
@@ -86,8 +86,13 @@ def match_statements(spark, sf):
 
 @statements.query(f"WITH {matches_sql(20)} SELECT * FROM matched")
 def match_statements_many_names(spark, sf):
-    """The way taken for long name lists, read in parts of ten names."""
-    return matches(spark, sf, direct_names=0, broadcast_names=10)
+    """Every customer's name is looked for too; no statement holds one."""
+    nation = read_table(spark, sf, "nation")
+    customers = read_table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    table = (-F.col("c_custkey")).cast(nation.schema["n_nationkey"].dataType)
+    more = customers.select(_region_server(F.col("n_regionkey")).alias("server"), table.alias("table"), F.col("c_name").alias("name"))
+    names = table_names(spark, sf).unionByName(more)
+    return L.match_statements(statement_log(spark, sf).drop("o_orderkey"), names)
 
 
 CLASSES_SQL = """starts_with(lower(ltrim(statement_text)), 'insert') AS is_insert,

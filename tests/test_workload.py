@@ -11,7 +11,8 @@ WHEN = datetime.datetime(2024, 1, 1)
 LOG = "server STRING, source STRING, execution_count BIGINT, total_logical_reads BIGINT, total_cpu_ms DOUBLE," \
       " total_elapsed_ms DOUBLE, last_execution_time TIMESTAMP, statement_text STRING"
 NAMES = "server STRING, table STRING, name STRING"
-WAYS = [dict(), dict(direct_names=0), dict(direct_names=0, broadcast_names=2)]
+# Names are joined by a broadcast, or, where they are many, by a shuffle.
+JOINS = ["spark", "shuffled_joins"]
 
 
 def log(spark, *statements, source="PlanCache"):
@@ -23,26 +24,28 @@ def names(spark, *values):
     return spark.createDataFrame([("s", v, v) for v in values], NAMES)
 
 
-@pytest.mark.parametrize("way", WAYS)
-def test_names_are_literal_and_case_insensitive(spark, way):
+@pytest.mark.parametrize("joins", JOINS)
+def test_names_are_literal_and_case_insensitive(spark, request, joins):
+    request.getfixturevalue(joins)
     entries = log(
         spark, (1, "select * from A_B"), (2, "select * from axb"), (3, "from OrdersArchive"), (4, "from orders"),
         (5, "SELECT COUNT_BIG(*) AS __ROWS from orders"), (6, "100%"), (7, "a"),
     )
-    matched = L.match_statements(entries, names(spark, "a_b", "Orders", "OrdersArchive", "0%", "x", ""), **way)
+    matched = L.match_statements(entries, names(spark, "a_b", "Orders", "OrdersArchive", "0%", "x", ""))
     assert rows(matched, "table", "total_logical_reads") == [
         ("0%", 6), ("Orders", 3), ("Orders", 4), ("OrdersArchive", 3), ("a_b", 1), ("x", 2),
     ]
 
 
-@pytest.mark.parametrize("way", WAYS)
-def test_match_equals_brute_force(spark, way):
+@pytest.mark.parametrize("joins", JOINS)
+def test_match_equals_brute_force(spark, request, joins):
+    request.getfixturevalue(joins)
     rng = random.Random(7)
     word = lambda n: "".join(rng.choice("abcé_%.\n") for _ in range(n))
     texts = [word(rng.randint(0, 60)) for _ in range(300)]
     wanted = sorted({word(rng.randint(1, 12)) for _ in range(40)})
     expected = sorted((w, i) for w in wanted for i, t in enumerate(texts) if w.lower() in t.lower())
-    matched = L.match_statements(log(spark, *enumerate(texts)), names(spark, *wanted), top=1000, **way)
+    matched = L.match_statements(log(spark, *enumerate(texts)), names(spark, *wanted), top=1000)
     assert rows(matched, "table", "total_logical_reads") == sorted(expected, key=repr)
 
 
@@ -60,14 +63,15 @@ def test_only_the_servers_own_names_match(spark):
     assert L.match_statements(log(spark, (1, "from t")), other).count() == 0
 
 
-@pytest.mark.parametrize("way", WAYS)
-def test_match_plan(spark, way):
+def test_match_plan(spark):
     entries = spark.range(100, numPartitions=4).select(
         F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("server"), F.lit("P").alias("source"),
         F.lit(1).alias("execution_count"), F.col("id").alias("total_logical_reads"), F.lit(WHEN).alias("last_execution_time"),
         F.concat(F.lit("from t"), F.col("id").cast("string")).alias("statement_text"),
     )
-    plan = final_plan(L.match_statements(entries, spark.createDataFrame([("s0", n, n) for n in ("t1", "t2", "t3")], NAMES), **way))
+    matched = L.match_statements(entries, spark.createDataFrame([("s0", n, n) for n in ("t1", "t2", "t3")], NAMES))
+    plan = final_plan(matched)
+    assert matched._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
     assert "WindowGroupLimit" in plan and "BroadcastHashJoin" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
