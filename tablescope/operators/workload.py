@@ -14,7 +14,7 @@ from tablescope.functions.frames import top_k
 
 # A name is keyed by its first characters: the most of these that it has.
 GRAMS = (8, 4, 2, 1)
-# Bits of each server's filter of name keys: 8 KB, however many names.
+# Bits of each server's filter of name keys: at most 1024 words, however many names.
 FILTER_BITS = 1 << 16
 
 
@@ -118,20 +118,26 @@ def match_statements(log: DataFrame, names: DataFrame, top: int = STATEMENTS_PER
 
     `names` has server, table and name. A name is looked up by its first
     characters among the character runs of its server's statements, then
-    verified. Runs that cannot be a name's key are dropped inside the row, by a
-    filter of fixed size per server. The log is read once and never broadcast.
+    verified. Runs that cannot be a name's key are dropped in the task that lists
+    them, by a filter of bounded size per server, before that lookup may shuffle.
+    The log is read once and never broadcast.
     """
     names = names.filter(F.col("name") != "").select("server", "table", "name").distinct()
     # both sides are lowered once, not per pair
     first = [F.when(F.char_length("_name") >= n, F.left("_name", F.lit(n))) for n in GRAMS]
     keyed = names.withColumn("_name", F.lower("name")).withColumn("_gram", F.coalesce(*first))
     foreign = log.filter(~contains_ci(F.col("statement_text"), "AS __rows")).withColumn("_text", F.lower("statement_text"))
-    runs = F.concat(*[F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in GRAMS])
+    # only runs as long as some key of the server
+    sizes = keyed.groupBy("server").agg(F.collect_set(F.char_length("_gram")).alias("_sizes"))
+    foreign = foreign.join(F.broadcast(sizes), "server")
+    found = [F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in GRAMS]
+    none = F.array().cast("array<string>")
+    runs = F.concat(*[F.when(F.array_contains("_sizes", n), f).otherwise(none) for n, f in zip(GRAMS, found)])
     # a statement lists each run once and a name has one key, so a pair is formed at most once
-    likely = foreign.join(F.broadcast(_key_filters(keyed)), "server").withColumn(
-        "_gram", F.explode(F.array_distinct(F.filter(runs, lambda run: _passes(F.col("_filter"), run))))
-    )
-    matched = likely.drop("_filter").join(keyed, ["server", "_gram"]).filter(F.contains("_text", "_name"))
+    listed = _placed(foreign.withColumn("_gram", F.explode(F.array_distinct(runs))))
+    marks = _placed(keyed).groupBy("server", "_word").agg(F.bit_or("_mark").alias("_marks"))
+    likely = listed.join(F.broadcast(marks), ["server", "_word"]).filter(F.col("_marks").bitwiseAND(F.col("_mark")) != 0)
+    matched = likely.drop("_word", "_mark", "_marks", "_sizes").join(keyed, ["server", "_gram"]).filter(F.contains("_text", "_name"))
     order = [
         F.col("total_logical_reads").desc(),
         F.col("statement_text"),
@@ -141,24 +147,12 @@ def match_statements(log: DataFrame, names: DataFrame, top: int = STATEMENTS_PER
     return top_k(matched.drop("name", "_name", "_text", "_gram"), ["server", "table", "source"], order, top)
 
 
-def _key_filters(keyed: DataFrame) -> DataFrame:
-    """server, _filter: 64-bit words in which the bits of the server's name keys are set."""
-    bit = F.pmod(F.xxhash64("_gram"), F.lit(FILTER_BITS))
-    words = (
-        keyed.select("server", (bit / 64).cast("int").alias("_word"), (bit % 64).cast("int").alias("_bit"))
-        .groupBy("server", "_word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_bit"))).alias("_bits"))
-    )
-    held = words.groupBy("server").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_held"))
-    places = F.sequence(F.lit(0), F.lit(FILTER_BITS // 64 - 1))
-    return held.select(
-        "server", F.transform(places, lambda i: F.coalesce(F.try_element_at("_held", i), F.lit(0).cast("bigint"))).alias("_filter")
-    )
-
-
-def _passes(words: Column, key: Column) -> Column:
-    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    word = F.get(words, (bit / 64).cast("int"))
-    return F.call_function("shiftright", word, (bit % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+def _placed(df: DataFrame) -> DataFrame:
+    """Adds the place of _gram in a filter of FILTER_BITS bits: a word of 64 bits, and a mark in it."""
+    key = F.xxhash64("_gram")
+    bit = F.pmod(F.shiftright(key, 32), F.lit(64)).cast("int")
+    mark = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    return df.withColumns({"_word": F.pmod(key, F.lit(FILTER_BITS // 64)), "_mark": mark})
 
 
 def classify(df: DataFrame, text: str = "statement_text") -> DataFrame:
