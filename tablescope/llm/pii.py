@@ -3,13 +3,17 @@ r"""Information-theoretic sanitisation of personal data.
 Protected entities are e-mail addresses, IP addresses, card and phone numbers, found by patterns. A term (a word) discloses an
 entity if the corpus shows that it nearly gives it away: with p over all documents,
 
-    PMI(entity, term) = log(p(entity, term) / (p(entity) p(term)))  >=  IC(entity) / alpha,   IC(entity) = -log p(entity)
+    PMI(entity, term) = log(p(entity, term) / (p(entity) p(term)))  >=  IC(entity) / alpha,  and > 0,   IC(entity) = -log p(entity)
 
-where a term goes with an entity if it stands within `reach` words of it, in at least `support` different
-surroundings (so copies of one text count once). Entities are generalised to their kind, disclosing
-terms to their class: a number to `[NUMBER]`, a word with a capital to `[NAME]`; other terms are removed.
+where a term goes with an entity if both stand in one document, however far apart, and at least `support` different texts
+hold both (so copies of one text count once), or the term stands within `reach` words of the entity in that many
+different surroundings. A disclosing term is found wherever it stands in a text that holds its entity. Entities are generalised to
+their kind, disclosing terms to their class: a number to `[NUMBER]`, a word with a capital to `[NAME]`; other terms are removed.
 
-All counts are exact and cover all documents. Texts are not shuffled to find spans; entities and terms travel as hashes.
+All counts are exact and cover all documents. Texts are not shuffled to find entities; only those that hold an entity seen in
+several texts or surroundings are read again, joined by their key. Entities and terms travel as hashes. As
+p(entity, term) <= p(entity), a term in more than N (n_entity / N) ** (1 / alpha) of N documents cannot pass; a table of fixed size keeps
+such pairs from being listed.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import filterfalse
 
 import numpy as np
@@ -31,8 +35,10 @@ from tablescope.llm.common import blocks, chunks, gc_rarely, texts, written
 KINDS = ("email", "ip", "card", "phone")
 CACHED = 400_000
 SENT = 100_000
-#: Bits of the filter that keeps most other words out of the count; its size is fixed, whatever the data.
+#: Cells of the tables that keep most other words and pairs out of the counts; their size is fixed, whatever the data.
 FILTER_BITS = 1 << 20
+#: Steps per doubling of a count in such a cell.
+STEPS = 4
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -99,7 +105,7 @@ def _entity(kind: int, text: str) -> int:
 def _surroundings(text: str, spans: list[tuple[int, int, int]], reach: int) -> list[dict]:
     """The terms within `reach` words (and 64 times as many characters) of each entity that lie in no entity.
 
-    `context` names the surrounding.
+    `context` names the surrounding. Terms farther off are found by `_terms`, in texts that may have some.
     """
     taken = sorted((a, b) for a, _, b in spans)
     words, upto, i = [], 0, 0
@@ -123,30 +129,46 @@ def _surroundings(text: str, spans: list[tuple[int, int, int]], reach: int) -> l
     out = []
     for a, kind, b in spans:
         at = int(np.searchsorted(starts, a))
-        near = kept[max(0, at - reach) : at + reach]
-        terms = [text[s:e] for s, e in near]
+        terms = [text[s:e] for s, e in kept[max(0, at - reach) : at + reach]]
         context = _hash(" ".join(terms).lower())
-        for (s, e), term in zip(near, terms):
-            out.append({"entity": _entity(kind, text[a:b]), "term": _hash(term.lower()), "context": context, "start": s, "end": e})
+        out += [{"entity": _entity(kind, text[a:b]), "term": _hash(term.lower()), "context": context} for term in terms]
     return out
 
 
+def _terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, word) of all words of a text that lie in none of its entities."""
+    taken: list[list[int]] = []
+    for a, _, b in spans:
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    i = 0
+    for m in _TERM.finditer(text):
+        s, e = m.span()
+        while i < len(taken) and taken[i][1] <= s:
+            i += 1
+        if (i == len(taken) or e <= taken[i][0]) and not m[0].isdigit():
+            yield s, e, m[0].lower()
+
+
 def _fingerprint(text: str) -> str:
     return hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()
 
 
 def find_spans(docs: DataFrame, reach: int = 6) -> DataFrame:
-    """doc_id, text -> doc_id, text_key, base (array of start, kind, end), near (terms around entities)."""
+    """doc_id, text -> doc_id, text_key, base (array of start, kind, end), entities, near (terms around entities)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            keys, base, near = [], [], []
+            keys, base, held, near = [], [], [], []
             for text in texts(block):
                 spans = find_entities(text)
                 keys.append(_fingerprint(text) if spans else None)
                 base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
+                held.append(list({_entity(k, text[a:b]) for a, k, b in spans}))
                 near.append(_surroundings(text, spans, reach) if spans else [])
-            columns = zip((keys, base, near), (f.type for f in list(shape)[1:]))
+            columns = zip((keys, base, held, near), (f.type for f in list(shape)[1:]))
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), *(pa.array(c, t) for c, t in columns)], names=shape.names)
 
     long, whole = pa.int64(), pa.int32()
@@ -155,14 +177,15 @@ def find_spans(docs: DataFrame, reach: int = 6) -> DataFrame:
             ("doc_id", long),
             ("text_key", pa.string()),
             ("base", pa.list_(pa.struct([("start", long), ("kind", whole), ("end", long)]))),
-            ("near", pa.list_(pa.struct([("entity", long), ("term", long), ("context", long), ("start", long), ("end", long)]))),
+            ("entities", pa.list_(long)),
+            ("near", pa.list_(pa.struct([("entity", long), ("term", long), ("context", long)]))),
         ]
     )
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
         run,
         f"doc_id {kind}, text_key string, base array<struct<start:long,kind:int,end:long>>,"
-        " near array<struct<entity:long,term:long,context:long,start:long,end:long>>",
+        " entities array<long>, near array<struct<entity:long,term:long,context:long>>",
     )
 
 
@@ -198,39 +221,115 @@ def _counted(docs: DataFrame, bits: bytes) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def disclosing_terms(docs: DataFrame, spans: DataFrame, alpha: float = 1.25, support: int = 2) -> DataFrame:
-    """(entity, term) pairs whose mutual information passes the threshold."""
-    spark = docs.sparkSession
-    near = spans.filter("text_key IS NOT NULL").select("text_key", "doc_id", F.explode("near").alias("x")).select("doc_id", "text_key", "x.*")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """text_key, text of the rows whose text can hold an entity."""
+    return docs.filter(F.col("text").rlike("[0-9@]")).select(F.md5(F.col("text").cast("binary")).alias("text_key"), "text")
+
+
+def _each_text(keyed: DataFrame, column: str, run: Callable[[str, list], Iterator[tuple]], names: list[str]) -> DataFrame:
+    """text_key, n, then the columns (longs) that `run` gives arrays of; n counts rows with that text in a block, which are read once.
+
+    run: text, value of `column` -> arrays of equal length, again and again.
+    """
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in list(zip(*parts))[2:]]
+            sizes = [len(p[2]) for p in parts]
+            key, n = (np.repeat(np.array(c, t), sizes) for c, t in zip(list(zip(*parts))[:2], (object, np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.string()), *map(pa.array, (n, *columns))], names=["text_key", "n", *names])
+
+        for block in blocks(batches):
+            keys = block.column("text_key").to_pylist()
+            copies = Counter(keys)
+            for key, text, own in zip(keys, block.column("text").to_pylist(), block.column(column).to_pylist()):
+                for arrays in run(text, own) if (n := copies.pop(key, 0)) else ():
+                    parts.append([key, n, *arrays])
+                    held += len(arrays[0])
+                    if held > SENT:
+                        yield out()
+                        parts, held = [], 0
+        if held:
+            yield out()
+
+    return keyed.select("text_key", "text", column).mapInArrow(rows, "text_key string, n long" + "".join(f", {c} long" for c in names))
+
+
+def _candidates(docs: DataFrame, held: DataFrame, live: DataFrame, total: int, alpha: float) -> tuple[DataFrame, DataFrame]:
+    """(candidates, counts): text_key, n, entity, term - terms of whole texts that may pass with an entity there.
+
+    counts: term, n_live - documents with a live entity that hold the term, at most n_term.
+    """
+    entities = held.select("text_key", F.explode("entities").alias("entity")).distinct().join(live, "entity")
+    wanted = written(entities.groupBy("text_key").agg(F.collect_list(F.struct("entity", "n_entity")).alias("live")), "wanted")
+    keyed = _keyed(docs).join(wanted, "text_key")
+    counts = written(_counted(keyed, b"\xff" * (FILTER_BITS // 8)).withColumnRenamed("n_term", "n_live"), "counts")
+    least = counts.groupBy(F.pmod("term", F.lit(FILTER_BITS)).alias("cell")).agg(F.min("n_live").alias("n")).toArrow()
+    # the least count of a cell's terms, rounded down: a pair that is left out cannot pass
+    rare = np.zeros(FILTER_BITS, np.uint8)
+    rare[least.column("cell").to_numpy()] = np.floor(STEPS * np.log2(least.column("n").to_numpy()))
+    packed = rare.tobytes()
+
+    def pairs(text: str, own: list) -> Iterator[tuple]:
+        levels = np.frombuffer(packed, np.uint8)
+        terms = np.array(list({_hash(w) for _, _, w in _terms(text, find_entities(text))}), np.int64)
+        level = levels[terms % FILTER_BITS]
+        for e in own:
+            some = terms[level <= STEPS * np.log2(total * (e["n_entity"] / total) ** (1 / alpha)) + 1e-6]
+            yield np.full(len(some), e["entity"], np.int64), some
+
+    return written(_each_text(keyed, "live", pairs, ["entity", "term"]), "candidates"), counts
+
+
+def term_spans(docs: DataFrame, spans: DataFrame, alpha: float = 1.25, support: int = 2) -> DataFrame:
+    """text_key, terms: every place of a term that discloses an entity of the text (start, kind 4, end); one row per text."""
+    held = spans.filter("text_key IS NOT NULL")
+    near = (
+        held.select(F.explode("near").alias("x")).groupBy("x.entity", "x.term").agg(F.count_distinct("x.context").alias("contexts"))
+        .filter(F.col("contexts") >= support)
+    )
+    near = written(near.select("entity", "term", F.lit(True).alias("near")), "near")
+    # an entity of one text, with no term in several surroundings, has no pair
+    live = (
+        held.select("text_key", F.explode("entities").alias("entity")).groupBy("entity", "text_key").agg(F.count("*").alias("n"))
+        .groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts"))
+        .join(near.select("entity").distinct().withColumn("near", F.lit(True)), "entity", "left").filter((F.col("texts") >= support) | F.col("near"))
+    )
+    live = written(live.select("entity", "n_entity"), "live")
+    total = docs.count()
+    candidates, counts = _candidates(docs, held, live, max(total, 1), alpha)
+    n = F.col
+    least = -F.log(n("n_entity") / total) / alpha
+
+    def pmi(term: str) -> F.Column:
+        return F.log(n("n_both") * total / (n("n_entity") * n(term)))
+
     pairs = written(
-        near.groupBy("entity", "term", "context").agg(F.count_distinct("text_key").alias("_t"))
-        .groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= support),
+        candidates.groupBy("entity", "term", "text_key").agg(F.sum("n").alias("n"))
+        .groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
+        .join(near, ["entity", "term"], "left").filter((n("texts") >= support) | n("near"))
+        .join(live, "entity").join(counts, "term").filter(pmi("n_live") >= least - 1e-9)
+        .select("entity", "term", "n_both", "n_entity"),
         "pairs",
     )
     places = pairs.select(F.pmod("term", F.lit(FILTER_BITS)).cast("int").alias("bit")).distinct().toArrow()
-    if not places.num_rows:
-        return spark.createDataFrame([], "entity long, term long")
     wanted = np.zeros(FILTER_BITS, np.uint8)
     wanted[places.column("bit").to_numpy()] = 1
-    terms = _counted(docs, np.packbits(wanted).tobytes()).join(pairs.select("term").distinct(), "term", "left_semi")
-    held = spans.filter("text_key IS NOT NULL")
-    together = (
-        held.select(F.monotonically_increasing_id().alias("_row"), "near")
-        .select("_row", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x"))
-        .groupBy("x.entity", "x.term").agg(F.count("*").alias("n_both"))
-    )
-    entities = (
-        held.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
-        .groupBy("entity").agg(F.count("*").alias("n_entity"))
-    )
-    total = docs.agg(F.count("*").alias("n_all"))
-    n = F.col
-    scored = (
-        pairs.join(together, ["entity", "term"]).join(entities, "entity").join(terms, "term").join(F.broadcast(total))
-        .withColumn("pmi", F.log(n("n_both") * n("n_all") / (n("n_entity") * n("n_term"))))
-        .withColumn("ic", -F.log(n("n_entity") / n("n_all")))
-    )
-    return scored.filter(n("pmi") >= n("ic") / alpha).select("entity", "term")
+    scored = pairs.join(_counted(docs, np.packbits(wanted).tobytes()), "term")
+    # a term that is independent of an entity in every document (IC 0) tells nothing of it
+    passed = scored.filter((pmi("n_term") >= least) & (pmi("n_term") > 0)).select("entity", "term")
+    found = written(candidates.join(passed, ["entity", "term"]).groupBy("text_key").agg(F.collect_set("term").alias("own")), "found")
+
+    def found_at(text: str, own: list) -> Iterator[tuple]:
+        wanted = set(own)
+        at = np.array([(s, e) for s, e, w in _terms(text, find_entities(text)) if _hash(w) in wanted], np.int64).reshape(-1, 2)
+        yield at[:, 0], at[:, 1]
+
+    at = F.struct("start", F.lit(4).alias("kind"), "end")
+    return _each_text(_keyed(docs).join(found, "text_key"), "own", found_at, ["start", "end"]).groupBy("text_key").agg(F.collect_set(at).alias("terms"))
 
 
 def _spans(base: F.Column, terms: F.Column) -> F.Column:
@@ -245,12 +344,7 @@ def detect(docs: DataFrame, reach: int = 6, alpha: float = 1.25, support: int =
     empty table gives no rows. text_key is null where there is no entity.
     """
     spans = written(find_spans(docs, reach), "spans")
-    pairs = disclosing_terms(docs, spans, alpha, support)
-    near = spans.filter("text_key IS NOT NULL").select("text_key", F.explode("near").alias("x"))
-    terms = (
-        near.select("text_key", "x.entity", "x.term", "x.start", "x.end").join(pairs, ["entity", "term"])
-        .groupBy("text_key").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("terms"))
-    )
+    terms = term_spans(docs, spans, alpha, support)
     none = F.array().cast("array<struct<start:long,kind:int,end:long>>")
     # rows without entities share the null key, so they stay out of the join
     held = spans.filter("text_key IS NOT NULL").join(terms, "text_key", "left")
@@ -284,13 +378,7 @@ def sanitise_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 def sanitise(docs: DataFrame, reach: int = 6, alpha: float = 1.25, support: int = 2) -> DataFrame:
     """The rows of `docs` with their texts sanitised; all other columns stay as they are, null text stays null."""
     spans = written(find_spans(docs.select("doc_id", "text"), reach), "spans")
-    pairs = disclosing_terms(docs, spans, alpha, support)
-    terms = (
-        spans.filter("text_key IS NOT NULL").select("text_key", F.explode("near").alias("x"))
-        .select("text_key", "x.entity", "x.term", "x.start", "x.end").join(pairs, ["entity", "term"])
-        .groupBy("text_key").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("_terms"))
-    )
-    terms = written(terms, "terms")
+    terms = written(term_spans(docs, spans, alpha, support).withColumnRenamed("terms", "_terms"), "terms")
     schema = docs.schema
     key = F.when(F.col("text").rlike("[0-9@]"), F.md5(F.col("text").cast("binary")))
     keyed = docs.withColumn("_key", key)

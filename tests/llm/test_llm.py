@@ -214,6 +214,20 @@ def test_disclosing_terms(spark):
     assert "Secret text of [EMAIL] is here" in clean[3] and clean[20] == texts[20]
 
 
+def test_disclosing_terms_far_from_the_entity(spark):
+    """Zorro stands by the address and again far off; Quentin always stands far off; Lone goes with it in one text only."""
+    texts = [f"{prose(30, i)} Zorro {w} zed@mail.example.com {prose(20, i + 50)} Zorro {prose(90, i + 70)} Quentin end" for i, w in enumerate(["a1", "b2", "c3"])]
+    texts[0] += " Lone"
+    texts += [f"the {prose(40, 100 + i)}" for i in range(60)]
+    docs = frame(spark, texts)
+    for r in pii.detect(docs).collect():
+        named = [texts[r.doc_id][s.start : s.end] for s in r.all_spans if s.kind == 4]
+        assert (named.count("Zorro"), named.count("Quentin"), named.count("Lone")) == ((2, 1, 0) if r.doc_id < 3 else (0, 0, 0))
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert all("Zorro" not in clean[i] and "Quentin" not in clean[i] for i in range(3)) and "Lone" in clean[0]
+    assert all(clean[i] == texts[i] for i in range(3, len(texts)))
+
+
 def test_pii_of_odd_rows(odd, empty):
     assert pii.detect(odd).count() == odd.count() and pii.detect(empty).count() == 0
     back = pii.sanitise(odd)
