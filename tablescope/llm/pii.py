@@ -123,7 +123,7 @@ def _surroundings(text: str, spans: list[tuple[int, int, int]], reach: int) -> l
     for s, e in words:
         while i < len(taken) and taken[i][1] <= s:
             i += 1
-        if not any(a < e and s < b for a, b in taken[max(0, i - 1) : i + 4]) and not text[s:e].isdigit():
+        if not any(a < e and s < b for a, b in taken[max(0, i - 1) : i + 4]):
             kept.append((s, e))
     starts = np.array([s for s, _ in kept], dtype=np.int64)
     out = []
@@ -148,7 +148,7 @@ def _terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int,
         s, e = m.span()
         while i < len(taken) and taken[i][1] <= s:
             i += 1
-        if (i == len(taken) or e <= taken[i][0]) and not m[0].isdigit():
+        if i == len(taken) or e <= taken[i][0]:
             yield s, e, m[0].lower()
 
 

@@ -228,6 +228,18 @@ def test_disclosing_terms_far_from_the_entity(spark):
     assert all(clean[i] == texts[i] for i in range(3, len(texts)))
 
 
+def test_numbers_disclose(spark):
+    """Customer number 48813 goes with one address; 2024 is everywhere; the digits of entities are no terms."""
+    texts = [f"{prose(30, i)} customer 48813 {w} 2024 zed@mail.example.com 10.0.0.7 {prose(20, i + 50)}" for i, w in enumerate(["a1", "b2", "c3"])]
+    texts += [f"2024 the {prose(40, 100 + i)}" for i in range(60)]
+    docs = frame(spark, texts)
+    for r in pii.detect(docs).collect():
+        named = {texts[r.doc_id][s.start : s.end] for s in r.all_spans if s.kind == 4}
+        assert ("48813" in named) == (r.doc_id < 3) and not named & {"2024", "10", "7"}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert all("[NUMBER]" in clean[i] and "48813" not in clean[i] and "2024" in clean[i] for i in range(3))
+
+
 def test_pii_of_odd_rows(odd, empty):
     assert pii.detect(odd).count() == odd.count() and pii.detect(empty).count() == 0
     back = pii.sanitise(odd)
