@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -118,7 +118,7 @@ def _least_per_key(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def document_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, text -> doc_id, n_shingles, set_id (null without words)."""
+    """doc_id, text, text_key -> doc_id, text_key, n_shingles, set_id (null without words)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Shingler(n)
@@ -127,13 +127,14 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": block.column("doc_id"),
+                    "text_key": block.column("text_key"),
                     "n_shingles": pa.array(list(map(len, sets)), pa.int64()),
                     "set_id": pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
                 }
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id long")
+    return docs.select("doc_id", "text", "text_key").mapInArrow(run, f"doc_id {kind}, text_key long, n_shingles long, set_id long")
 
 
 def _signature_rows(docs: DataFrame, n: int, bands: int) -> DataFrame:
@@ -263,6 +264,10 @@ def link_forest(left: list[np.ndarray], right: list[np.ndarray] | None, t: Fract
     return found
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def jaccard_components(
     docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10), chunk: int = 1500, miss: float = 1e-9
 ) -> DataFrame:
@@ -272,10 +277,23 @@ def jaccard_components(
     words. Rows with equal doc_id are rows of their own; null ids take part, but name a component only if
     all its ids are null. An empty table gives no rows.
     """
+    return keepers(docs, n, threshold, chunk, miss).drop("text_key", "keeper")
+
+
+def keepers(
+    docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10), chunk: int = 1500, miss: float = 1e-9
+) -> DataFrame:
+    """As `jaccard_components`, with text_key and keeper: the row of a component with the least doc_id, null last, and of
+
+    these with the least text_key has doc_id component_id and text_key keeper. keeper is null without words.
+    """
+    docs = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
     sets = written(document_sets(docs, n), "sets")
-    classes = sets.filter("set_id IS NOT NULL").groupBy("set_id").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")
-    )
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    classes = (
+        sets.filter("set_id IS NOT NULL").groupBy("set_id").agg(least.alias("x"), F.first("n_shingles").alias("n_shingles"))
+        .select("set_id", "x.doc_id", "x.text_key", "n_shingles")
+    )
     # one shuffle; a hot signature has one row per combined batch here
     same = W.partitionBy("signature")
     bands = bands_for(threshold, ROWS, miss)
@@ -298,8 +316,8 @@ def jaccard_components(
         + F.pmod(F.xxhash64("set_id"), F.greatest(F.lit(1), F.ceil(F.col("_n") / chunk)).cast("long")),
     )
     placed = written(
-        small.filter(F.col("members") <= chunk).select("set_id", "doc_id", "n_shingles", "block", F.lit(0).cast("long").alias("part"))
-        .unionByName(cut.select("set_id", "doc_id", "n_shingles", "block", F.col("part").cast("long"))),
+        small.filter(F.col("members") <= chunk).select("set_id", "doc_id", "text_key", "n_shingles", "block", F.lit(0).cast("long").alias("part"))
+        .unionByName(cut.select("set_id", "doc_id", "text_key", "n_shingles", "block", F.col("part").cast("long"))),
         "placed",
     )
     ranges = placed.groupBy("block", "part").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
@@ -314,12 +332,13 @@ def jaccard_components(
         F.col("y.block").alias("block"), F.col("y.part").alias("part"), F.lit(1).alias("side"), F.col("x.part").alias("other")
     )
     sent = placed.join(first.unionByName(second), ["block", "part"]).select(
-        "set_id", "doc_id", "block", "side", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")
+        "set_id", "doc_id", "text_key", "block", "side", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")
     )
-    payload = (
-        docs.select("doc_id", "text").join(sent.hint("shuffle_hash"), "doc_id")
-        .select("set_id", "block", "i", "j", "side", "text")
-    )
+    # classes without any doc_id are fetched by their text alone, once per text
+    unnamed = docs.filter("doc_id IS NULL").groupBy("text_key").agg(F.first("text").alias("text"))
+    columns = ["set_id", "block", "i", "j", "side", "text"]
+    payload = docs.join(sent.hint("shuffle_hash"), ["doc_id", "text_key"]).select(columns)
+    payload = payload.unionByName(unnamed.join(sent.filter("doc_id IS NULL").hint("shuffle_hash"), "text_key").select(columns))
     t = threshold
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -329,7 +348,7 @@ def jaccard_components(
         ids: list[list[int]] = [[], []]
         for set_id, side, text in zip(pdf["set_id"], pdf["side"], pdf["text"]):
             shingles = tool.shingles(text or "")
-            # another row may carry the same doc_id with another text, or the same text twice
+            # another row may carry the same doc_id with the same text
             if len(shingles) and class_of(shingles) == set_id and set_id not in ids[side][-1:]:
                 sides[side].append(shingles)
                 ids[side].append(set_id)
@@ -345,8 +364,8 @@ def jaccard_components(
     links = payload.groupBy("block", "i", "j").applyInPandas(run, "a long, b long")
     joined = components(links).toDF("set_id", "root")
     named = classes.join(joined, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    known = named.select("set_id", "root").join(names, "root").select("set_id", "component_id")
+    names = named.groupBy("root").agg(least.alias("x")).select("root", F.col("x.doc_id").alias("component_id"), F.col("x.text_key").alias("keeper"))
+    known = named.select("set_id", "root").join(names, "root").select("set_id", "component_id", "keeper")
     return sets.join(known, "set_id", "left").select(
-        "doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "text_key", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "keeper"
     )

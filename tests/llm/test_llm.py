@@ -368,6 +368,16 @@ def test_repeats_equal_brute_force(spark, odd, empty):
     texts = [prose(100, i) for i in range(12)]
     texts += [f"{prose(13 + i, 50 + i)} {passage} {prose(9, 70 + i)}" for i in range(4)]
     texts += [f"{prose(8, 90 + i)} {short} {prose(30, 99 + i)}" for i in range(3)]
+def test_classes_without_an_id_link(spark):
+    """0 and 1 are no near copies of each other, but both of the text without an id between them."""
+    words = prose(100, 1).split()
+    texts = [words, ["new", *words[1:-1], words[-1]], ["new", *words[1:-1], "end"]]
+    rows = [(0, " ".join(texts[0])), (None, " ".join(texts[1])), (None, " ".join(texts[1])), (1, " ".join(texts[2]))]
+    rows += [(None, prose(60, 2)), (None, prose(60, 2) + " tail")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id LONG, text STRING"), 3, Fraction(97, 100)).collect()
+    assert {r.component_id for r in got if r.n_shingles == 98} == {0} and len([r for r in got if r.component_id is None]) == 2
+
+
     exact = prose(50, 902)
     texts += [exact + " tail", "head " + exact, passage, texts[2], texts[2], " ".join(texts[5].split()[20:95]) + " new words"]
     got = suffixes.repeats(frame(spark, texts)).collect()
