@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablescope.llm import jaccard, language, packing, pii, suffixes
@@ -32,16 +33,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, least:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, Jaccard 0.8 or more) the document with the least doc_id stays.
+    """Of each group of near duplicates (five words, Jaccard 0.8 or more) one row stays.
 
-    Rows without doc_id stay, and so does one of several rows with that doc_id.
+    It is the row with the least doc_id, null behind all others; among equal ids the one whose text has the least hash, among
+    equal texts the one whose columns have. Rows that share a doc_id are judged by their own texts. Rows without words are in no group and stay.
     """
     shipped(spark)
-    groups = jaccard.jaccard_components(docs, n=5, threshold=Fraction(8, 10))
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    several = kept.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id")
-    return kept.join(several, "doc_id", "left_anti").unionByName(kept.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    groups = jaccard.keepers(docs, n=5, threshold=Fraction(8, 10)).filter("set_id IS NOT NULL")
+    rows = written(
+        groups.groupBy("doc_id", "text_key", "component_id", "keeper").agg(F.count("*").alias("n"))
+        .withColumn("keeps", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("keeper"))),
+        "groups",
+    )
+    keyed = docs.withColumn("_text_key", jaccard.text_key(F.col("text")))
+
+    def same(other: DataFrame) -> Column:
+        return (keyed["_text_key"] == other["text_key"]) & keyed["doc_id"].eqNullSafe(other["doc_id"])
+
+    other, several = rows.filter("NOT keeps OR n > 1"), rows.filter("keeps AND n > 1")
+    single = keyed.join(other, same(other), "left_anti")
+    first = W.partitionBy("doc_id", "_text_key").orderBy(F.xxhash64(*docs.columns))
+    copies = keyed.join(several, same(several), "left_semi").withColumn("_row", F.row_number().over(first)).filter("_row = 1")
+    return single.select(docs.columns).unionByName(copies.select(docs.columns))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

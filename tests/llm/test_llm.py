@@ -378,6 +378,26 @@ def test_classes_without_an_id_link(spark):
     assert {r.component_id for r in got if r.n_shingles == 98} == {0} and len([r for r in got if r.component_id is None]) == 2
 
 
+def test_near_duplicates_are_judged_by_row(spark):
+    """Null and repeated ids: of each group one row stays, and texts of one id in different groups all do."""
+    a, b, c, d = (prose(60, i) for i in range(4))
+    rows = [(1, a), (2, a + " end"), (2, b), (3, c), (3, c), (None, d), (None, d), (None, d + " end"), (None, c), (5, None), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(4)
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=repr)
+    assert [k for k in kept if k[0] is not None] == [(1, a), (2, b), (3, c), (5, None), (5, None)]
+    assert len(kept) == 6 and {t for i, t in kept if i is None} <= {d, d + " end"}
+
+
+def test_classes_without_an_id_link(spark):
+    """0 and 1 are no near copies of each other, but both of the text without an id between them."""
+    words = prose(100, 1).split()
+    texts = [words, ["new", *words[1:-1], words[-1]], ["new", *words[1:-1], "end"]]
+    rows = [(0, " ".join(texts[0])), (None, " ".join(texts[1])), (None, " ".join(texts[1])), (1, " ".join(texts[2]))]
+    rows += [(None, prose(60, 2)), (None, prose(60, 2) + " tail")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id LONG, text STRING"), 3, Fraction(97, 100)).collect()
+    assert {r.component_id for r in got if r.n_shingles == 98} == {0} and len([r for r in got if r.component_id is None]) == 2
+
+
     exact = prose(50, 902)
     texts += [exact + " tail", "head " + exact, passage, texts[2], texts[2], " ".join(texts[5].split()[20:95]) + " new words"]
     got = suffixes.repeats(frame(spark, texts)).collect()
