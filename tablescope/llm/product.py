@@ -2,7 +2,7 @@
 
 An inverted list per coarse centre; within a list a vector is a code: per subspace of its residual, the nearest
 codeword. A query probes each list whose cell lies within `margin` of it, as a share of the distance that
-still links (to the plane between its own centre and the list's), so there is no fixed number of probes. In a list, the
+still links (to the plane between its own centre and the list's), so there is no fixed number of probes, and at 1 no link is lost. In a list, the
 distance from the query to each code is summed from tables. By the triangle inequality, a member whose code is farther than the linking
 distance plus its own quantisation error cannot link; all others are compared exactly, by cosine in double precision.
 
@@ -50,7 +50,7 @@ def probes(x: np.ndarray, centres: np.ndarray, margin: float) -> list[np.ndarray
     out = []
     for i, c in enumerate(own):
         between = apart[c] if apart is not None else norms(centres - centres[c])
-        within = squares[i] - squares[i, c] <= 2 * margin * between
+        within = squares[i] - squares[i, c] <= 2 * margin * between + 1e-9
         within[c] = False
         out.append(np.append(c, np.flatnonzero(within)))
     return out
@@ -107,7 +107,7 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]
 def near_duplicates(
     rows: DataFrame,
     least: float = 0.98,
-    margin: float = 0.5,
+    margin: float = 1.0,
     fit_rows: int = 20_000,
     subspaces: int = 8,
     words: int = 64,

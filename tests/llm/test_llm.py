@@ -485,6 +485,16 @@ def test_nearest_equal_brute_force(spark):
     for q in range(0, len(x), 50):
         cos = (y * y[q]).sum(1) / (norm * norm[q])
         cos[q] = -2
+def test_quantised_links_across_borders(spark):
+    """A circle is all borders: every link counts, from both sides."""
+    angle = np.random.default_rng(5).random(300) * 2 * np.pi
+    x = np.stack([np.cos(angle), np.sin(angle)], 1)
+    rows = [(i, v.tolist(), 1, 0.0, 1) for i, v in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in product.near_duplicates(spark.createDataFrame(rows, VECTORS.replace("FLOAT", "DOUBLE"))).collect()}
+    links = (x @ x.T >= 0.98).sum(1) - 1
+    assert [got[i] for i in range(300)] == links.tolist()
+
+
         want = np.lexsort((np.arange(len(x)), -cos))[:5].tolist()
         right += len(set(want) & {v for v, _ in got[q]})
         total += 5
