@@ -9,7 +9,7 @@ suffixes share `min_words - window + 1` words at least. So:
    `min_words` words that begin up to `window - 1` words before such a suffix are sorted and compared with their neighbours.
    A window that another text holds too is repeated; overlapping windows make up a passage. So the result is exact.
 
-Of each repeated window the occurrences in the document with the least doc_id are first. Equal texts are one text here; their
+Of each repeated window the occurrences in the document with the least doc_id are first, and of those with that id in the text with the least hash. Equal texts are one text here; their
 further documents are copies as a whole. Before each shuffle a batch keeps one row per hash; what
 it knows to be repeated travels apart from the hot key, salted by text.
 """
@@ -207,10 +207,10 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 8, window:
     windows = _window_rows(payload, k, window, min_words)
     windows = (
         windows.withColumn("_a", F.min("text_id").over(same)).withColumn("_b", F.max("text_id").over(same))
-        .withColumn("_first", F.min("doc_id").over(same)).withColumn("_last", F.max("doc_id").over(same))
+        .withColumn("_first", F.min(F.struct("doc_id", "text_id")).over(same)).withColumn("_last", F.max("doc_id").over(same))
         .filter("other IS NOT NULL OR _a <> _b")
-        .withColumn("is_first", (F.col("salt") == 0) & (F.col("doc_id") == F.col("_first")))
-        .withColumn("other", F.when(F.col("doc_id") != F.col("_first"), F.col("_first")).otherwise(F.coalesce("other", "_last")))
+        .withColumn("is_first", (F.col("salt") == 0) & (F.struct("doc_id", "text_id") == F.col("_first")))
+        .withColumn("other", F.when(F.struct("doc_id", "text_id") != F.col("_first"), F.col("_first.doc_id")).otherwise(F.coalesce("other", "_last")))
         .select("text_id", "doc_id", "at", "start", "end", "is_first", "other")
     )
     order = W.partitionBy("text_id", "doc_id", "is_first").orderBy("at")

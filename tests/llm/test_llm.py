@@ -435,6 +435,15 @@ def test_classes_without_an_id_link(spark):
 
 VECTORS = "vec_id LONG, embedding ARRAY<FLOAT>, label INT, score DOUBLE, list INT"
 ODD_VECTORS = [
+def test_repeats_of_documents_without_an_id(spark):
+    passage = prose(70, 900)
+    texts = [f"{prose(13, 50 + i)} {passage} {prose(9, 70 + i)}" for i in range(6)]
+    for key in (None, 3):
+        docs = spark.createDataFrame([(key, t) for t in texts], "doc_id LONG, text STRING").repartition(6)
+        assert sum(passage in r.text for r in suffixes.cut_repeats(docs).collect()) == 1
+        assert sum(r.is_first for r in suffixes.repeats(docs).collect()) == 1
+
+
     (900, None, 1, 0.0, 1), (901, [], 1, 0.0, 1), (902, [0.0] * 16, 1, 0.0, 1), (903, [float("nan")] + [1.0] * 15, 1, 0.0, 1),
     (904, [float("inf")] + [1.0] * 15, 1, 0.0, 1), (905, [None] + [1.0] * 15, 1, 0.0, 1), (906, [1.0] * 16, None, 0.0, 1),
     (907, [1.0] * 16, None, 0.0, 1), (908, [1.0, 2.0], 1, 0.0, 1),
