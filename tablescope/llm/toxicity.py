@@ -4,7 +4,7 @@ Features: the distinct lower-case words of a text. The loss is logistic, plus an
 nothing), plus `swap_weight` times the mean squared change of the score when the identity terms of a labelled
 text are swapped for others of their group. The last term takes weight off the mere mention of a group.
 
-Fitting takes a bounded sample of labelled rows: `fit_docs` of each label.
+Fitting takes a bounded sample of labelled rows: `fit_docs` ids of each label, and one row of each id.
 """
 
 from __future__ import annotations
@@ -141,8 +141,9 @@ def fit(
     rounds: int = 300,
     groups: Iterable[tuple[str, ...]] = IDENTITY,
 ) -> Model:
-    """doc_id, text and doc_id, toxic -> model. The join is on a bounded set of ids, so no text is shuffled.
+    """doc_id, text and doc_id, toxic -> model. The join is on a bounded set of ids, so only their texts are shuffled.
 
+    Of the rows of one doc_id the one whose text has the least hash teaches.
     Labels that are null or neither 0 nor 1 teach nothing; nor do labels without a document, or a null id.
     An id that is labelled more than once counts as toxic if one label says so.
     """
@@ -168,8 +169,10 @@ def fit(
                 }
             )
 
+    one = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
     sample = (
-        docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("_toxic", "text")
+        docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("_r", F.row_number().over(one)).filter("_r = 1")
+        .select("_toxic", "text")
         .mapInArrow(run, f"toxic int, features {kind}, removed {kind}, added {kind}")
     ).toArrow()
     lists = [[np.asarray(v.values) for v in sample.column(c)] if sample.num_rows else [] for c in ("features", "removed", "added")]

@@ -310,6 +310,20 @@ def test_swaps_lower_the_weight_of_mentions(spark, odd, empty):
     assert {r.score for r in toxicity.score(odd, nothing).collect()} == {0.5}
 
 
+def test_one_row_per_labelled_id_teaches(spark):
+    rows = [(i, "vile text" if i % 2 else "kind text") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id LONG, toxic INT")
+    docs = lambda some: spark.createDataFrame(some, "doc_id LONG, text STRING")
+    seen = []
+    real = toxicity.train
+    toxicity.train = lambda features, *rest: seen.append(len(features)) or real(features, *rest)
+    try:
+        toxicity.fit(docs(rows + [(0, f"other {i}") for i in range(500)] + [rows[1]] * 500), labels)
+    finally:
+        toxicity.train = real
+    assert seen[0] == 40
+
+
 # ---- near duplicates
 
 
