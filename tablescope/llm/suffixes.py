@@ -4,10 +4,10 @@ Of each text only the suffixes at minimiser positions are kept: places whose k-g
 so two texts that share a passage keep the same places in it. With passages of at least `min_words` words, such
 suffixes share `min_words - window + 1` words at least. So:
 
-1. Kept suffixes are sorted by (a hash of) that many leading words; those with no equal neighbour from another text drop out.
-2. Texts with kept suffixes left are read once more. Each match is extended to the left, and to the right: all windows of
-   `min_words` words that begin up to `window - 1` words before such a suffix are sorted and compared with their neighbours.
-   A window that another text holds too is repeated; overlapping windows make up a passage. So the result is exact.
+1. Kept suffixes are grouped by a 64-bit hash of that many leading words; those that no other text has drop out.
+2. Texts with kept suffixes left are read once more. All windows of `min_words` words that begin up to `window - 1` words before such
+   a suffix are hashed and grouped again; that takes the place of extending each match to the left and to the right.
+   A window that another text holds too is repeated; overlapping windows make up a passage. So the result is exact, up to collisions of hashes.
 
 Of each repeated window the occurrences in the document with the least doc_id are first, and of those with that id in the text with the least hash. Equal texts are one text here; their
 further documents are copies as a whole. Before each shuffle a batch keeps one row per hash; what
