@@ -24,18 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+
+    Only in local runs and tests a temporary folder of this machine stands in where that is unset.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if folder:
+        return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/checkpoints"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the folder that all executors share: lineage ends there.
+    """The rows as a table in the shared folder: lineage ends there.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset (local runs and
-    tests) a temporary folder of this machine stands in. Checkpointing an RDD computes it
-    twice, a table is written once.
+    Checkpointing an RDD computes it twice, a table is written once.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", "")
-    if not folder:
-        folder = f"file://{tempfile.gettempdir()}/checkpoints"
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

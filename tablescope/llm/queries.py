@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import bpe, chat, jaccard, language, neighbours, packing, pii, product, suffixes, toxicity
+from tablescope.llm import bpe, chat, jaccard, language, neighbours, packing, pii, product, suffix_tree, suffixes, toxicity
 from tablescope.llm.common import held_out, shipped, table, tokenizer_path
 
 queries: dict = {}
@@ -137,3 +137,9 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     out = held_out(F.col("doc_id"), 3, 1)
     model = toxicity.fit(docs.filter(~out), labels.filter(~out))
     return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op11_suffix_tree_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    scored = suffix_tree.score(table(spark, sf, "documents"), held_out(F.col("doc_id"), 7, 2))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
