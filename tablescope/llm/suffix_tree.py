@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import blocks, gc_rarely, mix, shared_folder, written
+from tablescope.llm.common import blocks, gc_rarely, mix, shared_folder
 
 START = np.uint64(0xA5A5A5A5A5A5A5A5)
 _ASKED = "kind string, bucket int, block long, data binary"
@@ -108,52 +108,61 @@ def tokenised(docs: DataFrame, held: Column, block_tokens: int) -> DataFrame:
 
 
 class Walk:
-    """One block's way down the tree, as far as the answers go: `asks` are its next questions, or `chance` is complete."""
+    """One block's way down the tree, as far as the answers go: `asks` are its next questions, or `chance` is complete.
+
+    Words and n-grams have ids within the block, and a hash per id, their name to the corpus.
+    """
 
     def __init__(self, data: bytes, answers: dict[str, list[np.ndarray]], totals: tuple, depth: int, min_count: int, gain: float) -> None:
         self.answers, self.asks, self.complete = answers, {}, False
-        hashes, tokens, self.lengths, self.held = unpack(data)
-        self.train = np.repeat(~self.held, self.lengths)
+        names, tokens, self.lengths, self.held = unpack(data)
+        train = np.repeat(~self.held, self.lengths)
         self.first = np.cumsum(self.lengths) - self.lengths
-        word = hashes[tokens]
-        before = self._shifted(word, START)
-        count = self._counts("words", word, self.train)
-        gram = mix(before * np.uint64(0x9E3779B97F4A7C15) ^ word)
+        word = names[tokens]
+        context, names = self._shifted(tokens, len(names)), np.append(names, START)
+        count = self._told("words", names[:-1], [np.bincount(tokens[train], minlength=len(names) - 1)])
+        ids, grams = self._distinct(1, names[context], word)
         if count is None:  # pairs can be asked for at once
-            self._counts("grams1", gram, self.train)
+            self._told("grams1", grams, [np.bincount(ids[train], minlength=len(grams))])
             return
         n, v, train_docs = totals
-        self.count = count
-        self.chance = self.root = (count + 1.0) / (n + v + 1.0)
-        seen = self._shifted(count, train_docs)
-        inside = seen >= min_count
+        count = count[0]
+        self.count = count[tokens]
+        self.chance = self.root = (self.count + 1.0) / (n + v + 1.0)
+        seen = np.append(count, train_docs)  # by context
+        at = np.flatnonzero(seen[context] >= min_count)
         for level in range(1, depth + 1):
-            at = np.flatnonzero(inside)
-            every = level == 1  # pairs were asked for before it was known which contexts are frequent
-            found = self._counts(f"grams{level}", gram if every else gram[at], self.train if every else self.train[at])
+            if level == 1:  # pairs were asked for before it was known which contexts are frequent
+                found, by_token = self._told("grams1", grams, []), ids
+                context, ids = context[at], ids[at]
+            else:
+                ids, grams = self._distinct(level, names[context], word[at])
+                found = self._told(f"grams{level}", grams, [np.bincount(ids[train[at]], minlength=len(grams))])
+                by_token = np.full(len(word), -1)
+                by_token[at] = ids
             if found is None:
                 return
-            count = np.zeros(len(word), np.int64)
-            count[slice(None) if every else at] = found
-            c, n_s, p, train = count[at], seen[at], self.chance[at], self.train[at]
+            c, n_s, p, learnt = found[0][ids], seen[context], self.chance[at], train[at]
             with np.errstate(divide="ignore", invalid="ignore"):
-                won = np.where(train, np.log(c / n_s) - (1 - 1 / c) * np.log(p), 0.0)
-                followers = np.where(train, 1 / c, 0.0)
-            tested = self._sums(f"tests{level}", before[at], followers, won)
+                won = np.where(learnt, np.log(c / n_s) - (1 - 1 / c) * np.log(p), 0.0)
+                followers = np.where(learnt, 1 / c, 0.0)
+            here = np.flatnonzero(np.bincount(context, minlength=len(names)))
+            sums = [np.bincount(context, x, len(names))[here] for x in (followers, won)]
+            tested = self._told(f"tests{level}", names[here], sums)
             if tested is None:
                 return
-            followers, won = tested
-            kept = won >= gain
-            t = np.rint(followers[kept])
+            t, kept = np.zeros(len(names)), np.zeros(len(names), bool)
+            t[here], kept[here] = np.rint(tested[0]), tested[1] >= gain
+            in_kept = kept[context]
+            own, t = at[in_kept], t[context[in_kept]]
             self.chance = self.chance.copy()
-            self.chance[at[kept]] = (c[kept] + t * p[kept]) / (n_s[kept] + t)
-            retained = np.zeros(len(word), bool)
-            retained[at[kept]] = True
+            self.chance[own] = (c[in_kept] + t * p[in_kept]) / (n_s[in_kept] + t)
             # the context one word longer is the n-gram that ends before the symbol
-            before, seen = self._shifted(gram, START), self._shifted(count, 0)
-            inside = retained & (seen >= min_count)
-            inside[self.first] = False
-            gram = mix(before * np.uint64(0x9E3779B97F4A7C15) ^ word ^ np.uint64(level))
+            names, seen = grams, found[0]
+            before = by_token[own - 1]
+            longer = (before >= 0) & ~np.isin(own, self.first)
+            longer[longer] = seen[before[longer]] >= min_count
+            at, context = own[longer], before[longer]
         self.complete = True
 
     def _shifted(self, values: np.ndarray, at_start) -> np.ndarray:
@@ -162,23 +171,24 @@ class Walk:
         out[self.first] = at_start
         return out
 
-    def _counts(self, kind: str, keys: np.ndarray, train: np.ndarray) -> np.ndarray | None:
-        distinct, back = np.unique(keys, return_inverse=True)
-        if not len(keys):
-            return np.zeros(0, np.int64)
-        if kind in self.answers:
-            return self.answers[kind][0][back].astype(np.int64)
-        self.asks[kind] = distinct, [narrow(np.bincount(back[train], minlength=len(distinct)))]
-        return None
-
-    def _sums(self, kind: str, keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray] | None:
-        distinct, back = np.unique(keys, return_inverse=True)
-        if not len(keys):
-            return [np.zeros(0) for _ in values]
-        if kind in self.answers:
-            return [a[back] for a in self.answers[kind]]
-        self.asks[kind] = distinct, [np.bincount(back, v, len(distinct)) for v in values]
-        return None
+    def _distinct(self, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the n-grams, and their names in ascending order."""
+        names, ids = np.unique(mix(context * np.uint64(0x9E3779B97F4A7C15) ^ word ^ np.uint64(level)), return_inverse=True)
+        return ids, names
+
+    def _told(self, kind: str, names: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray] | None:
+        """The corpus's sums by id, or None if they are not known yet: then they are asked for."""
+        if not len(names):
+            return values
+        order = np.argsort(names)
+        if kind not in self.answers:
+            self.asks[kind] = names[order], [narrow(v[order]) if v.dtype.kind in "iu" else v[order] for v in values]
+            return None
+        out = []
+        for answer in self.answers[kind]:
+            out.append(np.empty(len(names), answer.dtype if answer.dtype.kind == "f" else np.int64))
+            out[-1][order] = answer
+        return out
 
     def scored(self, ids: list) -> dict[str, list | np.ndarray]:
         def by_document(values: np.ndarray) -> np.ndarray:
@@ -228,20 +238,23 @@ def _answers(rows: pd.DataFrame) -> dict[str, list[np.ndarray]]:
 
 
 def score(
-    docs: DataFrame, held: Column, depth: int = 2, min_count: int = 16, gain: float = 10.0, block_tokens: int = 2_000_000
+    docs: DataFrame, held: Column, depth: int = 2, min_count: int = 16, gain: float = 10.0, block_tokens: int = 1_500_000
 ) -> DataFrame:
     """doc_id, text -> per document n_tokens, n_known, train_tokens, base_score and score (log10), learnt where not `held`."""
     spark = docs.sparkSession
     name = f"suffix_tree_{uuid.uuid4().hex}"
-    # bucketed, so that answers come to the blocks and the blocks stay where they are
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = tokenised(docs, held, block_tokens).write.bucketBy(parts, "block").format("parquet")
-    made.option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+
+    def kept(rows: DataFrame, table: str) -> None:
+        """Appended to a table bucketed by block, so that answers lie with their blocks and neither is shuffled again."""
+        out = rows.write.mode("append").bucketBy(parts, "block").format("parquet")
+        out.option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+
+    kept(tokenised(docs, held, block_tokens), name)
     state = spark.read.table(name)
     n, train_docs, n_blocks = state.agg(F.sum("train_tokens"), F.sum("train_docs"), F.count("*")).first()
     totals = (n or 0, 0, train_docs or 0)
     buckets = max(parts, n_blocks)
-    answers = None
 
     def walked(data: bytes, known: dict) -> Walk:
         return Walk(data, known, totals, depth, min_count, gain)
@@ -260,15 +273,16 @@ def score(
         return pd.DataFrame(walk.scored(pickle.loads(own["ids"][0])))
 
     def together(function, schema: str, columns: list[str]) -> DataFrame:
-        return state.select("block", *columns).groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(function, schema)
-
-    for _ in range(2 * depth):
-        asked = state.select("block", "data").mapInPandas(ask_first, _ASKED) if answers is None else together(ask_next, _ASKED, ["data"])
-        new = written(asked.groupBy("kind", "bucket").applyInPandas(merged, _ANSWERED), "answers")
-        if answers is None:
-            known = new.filter("kind = 'words'").agg(F.sum("known")).first()[0] or 0
+        known = spark.read.table(f"{name}_answers")
+        return state.select("block", *columns).groupBy("block").cogroup(known.groupBy("block")).applyInPandas(function, schema)
+
+    for turn in range(2 * depth):
+        asked = together(ask_next, _ASKED, ["data"]) if turn else state.select("block", "data").mapInPandas(ask_first, _ASKED)
+        new = asked.groupBy("kind", "bucket").applyInPandas(merged, _ANSWERED).repartition(parts, "block")
+        kept(new, f"{name}_answers")
+        if not turn:
+            known = spark.read.table(f"{name}_answers").filter("kind = 'words'").agg(F.sum("known")).first()[0] or 0
             totals = (totals[0], known, totals[2])
-        answers = new if answers is None else answers.unionByName(new)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     return together(finish, schema, ["ids", "data"]).withColumn("train_tokens", F.lit(totals[0]).cast("long"))
