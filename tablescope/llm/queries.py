@@ -7,8 +7,8 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import bpe, chat, jaccard, language, neighbours, packing, pii, product, suffix_tree, suffixes, toxicity
-from tablescope.llm.common import held_out, shipped, table, tokenizer_path
+from tablescope.llm import bpe, chat, jaccard, language, neighbours, packing, pii, product, repair, suffix_tree, suffixes, toxicity
+from tablescope.llm.common import held_out, shipped, table, tokenizer_path, written
 
 queries: dict = {}
 oracles: dict[str, str] = {}
@@ -143,3 +143,20 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op11_suffix_tree_scoring(spark: SparkSession, sf: str) -> DataFrame:
     scored = suffix_tree.score(table(spark, sf, "documents"), held_out(F.col("doc_id"), 7, 2))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op12_grammar_repair(spark: SparkSession, sf: str) -> DataFrame:
+    given = table(spark, sf, "conversations")
+    rows = repair.damaged(given)
+    judged = written(repair.audits(rows), "audits")
+    digests = repair.digests(repair.repaired(rows, judged))
+    out = given.select("conv_id").distinct()
+    for more in (judged, digests):
+        more = more.withColumnRenamed("conv_id", "_conv_id")
+        out = out.join(more, F.col("conv_id").eqNullSafe(F.col("_conv_id")), "left").drop("_conv_id")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit(""), 256)
+    return out.select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256")
+    )
