@@ -113,7 +113,7 @@ class Walk:
     Words and n-grams have ids within the block, and a hash per id, their name to the corpus.
     """
 
-    def __init__(self, data: bytes, answers: dict[str, list[np.ndarray]], totals: tuple, depth: int, min_count: int, gain: float) -> None:
+    def __init__(self, data: bytes, answers: dict[str, np.ndarray], totals: tuple, depth: int, min_count: int) -> None:
         self.answers, self.asks, self.complete = answers, {}, False
         names, tokens, self.lengths, self.held = unpack(data)
         train = np.repeat(~self.held, self.lengths)
@@ -126,7 +126,6 @@ class Walk:
             self._told("grams1", grams, [np.bincount(ids[train], minlength=len(grams))])
             return
         n, v, train_docs = totals
-        count = count[0]
         self.count = count[tokens]
         self.chance = self.root = (self.count + 1.0) / (n + v + 1.0)
         seen = np.append(count, train_docs)  # by context
@@ -142,23 +141,24 @@ class Walk:
                 by_token[at] = ids
             if found is None:
                 return
-            c, n_s, p, learnt = found[0][ids], seen[context], self.chance[at], train[at]
+            c, n_s, p, learnt = found[ids], seen[context], self.chance[at], train[at]
             with np.errstate(divide="ignore", invalid="ignore"):
                 won = np.where(learnt, np.log(c / n_s) - (1 - 1 / c) * np.log(p), 0.0)
                 followers = np.where(learnt, 1 / c, 0.0)
             here = np.flatnonzero(np.bincount(context, minlength=len(names)))
-            sums = [np.bincount(context, x, len(names))[here] for x in (followers, won)]
-            tested = self._told(f"tests{level}", names[here], sums)
-            if tested is None:
+            sums = [np.bincount(context, followers, len(names))[here], np.bincount(context, won, len(names))[here].astype(np.float32)]
+            retained = self._told(f"tests{level}", names[here], sums)
+            if retained is None:
                 return
-            t, kept = np.zeros(len(names)), np.zeros(len(names), bool)
-            t[here], kept[here] = np.rint(tested[0]), tested[1] >= gain
-            in_kept = kept[context]
-            own, t = at[in_kept], t[context[in_kept]]
+            t = np.zeros(len(names), np.int64)
+            t[here] = retained  # followers of a retained context, 0 of others
+            t = t[context]
+            in_kept = t > 0
+            own, t = at[in_kept], t[in_kept]
             self.chance = self.chance.copy()
             self.chance[own] = (c[in_kept] + t * p[in_kept]) / (n_s[in_kept] + t)
             # the context one word longer is the n-gram that ends before the symbol
-            names, seen = grams, found[0]
+            names, seen = grams, found
             before = by_token[own - 1]
             longer = (before >= 0) & ~np.isin(own, self.first)
             longer[longer] = seen[before[longer]] >= min_count
@@ -176,18 +176,16 @@ class Walk:
         names, ids = np.unique(mix(context * np.uint64(0x9E3779B97F4A7C15) ^ word ^ np.uint64(level)), return_inverse=True)
         return ids, names
 
-    def _told(self, kind: str, names: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray] | None:
-        """The corpus's sums by id, or None if they are not known yet: then they are asked for."""
+    def _told(self, kind: str, names: np.ndarray, values: list[np.ndarray]) -> np.ndarray | None:
+        """The corpus's answers by id, or None if they are not known yet: then they are asked for."""
         if not len(names):
-            return values
+            return np.zeros(0, np.int64)
         order = np.argsort(names)
         if kind not in self.answers:
             self.asks[kind] = names[order], [narrow(v[order]) if v.dtype.kind in "iu" else v[order] for v in values]
             return None
-        out = []
-        for answer in self.answers[kind]:
-            out.append(np.empty(len(names), answer.dtype if answer.dtype.kind == "f" else np.int64))
-            out[-1][order] = answer
+        out = np.empty(len(names), np.int64)
+        out[order] = self.answers[kind]
         return out
 
     def scored(self, ids: list) -> dict[str, list | np.ndarray]:
@@ -215,26 +213,26 @@ def _questions(walk: Walk, block: int, buckets: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "bucket", "block", "data"])
 
 
-def merged(asked: pd.DataFrame) -> pd.DataFrame:
-    """Sums per key of one bucket, back to each block in its own order; `known` is the number of keys above zero, on one row."""
+def merged(asked: pd.DataFrame, gain: float) -> pd.DataFrame:
+    """What one bucket's keys come to, back to each block in its own order: counts, and the number of
+    followers of contexts that pass the test (0 for others). `known` is the number of keys above zero, on one row.
+    """
     asked = asked.sort_values("block")
     parts = [unpack(d) for d in asked["data"]]
     keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     ends = np.cumsum([len(p[0]) for p in parts])[:-1]
-    sums = [np.bincount(back, np.concatenate(v), len(keys)) for v in zip(*[p[1:] for p in parts])]
-    whole = len(sums) == 1
-    answers = [np.split((s.astype(np.int64) if whole else s)[back], ends) for s in sums]
+    total, *won = [np.bincount(back, np.concatenate(v), len(keys)) for v in zip(*[p[1:] for p in parts])]
+    total = np.rint(total).astype(np.int64)
+    if won:
+        total[won[0] < gain] = 0
     out = asked[["kind", "bucket", "block"]].copy()
-    out["known"] = [int((sums[0] > 0).sum())] + [0] * (len(parts) - 1)
-    out["data"] = [pack(*[narrow(a) if whole else a for a in one]) for one in zip(*answers)]
+    out["known"] = [int((total > 0).sum())] + [0] * (len(parts) - 1)
+    out["data"] = [pack(narrow(a)) for a in np.split(total[back], ends)]
     return out
 
 
-def _answers(rows: pd.DataFrame) -> dict[str, list[np.ndarray]]:
-    out: dict = {}
-    for kind, own in rows.sort_values("bucket").groupby("kind"):
-        out[kind] = [np.concatenate(a) for a in zip(*map(unpack, own["data"]))]
-    return out
+def _answers(rows: pd.DataFrame) -> dict[str, np.ndarray]:
+    return {k: np.concatenate([unpack(d)[0] for d in own["data"]]) for k, own in rows.sort_values("bucket").groupby("kind")}
 
 
 def score(
@@ -257,7 +255,7 @@ def score(
     buckets = max(parts, n_blocks)
 
     def walked(data: bytes, known: dict) -> Walk:
-        return Walk(data, known, totals, depth, min_count, gain)
+        return Walk(data, known, totals, depth, min_count)
 
     def ask_first(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -278,7 +276,7 @@ def score(
 
     for turn in range(2 * depth):
         asked = together(ask_next, _ASKED, ["data"]) if turn else state.select("block", "data").mapInPandas(ask_first, _ASKED)
-        new = asked.groupBy("kind", "bucket").applyInPandas(merged, _ANSWERED).repartition(parts, "block")
+        new = asked.groupBy("kind", "bucket").applyInPandas(lambda own: merged(own, gain), _ANSWERED).repartition(parts, "block")
         kept(new, f"{name}_answers")
         if not turn:
             known = spark.read.table(f"{name}_answers").filter("kind = 'words'").agg(F.sum("known")).first()[0] or 0
