@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import bpe, chat, jaccard, language, neighbours, packing, pii, product, repair, suffix_tree, suffixes, toxicity
+from tablescope.llm import bpe, chat, jaccard, language, neighbours, packing, pii, product, repair, spelling, suffix_tree, suffixes, toxicity
 from tablescope.llm.common import held_out, shipped, table, tokenizer_path, written
 
 queries: dict = {}
@@ -160,3 +160,9 @@ def op12_grammar_repair(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(
         "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256")
     )
+
+
+@query
+def op13_bit_sliced_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    found = spelling.variants(table(spark, sf, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
