@@ -15,8 +15,8 @@ How it runs. Documents are tokenised once into blocks of about `block_tokens`, o
 block. In each of 2 * depth rounds a block asks for sums over the corpus, one per distinct key that it
 holds (a word, an n-gram, a context): sorted keys go to buckets by their first bits, are merged there and answered in the
 order asked. So what is shuffled is a few bytes per distinct n-gram and block, grows with the corpus, and a frequent
-word is one key per block. The tests are sums over occurrences, T(s) = sum of 1 / c(sx) among them, so no
-context's followers ever meet in one task. Nothing is capped.
+word is one key per block. A test is a sum over occurrences, which each block rounds to 1 / GRAIN, and T(s) a sum over the
+blocks that saw a follower first, so no context's followers ever meet in one task. Nothing is capped.
 
 Words and n-grams are told apart by 64 bits of hash: equal hashes would share a count, nothing else.
 
@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 from tablescope.llm.common import blocks, gc_rarely, mix, shared_folder
 
 START = np.uint64(0xA5A5A5A5A5A5A5A5)
+#: Parts of a nat in which blocks round their share of a test.
+GRAIN = 256
 _ASKED = "kind string, bucket int, block long, data binary"
 _ANSWERED = "kind string, bucket int, block long, known long, data binary"
 
@@ -141,12 +143,16 @@ class Walk:
                 by_token[at] = ids
             if found is None:
                 return
+            found, mine = found >> 1, found & 1
             c, n_s, p, learnt = found[ids], seen[context], self.chance[at], train[at]
             with np.errstate(divide="ignore", invalid="ignore"):
                 won = np.where(learnt, np.log(c / n_s) - (1 - 1 / c) * np.log(p), 0.0)
-                followers = np.where(learnt, 1 / c, 0.0)
             here = np.flatnonzero(np.bincount(context, minlength=len(names)))
-            sums = [np.bincount(context, followers, len(names))[here], np.bincount(context, won, len(names))[here].astype(np.float32)]
+            follows = np.zeros(len(grams), np.int64)
+            follows[ids] = context
+            eligible = np.bincount(ids, minlength=len(grams)) > 0
+            followers = np.bincount(follows, mine * eligible, len(names))
+            sums = [followers[here].astype(np.int64), np.rint(np.bincount(context, won, len(names))[here] * GRAIN).astype(np.int32)]
             retained = self._told(f"tests{level}", names[here], sums)
             if retained is None:
                 return
@@ -182,7 +188,7 @@ class Walk:
             return np.zeros(0, np.int64)
         order = np.argsort(names)
         if kind not in self.answers:
-            self.asks[kind] = names[order], [narrow(v[order]) if v.dtype.kind in "iu" else v[order] for v in values]
+            self.asks[kind] = names[order], [narrow(v[order]) if v.dtype != np.int32 else v[order] for v in values]
             return None
         out = np.empty(len(names), np.int64)
         out[order] = self.answers[kind]
@@ -214,20 +220,29 @@ def _questions(walk: Walk, block: int, buckets: int) -> pd.DataFrame:
 
 
 def merged(asked: pd.DataFrame, gain: float) -> pd.DataFrame:
-    """What one bucket's keys come to, back to each block in its own order: counts, and the number of
-    followers of contexts that pass the test (0 for others). `known` is the number of keys above zero, on one row.
+    """What one bucket's keys come to, back to each block in its own order. `known` is the number of keys above zero, on one row.
+
+    Words: counts. N-grams: counts, doubled, and one more for the first block that saw the n-gram in
+    training, which counts it as a follower. Tests: the number of followers of contexts that pass, 0 for others.
     """
     asked = asked.sort_values("block")
     parts = [unpack(d) for d in asked["data"]]
     keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     ends = np.cumsum([len(p[0]) for p in parts])[:-1]
-    total, *won = [np.bincount(back, np.concatenate(v), len(keys)) for v in zip(*[p[1:] for p in parts])]
-    total = np.rint(total).astype(np.int64)
+    values = [np.concatenate(v) for v in zip(*[p[1:] for p in parts])]
+    total, *won = [np.bincount(back, v, len(keys)).astype(np.int64) for v in values]
+    known = int((total > 0).sum())
     if won:
-        total[won[0] < gain] = 0
+        total[won[0] < gain * GRAIN] = 0
+    answer = total[back]
+    if asked["kind"].iloc[0].startswith("grams"):
+        seen = np.flatnonzero(values[0])
+        _, first = np.unique(back[seen], return_index=True)
+        answer *= 2
+        answer[seen[first]] += 1
     out = asked[["kind", "bucket", "block"]].copy()
-    out["known"] = [int((total > 0).sum())] + [0] * (len(parts) - 1)
-    out["data"] = [pack(narrow(a)) for a in np.split(total[back], ends)]
+    out["known"] = [known] + [0] * (len(parts) - 1)
+    out["data"] = [pack(narrow(a)) for a in np.split(answer, ends)]
     return out
 
 
@@ -252,7 +267,7 @@ def score(
     state = spark.read.table(name)
     n, train_docs, n_blocks = state.agg(F.sum("train_tokens"), F.sum("train_docs"), F.count("*")).first()
     totals = (n or 0, 0, train_docs or 0)
-    buckets = max(parts, n_blocks)
+    buckets = max(parts, n_blocks // 2)
 
     def walked(data: bytes, known: dict) -> Walk:
         return Walk(data, known, totals, depth, min_count)
