@@ -114,16 +114,19 @@ def access_audit(inputs: Mapping[str, DataFrame], as_of=None, grants: DataFrame
     users = A.resolve_users(inputs["db_principals"], inputs["principals"])
     logins = A.users_per_login(roles, users)
     if grants is None:
-        grants = A.resolve_grants(
-            inputs["db_permissions"], inputs["db_principals"], inputs["objects"], inputs["db_schemas"], inputs["columns"]
+        named = A.named_grants(
+            A.distinct_grants(inputs["db_permissions"]), inputs["db_principals"], inputs["objects"], inputs["db_schemas"], inputs["columns"]
         )
+        grants = A.every_grant(named)
+    else:
+        named = grants
     return {
         "logins": logins,
         "users": users,
         "user_roles": A.user_roles(inputs["db_principals"], inputs["db_role_members"]),
         "grants": grants,
-        "grant_groups": A.group_grants(grants),
-        "findings": A.access_findings(logins, users, A.risky_grants(grants)),
+        "grant_groups": A.group_grants(named),
+        "findings": A.access_findings(logins, users, A.risky_grants(named)),
         "summary": A.access_summary(logins, users, grants),
         "by_database": A.access_by_database(users, grants),
     }

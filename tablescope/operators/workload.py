@@ -12,10 +12,8 @@ from tablescope.functions.constants import (
 )
 from tablescope.functions.frames import top_k
 
-# A name is keyed by its first characters: the most of these that it has.
-GRAMS = (8, 4, 2, 1)
-# Bits of each server's filter of name keys: at most 1024 words, however many names.
-FILTER_BITS = 1 << 16
+# Bytes in the runs that names are looked up by: the greatest of these that a name has.
+RUNS = (4, 2, 1)
 
 
 def slice_statement(text: Column, start: Column, end: Column) -> Column:
@@ -116,43 +114,69 @@ def trusted_statements(log: DataFrame, gated: DataFrame) -> DataFrame:
 def match_statements(log: DataFrame, names: DataFrame, top: int = STATEMENTS_PER_TABLE) -> DataFrame:
     """Statements that contain a table's name (literal, any case): top by reads per table and source.
 
-    `names` has server, table and name. A name is looked up by its first
-    characters among the character runs of its server's statements, then
-    verified. Runs that cannot be a name's key are dropped in the task that lists
-    them, by a filter of bounded size per server, before that lookup may shuffle.
-    The log is read once and never broadcast.
+    `names` has server, table and name. Each name is looked up by its rarest character run: the one that its server's
+    log holds least often. Both passes over the log, the count and the look-up, list (statement id, run); the
+    id is a hash of the text. Only the rows of candidate ids are verified against their own text, so equal hashes
+    cost a comparison and change no result, and no text is shuffled before the candidates are known.
     """
     names = names.filter(F.col("name") != "").select("server", "table", "name").distinct()
     # both sides are lowered once, not per pair
-    first = [F.when(F.char_length("_name") >= n, F.left("_name", F.lit(n))) for n in GRAMS]
-    keyed = names.withColumn("_name", F.lower("name")).withColumn("_gram", F.coalesce(*first))
     foreign = log.filter(~contains_ci(F.col("statement_text"), "AS __rows")).withColumn("_text", F.lower("statement_text"))
-    # only runs as long as some key of the server
-    sizes = keyed.groupBy("server").agg(F.collect_set(F.char_length("_gram")).alias("_sizes"))
-    foreign = foreign.join(F.broadcast(sizes), "server")
-    found = [F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in GRAMS]
-    none = F.array().cast("array<string>")
-    runs = F.concat(*[F.when(F.array_contains("_sizes", n), f).otherwise(none) for n, f in zip(GRAMS, found)])
-    # a statement lists each run once and a name has one key, so a pair is formed at most once
-    listed = _placed(foreign.withColumn("_gram", F.explode(F.array_distinct(runs))))
-    marks = _placed(keyed).groupBy("server", "_word").agg(F.bit_or("_mark").alias("_marks"))
-    likely = listed.join(F.broadcast(marks), ["server", "_word"]).filter(F.col("_marks").bitwiseAND(F.col("_mark")) != 0)
-    matched = likely.drop("_word", "_mark", "_marks", "_sizes").join(keyed, ["server", "_gram"]).filter(F.contains("_text", "_name"))
+    foreign = foreign.withColumn("_statement", F.xxhash64("_text"))
+    wanted = _name_runs(names)
+    listed = _statement_runs(foreign, wanted)
+    keys = _rarest_runs(wanted, listed)
+    candidates = listed.join(keys, ["server", "_run"]).select("server", "_statement", "table", "_name").distinct()
+    matched = foreign.join(candidates, ["server", "_statement"]).filter(F.contains("_text", "_name"))
     order = [
         F.col("total_logical_reads").desc(),
         F.col("statement_text"),
         F.col("execution_count").desc(),
         F.col("last_execution_time").desc(),
     ]
-    return top_k(matched.drop("name", "_name", "_text", "_gram"), ["server", "table", "source"], order, top)
+    return top_k(matched.drop("_name", "_text", "_statement"), ["server", "table", "source"], order, top)
 
 
-def _placed(df: DataFrame) -> DataFrame:
-    """Adds the place of _gram in a filter of FILTER_BITS bits: a word of 64 bits, and a mark in it."""
-    key = F.xxhash64("_gram")
-    bit = F.pmod(F.shiftright(key, 32), F.lit(64)).cast("int")
-    mark = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
-    return df.withColumns({"_word": F.pmod(key, F.lit(FILTER_BITS // 64)), "_mark": mark})
+def _runs_of(text: str, length: int) -> Column:
+    """All runs of that many bytes: UTF-8 text holds a name where its bytes do, and bytes are cut out without counting characters."""
+    first = F.sequence(F.lit(1), F.greatest(F.octet_length(text) - (length - 1), F.lit(1)))
+    # the bytes are made once per text, not once per run
+    runs = F.transform(F.array(F.col(text).cast("binary")), lambda raw: F.transform(first, lambda i: F.substring(raw, i, F.lit(length))))
+    return F.when(F.octet_length(text) >= length, F.flatten(runs)).otherwise(F.array().cast("array<binary>"))
+
+
+def _by_length(text: str) -> Column:
+    runs = F.when(F.col("_length") == RUNS[0], _runs_of(text, RUNS[0]))
+    for length in RUNS[1:]:
+        runs = runs.when(F.col("_length") == length, _runs_of(text, length))
+    return runs
+
+
+def _name_runs(names: DataFrame) -> DataFrame:
+    """server, table, _name, _length, _runs: a name's runs, of the greatest length in RUNS that it has."""
+    lowered = names.select("server", "table", F.lower("name").alias("_name"))
+    length = F.coalesce(*[F.when(F.octet_length("_name") >= n, n) for n in RUNS])
+    return lowered.withColumn("_length", length).withColumn("_runs", _by_length("_name"))
+
+
+def _statement_runs(statements: DataFrame, wanted: DataFrame) -> DataFrame:
+    """server, _statement, _run: every run of a length that some name asks for."""
+    # as many rows as RUNS has lengths at most
+    lengths = F.broadcast(wanted.select("_length").distinct())
+    each = statements.select("server", "_statement", "_text", F.explode(F.array(*map(F.lit, RUNS))).alias("_length"))
+    return each.join(lengths, "_length").select("server", "_statement", F.explode(_by_length("_text")).alias("_run"))
+
+
+def _rarest_runs(wanted: DataFrame, listed: DataFrame) -> DataFrame:
+    """server, _run, table, _name: a name's run that occurs least often. Names with a run that occurs nowhere are left out."""
+    split = wanted.select("server", "table", "_name", F.explode("_runs").alias("_run")).distinct()
+    of = split.groupBy("server", "table", "_name").agg(F.count("*").alias("_of"))
+    counts = listed.join(split.select("server", "_run").distinct(), ["server", "_run"]).groupBy("server", "_run").agg(F.count("*").alias("_rows"))
+    found = split.join(counts, ["server", "_run"]).groupBy("server", "table", "_name").agg(
+        F.min(F.struct("_rows", "_run")).getField("_run").alias("_run"), F.count("*").alias("_found")
+    )
+    whole = found.join(of, ["server", "table", "_name"]).filter("_found = _of")
+    return whole.select("server", "_run", "table", "_name")
 
 
 def classify(df: DataFrame, text: str = "statement_text") -> DataFrame:

@@ -222,6 +222,12 @@ def _grants(spark, sf):
     return A.resolve_grants(*_grant_inputs(spark, sf))
 
 
+def _named(spark, sf, keep=None):
+    """The same by distinct ids: what reports of targets need."""
+    permissions, *names = _grant_inputs(spark, sf)
+    return A.named_grants(A.distinct_grants(permissions), *names, keep=keep)
+
+
 _GRANTS_SQL = """grants AS (
 SELECT 'srv' AS server, 'db' || (l_partkey % 3) AS database,
   CASE WHEN s_nationkey < 3 THEN 'Public' ELSE s_name END AS grantee,
@@ -255,12 +261,12 @@ def resolve_grants(spark, sf):
 @audit.query(f"""WITH {_GRANTS_SQL}
 SELECT DISTINCT server, database, grantee, grantee_type, class_desc, permission, state, target FROM labelled""")
 def grant_targets(spark, sf):
-    return A.grant_targets(_grants(spark, sf))
+    return A.grant_targets(_named(spark, sf))
 
 
 @audit.query(f"WITH {_GRANTS_SQL} {_GROUPED_SQL.format(cap=3, where='')}")
 def group_grants(spark, sf):
-    return A.group_grants(_grants(spark, sf), cap=3).drop("first_targets")
+    return A.group_grants(_named(spark, sf), cap=3).drop("first_targets")
 
 
 _RISKY = "WHERE (state = 'GRANT' AND upper(permission) IN ('CONTROL', 'ALTER', 'TAKE OWNERSHIP')) OR lower(grantee) = 'public'"
@@ -270,7 +276,7 @@ _RISKY = "WHERE (state = 'GRANT' AND upper(permission) IN ('CONTROL', 'ALTER', '
 SELECT *, CASE WHEN lower(grantee) = 'public' THEN 'High' ELSE 'Medium' END AS severity
 FROM ({_GROUPED_SQL.format(cap=10, where=_RISKY)})""")
 def risky_grants(spark, sf):
-    return A.risky_grants(_grants(spark, sf)).drop("first_targets")
+    return A.risky_grants(_named(spark, sf, keep=A.is_risky())).drop("first_targets")
 
 
 @audit.query(f"""WITH {_GRANTS_SQL}
@@ -281,7 +287,7 @@ SELECT 'Landmine' AS category, CASE WHEN lower(grantee) = 'public' THEN 'High' E
   CASE WHEN target_count = 1 THEN target_summary END AS object
 FROM ({_GROUPED_SQL.format(cap=10, where=_RISKY)})""")
 def risky_grant_findings(spark, sf):
-    found = A.risky_grant_findings(A.risky_grants(_grants(spark, sf)))
+    found = A.risky_grant_findings(A.risky_grants(_named(spark, sf, keep=A.is_risky())))
     return found.select("category", "severity", "title", "details", "database", "object")
 
 
@@ -289,4 +295,4 @@ def risky_grant_findings(spark, sf):
 SELECT * EXCLUDE (rk) FROM (SELECT *, row_number() OVER (PARTITION BY server, database ORDER BY target_count DESC,
   grantee, grantee_type, class_desc, permission, state) AS rk FROM ({_GROUPED_SQL.format(cap=3, where='')})) WHERE rk <= 20""")
 def top_grant_groups(spark, sf):
-    return A.top_grant_groups(A.group_grants(_grants(spark, sf), cap=3), top=20).drop("first_targets")
+    return A.top_grant_groups(A.group_grants(_named(spark, sf), cap=3), top=20).drop("first_targets")

@@ -88,13 +88,32 @@ def test_resolve_grants_without_broadcasts(shuffled_joins, frame):
 
 
 def test_risky_grants_are_filtered_before_they_are_named(shuffled_joins, frame):
-    risky = A.risky_grants(A.resolve_grants(*catalog(frame)))
+    permissions, *names = catalog(frame)
+    risky = A.risky_grants(A.named_grants(A.distinct_grants(permissions), *names, keep=A.is_risky()))
     plan = risky._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("upper(permission") > plan.index("Join LeftOuter")
     first = plan[: plan.index("upper(permission")]
     assert first.count("Join LeftOuter") == 3  # objects, columns and schemas are joined above the filter
 
 
+def test_first_shuffle_of_grants_holds_no_names(shuffled_joins, frame):
+    permissions, *names = catalog(frame)
+    grouped = A.group_grants(A.named_grants(A.distinct_grants(permissions.unionByName(permissions)), *names))
+    lines = grouped._jdf.queryExecution().executedPlan().toString().splitlines()
+    shuffled = [i for i, line in enumerate(lines) if "HashAggregate(keys=[server" in line and "minor_id" in line and "Exchange" in lines[i - 1]]
+    assert shuffled  # combined in the task first
+    for i in shuffled:
+        assert "name" not in lines[i] and "grantee#" not in lines[i]
+
+
+def test_stated_grants_come_back(frame):
+    permissions, *names = catalog(frame)
+    twice = permissions.unionByName(permissions.filter("class = 0"))
+    resolved = A.resolve_grants(twice, *names)
+    assert resolved.count() == len(WANT) + 1
+    many = frame("copies BIGINT, grantee STRING", (10_000, "a"), (4096, "b"), (1, "c"))
+    assert rows(A.every_grant(many).groupBy("grantee").count()) == [("a", 10_000), ("b", 4096), ("c", 1)]
+
+
 def logins(frame):
     return frame(
         "principals", ("s", 1, b"\x01", "Ann", "S", "SQL_LOGIN", True, None, None), ("s", 2, b"\x02", "bob", "U", "WINDOWS_LOGIN", False, None, None),
