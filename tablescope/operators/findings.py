@@ -164,6 +164,32 @@ def dedupe_keep_first(
     return top_k(keyed, [*keys, "_key"], [F.col(c) for c in sequence], 1).drop("_key")
 
 
+def remember(
+    store: DataFrame | None,
+    findings: DataFrame,
+    run_time: Column,
+    sequence: Sequence[str],
+    fields: Sequence[str] = DEDUPE_FIELDS,
+    keys: Sequence[str] = (),
+) -> DataFrame:
+    """Findings of all runs, each once: the row that reported it first, with finding_key, first_seen and last_seen.
+
+    `store` is what earlier runs left, None before the first. What it knows is found by key and only dated anew;
+    what it does not know is de-duplicated by `sequence`, so old findings are never ranked again.
+    """
+    keyed = findings.withColumn("finding_key", dedupe_key(fields))
+    by = [*keys, "finding_key"]
+    if store is None:
+        known, fresh = None, keyed
+    else:
+        again = keyed.select(*by).distinct().withColumn("_again", F.lit(True))
+        last = F.when(F.col("_again"), F.greatest("last_seen", run_time)).otherwise(F.col("last_seen"))
+        known = store.join(again, by, "left").withColumn("last_seen", last).drop("_again")
+        fresh = keyed.join(store.select(*by), by, "left_anti")
+    new = top_k(fresh, by, [F.col(c) for c in sequence], 1).withColumns({"first_seen": run_time, "last_seen": run_time})
+    return new if known is None else known.unionByName(new)
+
+
 def union_findings(checks: Sequence[DataFrame]) -> DataFrame:
     """All checks in one table; seq is the position of the check."""
     return union_all([df.withColumn("seq", F.lit(i).cast("bigint")) for i, df in enumerate(checks)])

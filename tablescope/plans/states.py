@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from tablescope.functions.columns import hash_bucket
 from tablescope.functions.frames import union_all
 from tablescope.operators import estimate as E
+from tablescope.operators import findings as N
+from tablescope.operators import oplog as O
 from tablescope.operators import states as S
 from tablescope.plans.registry import Registry
 from tablescope.plans.tables import KINDS, TABLES, columns_of, read_table
+from tablescope.sources.tables import quarantine
 
 states = Registry()
 
@@ -158,3 +161,84 @@ def counter_growth(spark, sf):
     snapshots = snapshots.withColumns({c: F.sum(c).over(order) for c in ("seeks", "updates")}).drop("era")
     steps = S.counter_steps(snapshots, ["server", "object_id"], "month", ["seeks", "updates"])
     return S.growth(steps, ["server", "object_id"], ["seeks", "updates"])
+
+
+# Beginnings of part names and types, of many lengths, and some that nothing begins with.
+_PREFIX_SQL = """prefixes AS (
+SELECT left(p_name, 2 + (p_partkey % 12)::INT) AS expected_prefix FROM part UNION SELECT upper(left(p_type, 1 + (p_partkey % 9)::INT)) FROM part
+UNION SELECT 'none ' || p_partkey FROM part WHERE p_partkey % 10 = 0), names AS (
+SELECT p_partkey, p_name AS name FROM part UNION ALL SELECT -p_partkey, p_type FROM part)"""
+
+
+@states.query(f"""WITH {_PREFIX_SQL}
+SELECT expected_prefix, p_partkey, name, p_partkey IS NOT NULL AS found FROM prefixes LEFT JOIN names ON starts_with(lower(name), lower(expected_prefix))""")
+def prefix_coverage(spark, sf):
+    """Thousands of expected prefixes, joined by equality at their lengths."""
+    part, key = read_table(spark, sf, "part"), F.col("p_partkey")
+    prefixes = union_all(
+        [
+            part.select(F.left("p_name", (2 + key % 12).cast("int")).alias("expected_prefix")),
+            part.select(F.upper(F.left("p_type", (1 + key % 9).cast("int"))).alias("expected_prefix")),
+            part.filter(key % 10 == 0).select(F.concat(F.lit("none "), key.cast("string")).alias("expected_prefix")),
+        ]
+    )
+    names = part.select("p_partkey", F.col("p_name").alias("name")).unionByName(part.select((-key).alias("p_partkey"), F.col("p_type").alias("name")))
+    return O.prefix_coverage(names, "name", prefixes)
+
+
+@states.query("""
+SELECT doc_id, lang, CASE WHEN in_first THEN '2024-01-01' ELSE '2024-01-08' END AS first_seen,
+  CASE WHEN in_second THEN '2024-01-08' ELSE '2024-01-01' END AS last_seen
+FROM (SELECT CASE WHEN bool_or(doc_id % 3 < 2) THEN min(doc_id) FILTER (doc_id % 3 < 2) ELSE min(doc_id) END AS doc_id,
+    bool_or(doc_id % 3 < 2) AS in_first, bool_or(doc_id % 3 > 0) AS in_second
+  FROM documents GROUP BY lower(coalesce(text, ''))) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)""")
+def findings_over_runs(spark, sf):
+    """Two runs, each over two thirds of the documents: one row per text, with the first and the last run that had it."""
+    documents = read_table(spark, sf, "documents").select("doc_id", "lang", "text")
+    store = None
+    for day, part in (("2024-01-01", F.col("doc_id") % 3 < 2), ("2024-01-08", F.col("doc_id") % 3 > 0)):
+        store = N.remember(store, documents.filter(part), F.lit(day), ["doc_id"], ["text"])
+    return store.select("doc_id", "lang", "first_seen", "last_seen")
+
+
+_BACKUPS_SQL = """raw AS (
+SELECT o_orderkey, 'srv' || (o_custkey % 3) AS server, CASE WHEN o_orderkey % 97 = 0 THEN ' ' ELSE 'db' || o_custkey END AS database_name,
+  left(o_orderstatus, 1) AS type, CASE WHEN o_orderkey % 31 = 0 THEN 'n/a' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS finish_time
+FROM orders), judged AS (
+SELECT *, concat_ws('; ', CASE WHEN finish_time = 'n/a' THEN 'bad type: finish_time' END, CASE WHEN trim(database_name) = '' THEN 'missing key: database_name' END) AS reasons
+FROM raw), clashes AS (SELECT server, database_name, type FROM judged WHERE reasons = '' GROUP BY ALL HAVING count(DISTINCT finish_time) > 1)"""
+
+
+@states.query(f"""WITH {_BACKUPS_SQL}, all_reasons AS (
+SELECT CASE WHEN reasons <> '' THEN reasons ELSE 'clashing key' END AS reasons, server, trim(database_name) AS database_name, type, finish_time
+FROM judged LEFT JOIN clashes USING (server, database_name, type) WHERE reasons <> '' OR clashes.server IS NOT NULL)
+SELECT reasons, server, database_name, type, finish_time, count(*) AS rows FROM all_reasons GROUP BY ALL""")
+def quarantined_rows(spark, sf):
+    """Backup rows as text that the declared schema turns away."""
+    _, rejected = _backups(spark, sf)
+    row = F.from_json("row", "server STRING, database_name STRING, type STRING, finish_time STRING")
+    named = rejected.select("reasons", row.alias("r")).select("reasons", "r.*")
+    return named.groupBy(*named.columns).agg(F.count("*").alias("rows"))
+
+
+@states.query(f"""WITH {_BACKUPS_SQL}
+SELECT server, database_name, max(finish_time::TIMESTAMP) FILTER (type = 'F') AS last_f, max(finish_time::TIMESTAMP) FILTER (type = 'O') AS last_o
+FROM judged ANTI JOIN clashes USING (server, database_name, type) WHERE reasons = '' GROUP BY ALL""")
+def recency_of_accepted(spark, sf):
+    """The rows that pass feed the recency of each database."""
+    accepted, _ = _backups(spark, sf)
+    state = S.recency_states(accepted, ["server", "database_name"], "type", "finish_time", ["F", "O"])
+    return state.select(
+        "server", "database_name", F.col("last_F").cast("timestamp_ntz").alias("last_f"), F.col("last_O").cast("timestamp_ntz").alias("last_o")
+    )
+
+
+def _backups(spark, sf):
+    key, text = F.col("o_orderkey"), lambda c: F.col(c).cast("string")
+    raw = read_table(spark, sf, "orders").select(
+        F.concat(F.lit("srv"), (F.col("o_custkey") % 3).cast("string")).alias("server"),
+        F.when(key % 97 == 0, " ").otherwise(F.concat(F.lit("db"), text("o_custkey"))).alias("database_name"),
+        F.left("o_orderstatus", F.lit(1)).alias("type"),
+        F.when(key % 31 == 0, "n/a").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("finish_time"),
+    )
+    return quarantine(raw, "backups", ["server", "database_name", "type"])
