@@ -95,7 +95,7 @@ def op8_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
     back = chat.read_back(chat.format_conversations(rows))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learnt = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
+    learnt = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: chat.unescape(s["text"])), "")
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -103,6 +103,8 @@ def op8_chat_format(spark: SparkSession, sf: str) -> DataFrame:
         F.length(learnt).cast("long").alias("loss_chars"),
         F.sha2(learnt, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "state",
+        "valid",
     )
 
 
@@ -116,12 +118,15 @@ WITH turns AS (
     regexp_replace(replace(role, '\', '\\'), '([<\[])(/?(?:s>|SYS\]|INST\]|ANS\]|TOOL\]|TURN\])|:\])', '\1\\\2', 'g') || '[:] ' AS named
   FROM turns
 )
-SELECT conv_id, count(*) AS n_turns,
+SELECT * EXCLUDE (walk) FROM (SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
-  CAST(sum(length(body) + CASE WHEN mark = 'TURN' THEN length(named) ELSE 0 END + 2 * length(mark) + 14) AS BIGINT) AS formatted_chars
-FROM marked GROUP BY conv_id
+  CAST(sum(length(body) + CASE WHEN mark = 'TURN' THEN length(named) ELSE 0 END + 2 * length(mark) + 14) AS BIGINT) AS formatted_chars,
+  string_agg(CASE mark WHEN 'SYS' THEN 's' WHEN 'INST' THEN 'u' WHEN 'ANS' THEN 'a' WHEN 'TOOL' THEN 't' ELSE 'x' END, '' ORDER BY turn, role, text) AS walk,
+  CASE WHEN walk = 's' THEN 'asked' WHEN regexp_full_match(walk, 's?u(a[ut])*') THEN 'answer'
+    WHEN regexp_full_match(walk, 's?u(a[ut])*a') THEN 'done' ELSE 'invalid' END AS state, state = 'done' AS valid
+FROM marked GROUP BY conv_id)
 """
 
 
