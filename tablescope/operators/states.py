@@ -103,7 +103,7 @@ def advanced_recency(state: DataFrame, history: DataFrame, keys: Sequence[str],
 
 
 def counter_steps(snapshots: DataFrame, keys: Sequence[str], time: str, counters: Sequence[str], restart_keys: Sequence[str] = ("server",)) -> DataFrame:
-    """What cumulative counters grew by between an entity's consecutive snapshots.
+    """What cumulative counters grew by between an entity's consecutive snapshots, which list all entities of a server.
 
     A counter below its last value has started again from zero, and a server on which any did has restarted: its
     counters' growth since then is what they show, for all of its entities in that snapshot, and `restarted` says so.

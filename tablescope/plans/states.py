@@ -139,25 +139,25 @@ def recency_in_steps(spark, sf):
 
 
 # Orders of 40 customer groups on four servers, counted month by month; server k starts again from zero in months 7 + k, 21 + k, ...
-_MONTH = "(year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1"
+_MONTH, _MONTHS = "(year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1", 80
 
 
 @states.query(f"""
-WITH monthly AS (SELECT o_custkey % 40 AS object_id, {_MONTH} AS month, count(*) AS seeks, sum(o_orderkey)::BIGINT AS updates
-  FROM orders GROUP BY ALL), firsts AS (SELECT object_id, min(month) AS first FROM monthly GROUP BY 1)
-SELECT 'srv' || (object_id % 4) AS server, object_id, sum(seeks)::BIGINT AS seeks, sum(updates)::BIGINT AS updates,
-  count(*) FILTER ((month - 7 - object_id % 4) % 14 = 0) AS restarts
-FROM monthly JOIN firsts USING (object_id) WHERE month > first GROUP BY ALL""")
+WITH monthly AS (SELECT o_custkey % 40 AS object_id, count(*) FILTER ({_MONTH} > 0) AS seeks,
+  coalesce(sum(o_orderkey) FILTER ({_MONTH} > 0), 0)::BIGINT AS updates FROM orders GROUP BY ALL)
+SELECT 'srv' || (object_id % 4) AS server, object_id, seeks, updates,
+  (SELECT count(*) FROM range(1, {_MONTHS}) AS m(month) WHERE (month - 7 - object_id % 4) % 14 = 0) AS restarts
+FROM monthly""")
 def counter_growth(spark, sf):
     """Growth of cumulative counters, from monthly snapshots of servers that restart now and then."""
-    object_id, month = F.col("o_custkey") % 40, F.expr(_MONTH)
-    monthly = read_table(spark, sf, "orders").groupBy(object_id.alias("object_id"), month.alias("month")).agg(
+    counted = read_table(spark, sf, "orders").groupBy((F.col("o_custkey") % 40).alias("object_id"), F.expr(_MONTH).alias("month")).agg(
         F.count("*").alias("seeks"), F.sum("o_orderkey").alias("updates")
     )
-    server = F.concat(F.lit("srv"), (F.col("object_id") % 4).cast("string"))
+    every = counted.select("object_id").distinct().withColumn("month", F.explode(F.sequence(F.lit(0), F.lit(_MONTHS - 1))))
+    monthly = every.join(counted, ["object_id", "month"], "left").fillna(0, ["seeks", "updates"])
     era = F.floor((F.col("month") - 7 - F.col("object_id") % 4) / 14)
     order = S.W.partitionBy("object_id", "era").orderBy("month")
-    snapshots = monthly.withColumns({"server": server, "era": era})
+    snapshots = monthly.withColumns({"server": F.concat(F.lit("srv"), (F.col("object_id") % 4).cast("string")), "era": era})
     snapshots = snapshots.withColumns({c: F.sum(c).over(order) for c in ("seeks", "updates")}).drop("era")
     steps = S.counter_steps(snapshots, ["server", "object_id"], "month", ["seeks", "updates"])
     return S.growth(steps, ["server", "object_id"], ["seeks", "updates"])
