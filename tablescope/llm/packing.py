@@ -16,46 +16,120 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tablescope.llm.common import Parts, blocks, texts
+from tablescope.llm.common import Parts, blocks, chunks, gc_rarely, texts
 
 CACHED = 600_000
 #: The printable character that stands for each byte in the vocabulary: itself, or the next one from 256 on.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
-SHOWN = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+SHOWN = np.arange(256, dtype="<u4")
+SHOWN[_HIDDEN] = 256 + np.arange(len(_HIDDEN))
 OUT_ROWS = 20_000
 
 
+class _Numbers(dict):
+    """Numbers its keys in the order they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = new = len(self)
+        return new
+
+
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes.
+    """Token ids of texts.
 
-    The tokenizer's own pre-tokenizer cuts what is no plain word, its own model encodes each match once.
+    A text is cut at its spaces into parts, and every part seen lately has a number: its ids lie in one flat array, so
+    a block of texts costs one look-up per part and one gather. The tokenizer's own pre-tokenizer cuts what is no plain word, its own
+    model encodes each match once. Texts that hold a special token's string go through the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        tool = Tokenizer.from_file(path)
-        tool.encode_special_tokens = True
-        self.cut, self.model = tool.pre_tokenizer.pre_tokenize_str, tool.model
-        self.parts = Parts(self._matches, self._encoded, b"".join, CACHED)
+        gc_rarely()
+        self.tool = Tokenizer.from_file(path)
+        self.cut, self.model = self.tool.pre_tokenizer.pre_tokenize_str, self.tool.model
+        self.special = [t.content for t in self.tool.get_added_tokens_decoder().values()]
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts, self.pieces = _Numbers(), {}
+        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _matches(self, text: str) -> list[str]:
         return [text[a:b] for _, (a, b) in self.cut(text)]
 
-    def _encoded(self, matches: list[str]) -> list[bytes]:
-        tokens = self.model.tokenize
-        shown = [m.encode().decode("latin-1").translate(SHOWN) for m in matches]
-        return [array("I", [t.id for t in tokens(m)]).tobytes() for m in shown]
+    def _encoded(self, matches: Iterable[str]) -> None:
+        """Encodes matches that are not known yet, each once."""
+        new = [m for m in dict.fromkeys(matches) if m not in self.pieces]
+        raw = [m.encode() for m in new]
+        shown = SHOWN[np.frombuffer(b"".join(raw), np.uint8)].tobytes().decode("utf-32-le")  # a character per byte
+        tokens, end = self.model.tokenize, 0
+        for match, r in zip(new, raw):
+            first, end = end, end + len(r)
+            self.pieces[match] = array("I", [t.id for t in tokens(shown[first:end])])
+
+    def _learn(self) -> None:
+        """Stores the ids of parts that were numbered but not encoded yet."""
+        cut = []  # per part, its matches; the space before it belongs to the first
+        for part in islice(self.parts, len(self.starts), None):
+            if part.isalpha():
+                cut.append((" " + part,))
+                continue
+            # words that end in marks, one of them or two with a line end between: what the pre-tokenizer would cut, but faster
+            lines = part.split("\n")
+            stems = [line.rstrip(Parts.MARKS) for line in lines]
+            if len(lines) <= 2 and all(map(str.isalpha, stems)):
+                own = [" " + stems[0], lines[0][len(stems[0]) :]]
+                if len(lines) == 2:
+                    own += ["\n", stems[1], lines[1][len(stems[1]) :]]
+                cut.append([m for m in own if m])
+            else:
+                cut.append(self._matches(" " + part))
+        self._encoded(chain.from_iterable(cut))
+        piece = self.pieces.__getitem__
+        new = [piece(c[0]) if len(c) == 1 else sum(map(piece, c), array("I")) for c in cut]
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        starts = self.used + np.cumsum(sizes) - sizes
+        self.used += int(sizes.sum())
+        while self.used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used - int(sizes.sum()) : self.used] = np.frombuffer(b"".join(x.tobytes() for x in new), np.uint32)
+        self.starts, self.sizes = np.append(self.starts, starts), np.append(self.sizes, sizes)
 
     def encode(self, some: list[str]) -> list[bytes]:
-        return list(map(b"".join, self.parts.values(some)))
+        """Little-endian 32-bit ids of each text."""
+        if len(self.parts) > CACHED:
+            self.clear()
+        whole = {i for i, t in enumerate(some) if any(s in t for s in self.special)}
+        cut = [[""] if i in whole else chunks(t) for i, t in enumerate(some)]
+        parts = list(chain.from_iterable(c[1:] for c in cut))
+        numbers = np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
+        if len(self.parts) > len(self.starts):
+            self._learn()
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[numbers] - ends + sizes, sizes)].astype("<u4")
+        stops = np.append(0, ends)[np.cumsum([len(c) - 1 for c in cut])] if len(cut) else []
+        heads = [self._matches(c[0]) for c in cut]
+        self._encoded(chain.from_iterable(heads))
+        out, first = [], 0
+        for i, stop in enumerate(stops):
+            if i in whole:
+                head = np.array(self.tool.encode(some[i], add_special_tokens=False).ids, "<u4")
+            else:
+                head = np.array([x for m in heads[i] for x in self.pieces[m]], "<u4")
+            out.append(head.tobytes() + ids[first:stop].tobytes())
+            first = stop
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}

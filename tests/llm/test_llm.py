@@ -66,8 +66,8 @@ def test_packing_holds_every_id_once(spark, odd):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    tool.encode_special_tokens = True
     texts = [prose(random.Random(i).randrange(1, 1500), i) for i in range(60)] + [t for t in ODD if t]
+    texts += ["a <|endoftext|>b  c<|endoftext|><|endoftext|>", "  two  spaces ", "x\n\n y", " lead", "don't we'll 3rd.", "...", "<|endoftext"]
     got = unpacked(packing.pack(frame(spark, texts), tokenizer_path("byte_bpe_50k.json"), with_ids=True).collect())
     for i, text in enumerate(texts):
         want = tool.encode(text, add_special_tokens=False).ids + [1]
