@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from tablescope.llm.common import Parts, blocks, chunks, gc_rarely, texts
 
-CACHED = 600_000
+CACHED = 1_200_000
 #: The printable character that stands for each byte in the vocabulary: itself, or the next one from 256 on.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
 SHOWN = np.arange(256, dtype="<u4")
