@@ -17,6 +17,7 @@ Copies are combined before each shuffle: classes within a batch, and then by key
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
@@ -83,10 +84,29 @@ def bands_for(threshold: Fraction, rows: int, miss: float) -> int:
     return math.ceil(math.log(miss) / math.log1p(-float(threshold) ** rows))
 
 
+@functools.lru_cache(maxsize=4)
+def _tries(bins: int) -> np.ndarray:
+    """Row f: at which try each bin hits bin f, if it hashes its own number again and again."""
+    own, at = np.arange(bins), np.zeros((bins, bins), np.int32)
+    left, attempt = bins * bins, 0
+    while left:
+        attempt += 1
+        hit = _hit(own, attempt, bins)
+        new = at[hit, own] == 0
+        at[hit[new], own[new]] = attempt
+        left -= int(new.sum())
+    return at
+
+
+def _hit(own: np.ndarray, attempt: int, bins: int) -> np.ndarray:
+    return (mix(own.astype(np.uint64) * _ONE + np.uint64(attempt)) % np.uint64(bins)).astype(np.int64)
+
+
 def signatures(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One hash per band, over `rows` minima: elements are dealt into bands * rows bins, each bin has its least.
 
-    An empty bin takes the minimum of another, found by hashing its own number again and again.
+    An empty bin takes the minimum of another, found by hashing its own number again and again. Where few bins
+    are filled, the first hit is looked up; it is the same one.
     """
     bins = bands * rows
     keys = mix(shingles ^ _TWO)
@@ -94,9 +114,13 @@ def signatures(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
     np.minimum.at(least, (keys % np.uint64(bins)).astype(np.int64), mix(keys))
     filled = least != np.iinfo(np.uint64).max
     source = np.arange(bins)
-    empty, attempt = np.flatnonzero(~filled), 1
+    some, empty = np.flatnonzero(filled), np.flatnonzero(~filled)
+    if len(some) * 8 < bins:
+        source[empty] = some[_tries(bins)[some].argmin(axis=0)][empty]
+        empty = empty[:0]
+    attempt = 1
     while len(empty):
-        source[empty] = (mix(empty.astype(np.uint64) * _ONE + np.uint64(attempt)) % np.uint64(bins)).astype(np.int64)
+        source[empty] = _hit(empty, attempt, bins)
         empty, attempt = empty[~filled[source[empty]]], attempt + 1
     minima = least[source].reshape(bands, rows)
     out = np.arange(bands, dtype=np.uint64) * _TWO
@@ -290,9 +314,13 @@ def keepers(
     docs = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
     sets = written(document_sets(docs, n), "sets")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    # n_rows: how many rows repeat the id and text that stand for a class
     classes = (
-        sets.filter("set_id IS NOT NULL").groupBy("set_id").agg(least.alias("x"), F.first("n_shingles").alias("n_shingles"))
-        .select("set_id", "x.doc_id", "x.text_key", "n_shingles")
+        sets.filter("set_id IS NOT NULL").groupBy("set_id", "n_shingles", "doc_id", "text_key").agg(F.count("*").alias("n_rows"))
+        .groupBy("set_id").agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n_rows")).alias("x"), F.first("n_shingles").alias("n_shingles")
+        )
+        .select("set_id", "x.doc_id", "x.text_key", "x.n_rows", "n_shingles")
     )
     # one shuffle; a hot signature has one row per combined batch here
     same = W.partitionBy("signature")
@@ -315,9 +343,10 @@ def keepers(
         F.floor(F.col("_before") / chunk) * 1_000_000
         + F.pmod(F.xxhash64("set_id"), F.greatest(F.lit(1), F.ceil(F.col("_n") / chunk)).cast("long")),
     )
+    carried = ["set_id", "doc_id", "text_key", "n_rows", "n_shingles", "block"]
     placed = written(
-        small.filter(F.col("members") <= chunk).select("set_id", "doc_id", "text_key", "n_shingles", "block", F.lit(0).cast("long").alias("part"))
-        .unionByName(cut.select("set_id", "doc_id", "text_key", "n_shingles", "block", F.col("part").cast("long"))),
+        small.filter(F.col("members") <= chunk).select(*carried, F.lit(0).cast("long").alias("part"))
+        .unionByName(cut.select(*carried, F.col("part").cast("long"))),
         "placed",
     )
     ranges = placed.groupBy("block", "part").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
@@ -332,12 +361,14 @@ def keepers(
         F.col("y.block").alias("block"), F.col("y.part").alias("part"), F.lit(1).alias("side"), F.col("x.part").alias("other")
     )
     sent = placed.join(first.unionByName(second), ["block", "part"]).select(
-        "set_id", "doc_id", "text_key", "block", "side", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")
+        "set_id", "doc_id", "text_key", "n_rows", "block", "side", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")
     )
-    # classes without any doc_id are fetched by their text alone, once per text
+    # a text goes to a task once: rows that repeat one are combined first. Both joins read one shuffle of the texts.
+    # Classes without any doc_id are fetched by their text alone
     unnamed = docs.filter("doc_id IS NULL").groupBy("text_key").agg(F.first("text").alias("text"))
     columns = ["set_id", "block", "i", "j", "side", "text"]
-    payload = docs.join(sent.hint("shuffle_hash"), ["doc_id", "text_key"]).select(columns)
+    single, several = (docs.join(sent.filter(w).hint("shuffle_hash"), ["doc_id", "text_key"]).select(columns) for w in ("n_rows = 1", "n_rows > 1"))
+    payload = single.unionByName(several.distinct())
     payload = payload.unionByName(unnamed.join(sent.filter("doc_id IS NULL").hint("shuffle_hash"), "text_key").select(columns))
     t = threshold
 
