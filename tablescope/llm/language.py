@@ -141,18 +141,19 @@ def fit(
 ) -> Model:
     """Fits all languages of `docs` (text, lang and a key column `_key` that picks the sample).
 
+    The sample: the first `fit_docs` distinct rows (key, text) of each language, in order of their hashes; repeated rows are one.
     Rows whose lang or text is null teach nothing. The driver gets at most `fit_words` words per language.
     """
-    labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("_h", F.xxhash64("_key"))
+    labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.struct(F.xxhash64("_key"), F.xxhash64("text")).alias("_h"))
     first = W.partitionBy("lang").orderBy("_h")
     bound = (
-        labelled.select("lang", "_h").withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= fit_docs)
+        labelled.select("lang", "_h").distinct().withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= fit_docs)
         .groupBy("lang").agg(F.max("_h").alias("_bound"))
     ).collect()
     if not bound:
         return Model([], [], np.zeros((1, 0)), max_piece)
-    upper = F.create_map(*(F.lit(x) for r in bound for x in (r["lang"], r["_bound"])))
-    sample = labelled.filter(F.col("_h") <= upper[F.col("lang")])
+    upper = F.create_map(*(x for r in bound for x in (F.lit(r["lang"]), F.struct(*map(F.lit, r["_bound"])))))
+    sample = labelled.filter(F.col("_h") <= upper[F.col("lang")]).distinct()
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     counted = sample.select("lang", word.alias("word")).groupBy("lang", "word").count()
     often = W.partitionBy("lang").orderBy(F.desc("count"), "word")
@@ -231,9 +232,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Adds lang_pred and score to every row, from its text alone.
 
     Null text, and text without a letter, is `und` with score 0; so is every text if there was nothing to learn
-    from. Ties go to the language that sorts first. Other columns stay as they are, whatever their names.
+    from. Ties go to the language that sorts first. Columns named lang_pred or score are replaced, all others stay.
     """
-    columns = [f for f in docs.schema if f.name not in ("lang_pred", "score")]
+    columns = [f for f in docs.schema if f.name.lower() not in ("lang_pred", "score")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
