@@ -62,6 +62,12 @@ def shipped(spark: SparkSession) -> None:
     spark.conf.set("spark.tablescope.shipped", "true")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under the names c0, c1, ..., and the new name of each column: names that an operator adds cannot clash."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text, modulo `modulus`, is `remainder`; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

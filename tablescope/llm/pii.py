@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import blocks, chunks, gc_rarely, texts, written
+from tablescope.llm.common import blocks, chunks, gc_rarely, numbered, texts, written
 
 KINDS = ("email", "ip", "card", "phone")
 CACHED = 400_000
@@ -376,12 +376,13 @@ def sanitise_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def sanitise(docs: DataFrame, reach: int = 6, alpha: float = 1.25, support: int = 2) -> DataFrame:
-    """The rows of `docs` with their texts sanitised; all other columns stay as they are, null text stays null."""
+    """The rows of `docs` with their texts sanitised; all other columns stay as they are, whatever their names; null text stays null."""
     spans = written(find_spans(docs.select("doc_id", "text"), reach), "spans")
     terms = written(term_spans(docs, spans, alpha, support).withColumnRenamed("terms", "_terms"), "terms")
     schema = docs.schema
-    key = F.when(F.col("text").rlike("[0-9@]"), F.md5(F.col("text").cast("binary")))
-    keyed = docs.withColumn("_key", key)
+    rows, names = numbered(docs)
+    text = F.col(names["text"])
+    keyed = rows.withColumn("_key", F.when(text.rlike("[0-9@]"), F.md5(text.cast("binary"))))
     # texts that can hold no entity share the null key, so they stay out of the join
     joined = keyed.filter("_key IS NOT NULL").join(terms.withColumnRenamed("text_key", "_key"), "_key", "left")
     plain = keyed.filter("_key IS NULL").withColumn("_terms", F.lit(None).cast(terms.schema["_terms"].dataType))
@@ -390,13 +391,13 @@ def sanitise(docs: DataFrame, reach: int = 6, alpha: float = 1.25, support: int
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             out = []
-            for text, own in zip(block.column("text").to_pylist(), block.column("_terms").to_pylist()):
+            for text, own in zip(block.column(names["text"]).to_pylist(), block.column("_terms").to_pylist()):
                 spans = find_entities(text) if text else []
                 if spans:
                     spans = sorted([*spans, *((t["start"], t["kind"], t["end"]) for t in own or ())])
                     text = sanitise_text(text, spans)
                 out.append(text)
-            columns = [pa.array(out, pa.string()) if f.name == "text" else block.column(f.name) for f in schema]
+            columns = [pa.array(out, pa.string()) if c == "text" else block.column(n) for c, n in names.items()]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return keyed.mapInArrow(run, schema)

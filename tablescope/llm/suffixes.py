@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import blocks, mix, signed, texts, written
+from tablescope.llm.common import blocks, mix, numbered, signed, texts, written
 from tablescope.llm.jaccard import Shingler
 
 SENT = 400_000
@@ -250,7 +250,7 @@ def repeats(docs: DataFrame, min_words: int = 50, k: int = 8, window: int = 16)
 def cut_repeats(docs: DataFrame, min_words: int = 50, k: int = 8, window: int = 16) -> DataFrame:
     """The rows of `docs` without the passages that an earlier document holds.
 
-    Copies of a whole text and documents of which no word is left go; other columns stay as they are.
+    Copies of a whole text and documents of which no word is left go; other columns stay as they are, whatever their names.
     """
     passages, documents = repeated_passages(docs, min_words, k, window)
     spans = passages.filter("NOT is_first").groupBy("text_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
@@ -261,15 +261,16 @@ def cut_repeats(docs: DataFrame, min_words: int = 50, k: int = 8, window: int =
         "spans",
     )
     schema = docs.schema
-    keyed = docs.withColumn("_text_id", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows, names = numbered(docs)
+    keyed = rows.withColumn("_text_id", F.xxhash64(F.coalesce(names["text"], F.lit(""))))
     joined = keyed.join(changed.hint("shuffle_hash"), "_text_id", "left").filter(
-        F.col("_leader").isNull() | (F.coalesce("doc_id", F.lit(LAST)) == F.col("_leader"))
+        F.col("_leader").isNull() | (F.coalesce(names["doc_id"], F.lit(LAST)) == F.col("_leader"))
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             out, keep = [], []
-            for text, spans in zip(block.column("text").to_pylist(), block.column("_spans").to_pylist()):
+            for text, spans in zip(block.column(names["text"]).to_pylist(), block.column("_spans").to_pylist()):
                 if spans and text:
                     left, at = [], 0
                     for start, end in sorted((s["start"], s["end"]) for s in spans):
@@ -280,7 +281,7 @@ def cut_repeats(docs: DataFrame, min_words: int = 50, k: int = 8, window: int =
                 else:
                     keep.append(True)
                 out.append(text)
-            columns = [pa.array(out, pa.string()) if f.name == "text" else block.column(f.name) for f in schema]
+            columns = [pa.array(out, pa.string()) if c == "text" else block.column(n) for c, n in names.items()]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, schema)

@@ -39,6 +39,14 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+#: names that operators and stages give to columns of their own
+OWN = "_key _terms _text_id _spans _leader _text_key _row _h _r row rows c0 c1 c2 text_key text_id set_id n_rows lang_pred score terms kind block part".split()
+
+
+def with_own_names(docs):
+    return docs.select("doc_id", "text", "lang", *(F.concat_ws(":", F.lit(n), "doc_id").alias(n) for n in OWN))
+
+
 def frame(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING").repartition(4)
 
@@ -285,6 +293,20 @@ def test_held_out_languages(spark, odd, empty):
 # ---- toxicity
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """One key holds most rows: no more than fit_docs distinct rows of a language are learnt from."""
+    rows = [("en", f"word{i % 700:05d}".translate(str.maketrans("0123456789", "abcdefghij")), 1) for i in range(5000)]
+    rows += [("en", "other", i) for i in range(2, 20)] + [("en", None, 30), (None, "lost", 31)]
+    seen = {}
+    monkeypatch.setattr(language, "fit_language", lambda lattice, counts, rounds, floor: seen.update(counts) or np.full(len(lattice.pieces) + 1, 0.1))
+    docs = spark.createDataFrame(rows, "lang STRING, text STRING, _key LONG")
+    language.fit(docs, tokenizer_path("byte_bpe_multi_50k.tiktoken"), fit_docs=40)
+    assert sum(seen.values()) == 40
+    seen.clear()
+    language.fit(docs, tokenizer_path("byte_bpe_multi_50k.tiktoken"), fit_docs=10_000)
+    assert sum(seen.values()) == 718 and seen[b" other"] == 18
+
+
 def test_swaps_lower_the_weight_of_mentions(spark, odd, empty):
     r = random.Random(6)
     rows, labels = [], []
@@ -368,6 +390,48 @@ def test_jaccard_of_odd_rows(odd, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("bands", [37, 113])
+def test_sparse_signatures_equal_the_walk(bands):
+    """The table of first hits gives what hashing again and again gives."""
+    bins, r = bands * jaccard.ROWS, np.random.default_rng(bands)
+    for n in [1, 2, 3, 7, 20, 60, bins // 4]:
+        shingles = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))
+        keys = jaccard.mix(shingles ^ jaccard._TWO)
+        least = {}
+        for k, h in zip(keys.tolist(), jaccard.mix(keys).tolist()):
+            least[k % bins] = min(h, least.get(k % bins, h))
+        minima = []
+        for b in range(bins):
+            at, attempt = b, 0
+            while at not in least:
+                attempt += 1
+                at = int(jaccard._hit(np.array([b]), attempt, bins)[0])
+            minima.append(least[at])
+        out = np.arange(bands, dtype=np.uint64) * jaccard._TWO
+        for i in range(jaccard.ROWS):
+            out = jaccard.mix(out * jaccard._ONE + np.array(minima, np.uint64).reshape(bands, jaccard.ROWS)[:, i])
+        assert (jaccard.signatures(shingles, bands, jaccard.ROWS) == out).all()
+
+
+@pytest.mark.parametrize("n,t", [(3, Fraction(9, 10)), (5, Fraction(8, 10))])
+def test_short_texts_equal_brute_force(spark, n, t):
+    """Sets of 1 to 20 shingles, each with copies that lose or gain words at either end."""
+    texts = [prose(n - 1 + size, 100 * size + i) for size in range(1, 21) for i in range(3)]
+    texts += [x + " end" for x in texts] + [x.split(" ", 1)[-1] for x in texts] + [f"new {x}" for x in texts[:60]]
+    got = jaccard.jaccard_components(frame(spark, texts), n, t).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(dict(enumerate(texts)), n, t)
+
+
+def test_repeated_rows_link(spark):
+    """One row is there 500 times; it links to near copies, and goes to a task once."""
+    same = prose(60, 1)
+    rows = [(7, same)] * 500 + [(8, same + " end"), (9, "new " + same), (3, prose(60, 2)), (3, prose(60, 2))]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(4), chunk=2)
+    assert sorted((r.doc_id, r.component_id, r["count"]) for r in got.groupBy("doc_id", "component_id").count().collect()) == [
+        (3, 3, 2), (7, 7, 500), (8, 7, 1), (9, 7, 1)
+    ]
+
+
 def test_classes_without_an_id_link(spark):
     """0 and 1 are no near copies of each other, but both of the text without an id between them."""
     words = prose(100, 1).split()
@@ -543,3 +607,18 @@ def test_pipeline_stages(spark, odd, empty):
         assert stage(spark, empty, "").count() == 0
         got = stage(spark, odd, "")
         assert got.count() > 0 and (name == "packing" or got.columns == odd.columns)
+
+
+def test_stages_keep_columns_with_their_own_names(spark, odd):
+    passage = prose(60, 2)
+    texts = [f"{prose(40, 4)} {passage}", f"{prose(50, 5)} {passage} mail me@mail.example.com now", prose(80, 6), prose(80, 6) + " end"]
+    docs = with_own_names(spark.createDataFrame([(100 + i, t, "en") for i, t in enumerate(texts)], "doc_id LONG, text STRING, lang STRING"))
+    docs = docs.unionByName(with_own_names(odd)).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns and got.count() > 0, name
+        wrong = got.filter(" OR ".join(f"NOT {n} <=> concat_ws(':', '{n}', doc_id)" for n in OWN))
+        assert wrong.count() == 0, name
+    for stage in (packing.pack, jaccard.jaccard_components, suffixes.repeats, pii.detect):
+        given = (docs, tokenizer_path("byte_bpe_50k.json")) if stage is packing.pack else (docs,)
+        assert stage(*given).count() > 0
