@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablescope.llm import jaccard, language, packing, pii, suffixes
-from tablescope.llm.common import held_out, shipped, tokenizer_path, written
+from tablescope.llm.common import held_out, numbered, shipped, tokenizer_path, written
 
 #: Language models, hashing and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -28,8 +28,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, least:
     shipped(spark)
     train = docs.filter(~held_out(F.col("doc_id"), 5, 0)).select("text", "lang", F.col("doc_id").alias("_key"))
     model = language.fit(train, tokenizer_path("byte_bpe_multi_50k.tiktoken"))
-    known = language.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
-    return known.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    rows, names = numbered(docs)
+    known = language.identify(rows.withColumnRenamed(names["text"], "text"), model)
+    known = known.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score")
+    return known.toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,16 +47,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         .withColumn("keeps", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("keeper"))),
         "groups",
     )
-    keyed = docs.withColumn("_text_key", jaccard.text_key(F.col("text")))
+    numbers, names = numbered(docs)
+    columns, doc_id = numbers.columns, names["doc_id"]
+    keyed = numbers.withColumn("_text_key", jaccard.text_key(F.col(names["text"])))
 
     def same(other: DataFrame) -> Column:
-        return (keyed["_text_key"] == other["text_key"]) & keyed["doc_id"].eqNullSafe(other["doc_id"])
+        return (keyed["_text_key"] == other["text_key"]) & keyed[doc_id].eqNullSafe(other["doc_id"])
 
     other, several = rows.filter("NOT keeps OR n > 1"), rows.filter("keeps AND n > 1")
     single = keyed.join(other, same(other), "left_anti")
-    first = W.partitionBy("doc_id", "_text_key").orderBy(F.xxhash64(*docs.columns))
+    first = W.partitionBy(doc_id, "_text_key").orderBy(F.xxhash64(*columns))
     copies = keyed.join(several, same(several), "left_semi").withColumn("_row", F.row_number().over(first)).filter("_row = 1")
-    return single.select(docs.columns).unionByName(copies.select(docs.columns))
+    return single.select(columns).unionByName(copies.select(columns)).toDF(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
