@@ -259,12 +259,12 @@ def _each_text(keyed: DataFrame, column: str, run: Callable[[str, list], Iterato
 
 
 def _candidates(docs: DataFrame, held: DataFrame, live: DataFrame, total: int, alpha: float) -> tuple[DataFrame, DataFrame]:
-    """(candidates, counts): text_key, n, entity, term - terms of whole texts that may pass with an entity there.
+    """(candidates, counts): text_key, n, held, term - terms of whole texts that may pass with a group of entities there.
 
     counts: term, n_live - documents with a live entity that hold the term, at most n_term.
     """
-    entities = held.select("text_key", F.explode("entities").alias("entity")).distinct().join(live, "entity")
-    wanted = written(entities.groupBy("text_key").agg(F.collect_list(F.struct("entity", "n_entity")).alias("live")), "wanted")
+    groups = held.select("text_key", F.explode("entities").alias("entity")).join(live, "entity").select("text_key", "held", "n_entity").distinct()
+    wanted = written(groups.groupBy("text_key").agg(F.collect_list(F.struct("held", "n_entity")).alias("live")), "wanted")
     keyed = _keyed(docs).join(wanted, "text_key")
     counts = written(_counted(keyed, b"\xff" * (FILTER_BITS // 8)).withColumnRenamed("n_term", "n_live"), "counts")
     least = counts.groupBy(F.pmod("term", F.lit(FILTER_BITS)).alias("cell")).agg(F.min("n_live").alias("n")).toArrow()
@@ -279,13 +279,17 @@ def _candidates(docs: DataFrame, held: DataFrame, live: DataFrame, total: int, a
         level = levels[terms % FILTER_BITS]
         for e in own:
             some = terms[level <= STEPS * np.log2(total * (e["n_entity"] / total) ** (1 / alpha)) + 1e-6]
-            yield np.full(len(some), e["entity"], np.int64), some
+            yield np.full(len(some), e["held"], np.int64), some
 
-    return written(_each_text(keyed, "live", pairs, ["entity", "term"]), "candidates"), counts
+    return written(_each_text(keyed, "live", pairs, ["held", "term"]), "candidates"), counts
 
 
 def term_spans(docs: DataFrame, spans: DataFrame, alpha: float = 1.25, support: int = 2) -> DataFrame:
-    """text_key, terms: every place of a term that discloses an entity of the text (start, kind 4, end); one row per text."""
+    """text_key, terms: every place of a term that discloses an entity of the text (start, kind 4, end); one row per text.
+
+    Entities that the same texts hold (a list of addresses, say) have the same counts with every term, and what one of them
+    marks is marked for all: such a group, named by a hash of its texts, is counted as one.
+    """
     held = spans.filter("text_key IS NOT NULL")
     near = (
         held.select(F.explode("near").alias("x")).groupBy("x.entity", "x.term").agg(F.count_distinct("x.context").alias("contexts"))
@@ -293,12 +297,14 @@ def term_spans(docs: DataFrame, spans: DataFrame, alpha: float = 1.25, support:
     )
     near = written(near.select("entity", "term", F.lit(True).alias("near")), "near")
     # an entity of one text, with no term in several surroundings, has no pair
+    marks = [F.xxhash64("text_key", F.lit(i)) for i in (1, 2)]
     live = (
         held.select("text_key", F.explode("entities").alias("entity")).groupBy("entity", "text_key").agg(F.count("*").alias("n"))
-        .groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts"))
+        .groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts"), *(F.bit_xor(m).alias(f"x{i}") for i, m in enumerate(marks)))
         .join(near.select("entity").distinct().withColumn("near", F.lit(True)), "entity", "left").filter((F.col("texts") >= support) | F.col("near"))
     )
-    live = written(live.select("entity", "n_entity"), "live")
+    live = written(live.select("entity", "n_entity", F.xxhash64("texts", "x0", "x1").alias("held")), "live")
+    near = near.join(live, "entity").select("held", "term", "near").distinct()
     total = docs.count()
     candidates, counts = _candidates(docs, held, live, max(total, 1), alpha)
     n = F.col
@@ -308,11 +314,11 @@ def term_spans(docs: DataFrame, spans: DataFrame, alpha: float = 1.25, support:
         return F.log(n("n_both") * total / (n("n_entity") * n(term)))
 
     pairs = written(
-        candidates.groupBy("entity", "term", "text_key").agg(F.sum("n").alias("n"))
-        .groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
-        .join(near, ["entity", "term"], "left").filter((n("texts") >= support) | n("near"))
-        .join(live, "entity").join(counts, "term").filter(pmi("n_live") >= least - 1e-9)
-        .select("entity", "term", "n_both", "n_entity"),
+        candidates.groupBy("held", "term", "text_key").agg(F.sum("n").alias("n"))
+        .groupBy("held", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
+        .join(near, ["held", "term"], "left").filter((n("texts") >= support) | n("near"))
+        .join(live.select("held", "n_entity").distinct(), "held").join(counts, "term").filter(pmi("n_live") >= least - 1e-9)
+        .select("held", "term", "n_both", "n_entity"),
         "pairs",
     )
     places = pairs.select(F.pmod("term", F.lit(FILTER_BITS)).cast("int").alias("bit")).distinct().toArrow()
@@ -320,8 +326,8 @@ def term_spans(docs: DataFrame, spans: DataFrame, alpha: float = 1.25, support:
     wanted[places.column("bit").to_numpy()] = 1
     scored = pairs.join(_counted(docs, np.packbits(wanted).tobytes()), "term")
     # a term that is independent of an entity in every document (IC 0) tells nothing of it
-    passed = scored.filter((pmi("n_term") >= least) & (pmi("n_term") > 0)).select("entity", "term")
-    found = written(candidates.join(passed, ["entity", "term"]).groupBy("text_key").agg(F.collect_set("term").alias("own")), "found")
+    passed = scored.filter((pmi("n_term") >= least) & (pmi("n_term") > 0)).select("held", "term")
+    found = written(candidates.join(passed, ["held", "term"]).groupBy("text_key").agg(F.collect_set("term").alias("own")), "found")
 
     def found_at(text: str, own: list) -> Iterator[tuple]:
         wanted = set(own)

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -248,6 +249,57 @@ def test_numbers_disclose(spark):
     assert all("[NUMBER]" in clean[i] and "48813" not in clean[i] and "2024" in clean[i] for i in range(3))
 
 
+def brute_terms(texts, alpha=1.25, support=2, reach=6):
+    """Places of disclosing terms, each pair of an entity and a term counted by itself."""
+    found = {i: pii.find_entities(t) for i, t in texts.items()}
+    held = {i: {pii._entity(k, texts[i][a:b]) for a, k, b in s} for i, s in found.items()}
+    words = {i: {w for _, _, w in pii._terms(t, found[i])} for i, t in texts.items()}
+    every = {i: {m.lower() for m in pii._TERM.findall(t)} for i, t in texts.items()}
+    near = defaultdict(set)
+    for i, t in texts.items():
+        for x in pii._surroundings(t, found[i], reach) if found[i] else []:
+            near[x["entity"], x["term"]].add(x["context"])
+    total, passed = len(texts), set()
+    for e in set().union(*held.values()):
+        own = [i for i in texts if e in held[i]]
+        for w in set().union(*(words[i] for i in own)):
+            both = [i for i in own if w in words[i]]
+            if len({texts[i] for i in both}) < support and len(near[e, pii._hash(w)]) < support:
+                continue
+            n_term = sum(w in every[i] for i in texts)
+            pmi = math.log(len(both) * total / (len(own) * n_term))
+            if pmi >= -math.log(len(own) / total) / alpha and pmi > 0:
+                passed.add((e, w))
+    return {i: {(s, e) for s, e, w in pii._terms(t, found[i]) if any((x, w) in passed for x in held[i])} for i, t in texts.items()}
+
+
+def test_disclosing_terms_equal_brute_force(spark):
+    """Lists of addresses in the same texts, addresses of one text, terms that only some of a group stand near."""
+    r = random.Random(3)
+    letters = str.maketrans("0123456789", "abcdefghij")
+    texts = {i: prose(60, i).translate(letters) for i in range(60)}
+    mails = [f"p{i}@mail.example.com" for i in range(30)]
+    for i in range(0, 60, 3):
+        some = mails[i // 6 * 3 : i // 6 * 3 + 3] if i % 2 else r.sample(mails, 2)
+        texts[i] += " Zorvath " + " and ".join(some) + f" quill{'abc'[i % 3]} sold rarely{i // 12 * 'x'} to none"
+    texts[61] = " ".join(f"Umbrin so {m} or else {n} words that go on for long enough to be apart" for n, m in enumerate(["q@mail.example.com"] * 3 + mails[:3]))
+    texts[62] = "Umbrin so " + texts[0]
+    got = {r.doc_id: {(s.start, s.end) for s in r.all_spans if s.kind == 4} for r in pii.detect(spark.createDataFrame(list(texts.items()), "doc_id LONG, text STRING").repartition(4)).collect()}
+    want = brute_terms(texts)
+    assert got == want and sum(map(len, want.values())) > 20
+
+
+def test_lists_of_entities_are_one_group(spark, monkeypatch):
+    """400 addresses and 3,000 words in three documents: a row per word and document, not per address."""
+    listed = " ".join(f"m{i}@mail.example.com" for i in range(400))
+    words = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}{e}" for i in range(3000)) for e in "xyz"]
+    rows = [(i, f"{listed} {w} {words[0]}") for i, w in enumerate(words)] + [(10 + i, "nothing") for i in range(200)]
+    counted, plain = [], pii._candidates
+    monkeypatch.setattr(pii, "_candidates", lambda *a: counted.append(plain(*a)) or counted[0])
+    pii.detect(spark.createDataFrame(rows, "doc_id LONG, text STRING")).count()
+    assert 9_000 <= counted[0][0].count() <= 20_000
+
+
 def test_pii_of_odd_rows(odd, empty):
     assert pii.detect(odd).count() == odd.count() and pii.detect(empty).count() == 0
     back = pii.sanitise(odd)
