@@ -187,6 +187,25 @@ def profile_columns(
     return _judge(catalog.join(F.broadcast(measured), "cid", "left"))
 
 
+def profile_servers(
+    tables: Mapping[tuple[str, str], DataFrame],
+    lob_columns: Iterable[tuple[str, str, str]] = (),
+    computed_columns: Iterable[tuple[str, str, str]] = (),
+    **options,
+) -> DataFrame:
+    """profile_columns of tables by (server, name), with a server column: tables of one name on two servers are two tables.
+
+    Columns that are no data are given as (server, table, column); `options` are those of profile_columns.
+    """
+    joined = lambda server, table: f"{server}\u0001{table}"
+    named = lambda columns: [(joined(s, t), c) for s, t, c in columns]
+    profile = profile_columns(
+        {joined(*key): df for key, df in tables.items()}, named(lob_columns), named(computed_columns), **options
+    )
+    part = lambda i: F.split_part("table", F.lit("\u0001"), F.lit(i))
+    return profile.withColumns({"server": part(1), "table": part(2)})
+
+
 def _batches(items: list, size: int) -> list[list]:
     return [items[i : i + size] for i in range(0, len(items), size)]
 

@@ -1,12 +1,18 @@
-"""Per-table shape metrics derived from the column profile (a schema-sized input)."""
+"""Per-table shape metrics derived from the column profile (a schema-sized input).
+
+A table is told by `keys`: its name, or server and name where servers hold tables of one name.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MEGABYTE = 1024.0 * 1024.0
+BY_NAME = ("table",)
 
 
 def _compressed_weight() -> Column:
@@ -18,7 +24,7 @@ def measured(profile: DataFrame) -> DataFrame:
     return profile.filter(F.col("analyzed") & (F.col("sample_rows") > 0))
 
 
-def table_shape(profile: DataFrame) -> DataFrame:
+def table_shape(profile: DataFrame, keys: Sequence[str] = BY_NAME) -> DataFrame:
     """Repetitiveness of each table: one row per table, LOB columns always counted.
 
     compressed_row_bytes is the rough columnar size of one row; clustering_column
@@ -37,7 +43,7 @@ def table_shape(profile: DataFrame) -> DataFrame:
     upper_middle = F.when(
         F.size(factors) > 0, F.get(factors, F.floor(F.size(factors) / F.lit(2)).cast("int"))
     )
-    return profile.groupBy("table").agg(
+    return profile.groupBy(*keys).agg(
         F.count_if(done).alias("analyzed_columns"),
         F.coalesce(F.max(F.when(done, F.col("sample_rows"))), F.lit(0)).alias("sampled_rows"),
         share(0.01).alias("pct_low"),
@@ -60,12 +66,12 @@ def compressed_mb() -> Column:
     return F.col("compressed_row_bytes") * F.col("row_count") / MEGABYTE
 
 
-def compressed_estimate(shape: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Rough columnar size of each measured table; `sizes` has table, row_count, base_data_mb."""
+def compressed_estimate(shape: DataFrame, sizes: DataFrame, keys: Sequence[str] = BY_NAME) -> DataFrame:
+    """Rough columnar size of each measured table; `sizes` has the keys, row_count, base_data_mb."""
     estimate = (
         shape.filter("analyzed_columns > 0")
-        .select("table", "compressed_row_bytes")
-        .join(sizes.select("table", "row_count", "base_data_mb"), "table")
+        .select(*keys, "compressed_row_bytes")
+        .join(sizes.select(*keys, "row_count", "base_data_mb"), list(keys))
         .withColumn("compressed_mb", compressed_mb())
         .drop("compressed_row_bytes")
     )
@@ -77,10 +83,10 @@ def compressed_estimate(shape: DataFrame, sizes: DataFrame) -> DataFrame:
     return estimate.withColumn("worth_reporting", worth_reporting)
 
 
-def shape_highlights(profile: DataFrame, top: int = 4) -> DataFrame:
+def shape_highlights(profile: DataFrame, top: int = 4, keys: Sequence[str] = BY_NAME) -> DataFrame:
     """Most repetitive columns, how many more repeat well, and the near-unique ones."""
     factor = F.col("duplication_factor")
-    by_factor = W.partitionBy("table").orderBy(F.col("_star").desc(), factor.desc(), "ordinal")
+    by_factor = W.partitionBy(*keys).orderBy(F.col("_star").desc(), factor.desc(), "ordinal")
     ranked = (
         measured(profile)
         .withColumn("_star", factor >= 100)
@@ -89,7 +95,7 @@ def shape_highlights(profile: DataFrame, top: int = 4) -> DataFrame:
     star = F.when(F.col("_star") & (F.col("_rank") <= top), F.struct("_rank", "column"))
     unique = F.when(F.col("distinct_ratio") >= 0.9, F.struct("ordinal", "column"))
     names = lambda cell: F.array_sort(F.collect_list(cell)).getField("column")
-    return ranked.groupBy("table").agg(
+    return ranked.groupBy(*keys).agg(
         names(star).alias("star_columns"),
         F.count_if((factor >= 10) & (factor < 100)).alias("good_columns"),
         names(unique).alias("near_unique_columns"),
@@ -97,7 +103,7 @@ def shape_highlights(profile: DataFrame, top: int = 4) -> DataFrame:
 
 
 def jackpot_column(
-    profile: DataFrame, sizes: DataFrame, min_bytes: float = 20, min_factor: float = 50
+    profile: DataFrame, sizes: DataFrame, min_bytes: float = 20, min_factor: float = 50, keys: Sequence[str] = BY_NAME
 ) -> DataFrame:
     """The wide, repetitive text column that holds most of each table."""
     payload = F.col("avg_byte_length") * F.col("row_count")
@@ -107,8 +113,8 @@ def jackpot_column(
         & (F.col("duplication_factor") >= min_factor)
     )
     best = (
-        wide.join(sizes.select("table", "row_count"), "table")
-        .groupBy("table")
+        wide.join(sizes.select(*keys, "row_count"), list(keys))
+        .groupBy(*keys)
         .agg(
             F.max_by(
                 F.struct("column", "distinct_values", "avg_byte_length", (payload / MEGABYTE).alias("payload_mb")),
@@ -116,7 +122,7 @@ def jackpot_column(
             ).alias("best")
         )
     )
-    return best.select("table", "best.*")
+    return best.select(*keys, "best.*")
 
 
 def clustering_column(profile: DataFrame) -> DataFrame:
@@ -131,12 +137,12 @@ def clustering_column(profile: DataFrame) -> DataFrame:
     )
 
 
-def top_columns(profile: DataFrame, top: int = 8) -> DataFrame:
+def top_columns(profile: DataFrame, top: int = 8, keys: Sequence[str] = BY_NAME) -> DataFrame:
     """The most repetitive measured columns of each table, with their rank."""
-    order = W.partitionBy("table").orderBy(F.col("duplication_factor").desc(), "ordinal")
+    order = W.partitionBy(*keys).orderBy(F.col("duplication_factor").desc(), "ordinal")
     return (
         profile.filter("analyzed")
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= top)
-        .select("table", "rank", "column", "duplication_factor", "distinct_values")
+        .select(*keys, "rank", "column", "duplication_factor", "distinct_values")
     )

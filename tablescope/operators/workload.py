@@ -11,6 +11,7 @@ from tablescope.functions.constants import (
     STATEMENTS_PER_TABLE,
 )
 from tablescope.functions.frames import top_k
+from tablescope.operators.findings import emit, finding
 
 # Bytes in the runs that names are looked up by: the greatest of these that a name has.
 RUNS = (4, 2, 1)
@@ -105,6 +106,12 @@ def source_gate(status: DataFrame) -> DataFrame:
     )
 
 
+def caveat_findings(gated: DataFrame) -> DataFrame:
+    """One finding per log source that stopped capturing."""
+    row = finding("Workload evidence", "Low", "Statement log is stale", F.col("caveat"), object=F.col("source"))
+    return emit(gated, F.when(F.col("caveat").isNotNull(), row))
+
+
 def trusted_statements(log: DataFrame, gated: DataFrame) -> DataFrame:
     """Drops the statements of unusable sources; sources without a status stay."""
     unusable = gated.filter(~F.col("usable")).select("server", "source").distinct()
