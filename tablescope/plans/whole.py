@@ -174,6 +174,132 @@ def table_report(spark, sf):
     return report["candidates"].select("table", "candidacy_score", "has_aggregation", "recommendation")
 
 
+# Driver table i stands for table t{i // 2} of server srv{i % 2}: each name is on two servers, with different data.
+_FLEET_SQL = f"""{WITH_PROFILE}, {G.SCORED_SQL}, fleet AS (
+SELECT 'srv' || i % 2 AS server, 't' || i // 2 AS "table", "table" AS source_table, * EXCLUDE ("table") FROM scored
+), said AS (
+SELECT 'srv' || o_orderkey % 2 AS server, 'PlanCache' AS source, o_orderkey % 100 + 1 AS execution_count,
+  floor(o_totalprice)::BIGINT AS reads, 'SELECT sum(x) FROM t' || c_nationkey % 7 || ' GROUP BY y' AS statement_text
+FROM orders JOIN customer ON c_custkey = o_custkey
+UNION ALL SELECT 'srv1', 'QueryStore', sum(l_quantity::BIGINT)::BIGINT, sum(floor(l_extendedprice)::BIGINT * l_quantity::BIGINT)::BIGINT,
+  'SELECT * FROM t' || n_nationkey % 7 || ' WHERE n = ' || n_nationkey
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
+  JOIN nation ON n_nationkey = c_nationkey WHERE l_orderkey % 2 = 1 GROUP BY n_nationkey
+), evidence AS (
+SELECT server, "table", source, execution_count, reads, statement_text,
+  row_number() OVER (PARTITION BY server, "table", source ORDER BY reads DESC, statement_text, execution_count DESC) AS rk
+FROM said JOIN (SELECT server, "table" FROM fleet) USING (server)
+WHERE contains(statement_text, "table"))"""
+
+
+def _fleet(spark, sf):
+    """Tables by (server, name), their facts, and what their statement log is made from."""
+    i = F.col("i")
+    numbered = constant_rows(spark, list(enumerate(TABLES)), "i INT, source_table STRING")
+    tables = {(f"srv{n % 2}", f"t{n // 2}"): df for n, df in enumerate(read_tables(spark, sf, TABLES).values())}
+    sizes = G.table_sizes(profile_columns(read_tables(spark, sf, TABLES))).withColumnRenamed("table", "source_table")
+    table = H._text("t", F.floor(i / 2))
+    facts = (
+        numbered.join(sizes, "source_table").join(G._usage(spark, sf), "i", "left").fillna(0, G.COUNTERS)
+        .select(
+            "*", table.alias("table"), table.alias("table_name"), H._text("srv", i % 2).alias("server"), i.alias("object_id"),
+            (F.col("base_data_mb") * (i % 4) / 2).alias("nonclustered_mb"), (i % 5 == 4).alias("has_columnstore"),
+            (i % 3 == 0).alias("is_replicated"), (i % 4 == 1).alias("is_cdc_tracked"),
+        )
+    )
+    server = lambda key: H._text("srv", F.col(key) % 2).alias("server")
+    both = F.explode(F.array(F.lit("srv0"), F.lit("srv1"))).alias("server")
+    read = lambda name: read_table(spark, sf, name)
+    reads = F.floor("o_totalprice")
+    log = {
+        "statement_stats": read("orders").select(
+            server("o_orderkey"), F.col("o_custkey").alias("handle"), (F.col("o_orderkey") % 100 + 1).alias("execution_count"),
+            reads.alias("total_logical_reads"), reads.alias("total_worker_us"), reads.alias("total_elapsed_us"),
+            F.col("o_orderdate").alias("last_execution_time"), F.lit(0).alias("start_offset"), F.lit(-1).alias("end_offset"),
+        ),
+        "batch_texts": read("customer").select(
+            both, F.col("c_custkey").alias("handle"),
+            F.concat(F.lit("SELECT sum(x) FROM t"), (F.col("c_nationkey") % 7).cast("string"), F.lit(" GROUP BY y")).alias("text"),
+        ),
+        "runtime_stats": read("lineitem").select(
+            server("l_orderkey"), F.col("l_orderkey").alias("plan_id"), F.col("l_suppkey").alias("interval_id"),
+            F.col("l_quantity").cast("bigint").alias("count_executions"),
+            F.floor("l_extendedprice").cast("double").alias("avg_logical_io_reads"), F.lit(1.0).alias("avg_cpu_time"), F.lit(1.0).alias("avg_duration"),
+        ),
+        "runtime_intervals": read("supplier").select(
+            both, F.col("s_suppkey").alias("interval_id"), F.lit(H.AS_OF).cast("timestamp_ntz").alias("end_time")
+        ),
+        "query_plans": read("orders").select(server("o_orderkey"), F.col("o_orderkey").alias("plan_id"), F.col("o_custkey").alias("query_id")),
+        "query_ids": read("customer").select(both, F.col("c_custkey").alias("query_id"), F.col("c_nationkey").alias("text_id")),
+        "query_texts": read("nation").select(
+            both, F.col("n_nationkey").alias("text_id"),
+            F.concat(F.lit("SELECT * FROM t"), (F.col("n_nationkey") % 7).cast("string"), F.lit(" WHERE n = "), F.col("n_nationkey").cast("string")).alias("query_text"),
+        ),
+        # server 0 has stopped capturing, server 1 is read only for another reason
+        "log_status": read("region").filter("r_regionkey < 2").select(
+            H._text("srv", F.col("r_regionkey")).alias("server"), F.lit("READ_ONLY").alias("actual_state"),
+            F.when(F.col("r_regionkey") == 0, 65536).otherwise(1).alias("readonly_reason"),
+            (F.col("r_regionkey") + 900).cast("bigint").alias("current_mb"), F.lit(1000).cast("bigint").alias("max_mb"),
+        ),
+    }
+    return tables, facts, log
+
+
+def _fleet_report(spark, sf):
+    tables, facts, log = _fleet(spark, sf)
+    return flows.table_report(flows.without_columnar(tables, facts), facts, log_inputs=log)
+
+
+@whole.query(f"""{_FLEET_SQL}, seen AS (SELECT DISTINCT server, "table" FROM evidence WHERE contains(statement_text, 'sum('))
+SELECT server, "table", candidacy_score, CASE WHEN has_columnstore THEN 0 ELSE sampled_rows END AS sampled_rows,
+  CASE WHEN has_columnstore THEN 0.0::DOUBLE ELSE pct_low END AS pct_low, CASE WHEN has_columnstore THEN 0.0::DOUBLE ELSE pct_medium END AS pct_medium,
+  row_count, {G.NOTES_SQL}, EXISTS (SELECT 1 FROM seen WHERE seen.server = fleet.server AND seen."table" = fleet."table") AS has_aggregation,
+  CASE WHEN has_columnstore THEN NULL WHEN candidacy_score >= 35 THEN 'convert'
+    WHEN candidacy_score >= 20 AND leaf_inserts > 0 AND leaf_updates = 0 AND leaf_deletes = 0 AND potential_rowgroups >= 3 THEN 'later' ELSE 'leave' END AS recommendation,
+  reads + user_updates > 0 AS is_used
+FROM fleet""")
+def fleet_candidates(spark, sf):
+    """Tables of one name on two servers are judged apart; columnar ones are not profiled."""
+    return _fleet_report(spark, sf)["candidates"].select(
+        "server", "table", "candidacy_score", "sampled_rows", "pct_low", "pct_medium", "row_count", "notes", "has_aggregation",
+        "recommendation", "is_used",
+    )
+
+
+@whole.query(f"""{_FLEET_SQL}
+SELECT server, "table", source, statement_text, execution_count, reads AS total_logical_reads FROM evidence WHERE rk <= 20""")
+def fleet_statements(spark, sf):
+    """Statements matched from the sources of the log, without those of a source that stopped capturing."""
+    return _fleet_report(spark, sf)["statements"].select(
+        "server", "table", "source", "statement_text", "execution_count", "total_logical_reads"
+    )
+
+
+@whole.query("""
+SELECT 'srv' || r_regionkey AS server, 'Workload evidence' AS category, 'Low' AS severity, 'QueryStore' AS object,
+  'Query Store is stuck READ_ONLY (using ' || (r_regionkey + 900) || ' of 1,000 MB): statements captured since are missing' AS details
+FROM region WHERE r_regionkey = 0""")
+def fleet_log_findings(spark, sf):
+    return _fleet_report(spark, sf)["log_findings"].select("server", "category", "severity", "object", "details")
+
+
+@whole.query(f"""{_FLEET_SQL}, best AS (
+SELECT "table" AS source_table, "column", ordinal, duplication_factor, distinct_values,
+  row_number() OVER (PARTITION BY "table" ORDER BY duplication_factor DESC, ordinal) AS rk FROM profile WHERE analyzed)
+SELECT server, fleet."table", rk AS rank, "column", duplication_factor, distinct_values
+FROM best JOIN fleet USING (source_table) WHERE rk <= 8 AND NOT has_columnstore""")
+def fleet_top_columns(spark, sf):
+    return _fleet_report(spark, sf)["top_columns"].select("server", "table", "rank", "column", "duplication_factor", "distinct_values")
+
+
+@whole.query(f"""{_FLEET_SQL}
+SELECT count(*) FILTER (NOT has_columnstore AND candidacy_score >= 55) AS strong,
+  count(*) FILTER (NOT has_columnstore AND candidacy_score >= 35 AND candidacy_score < 55) AS worth_testing,
+  count(*) FILTER (has_columnstore) AS already_columnar FROM fleet""")
+def fleet_portfolio(spark, sf):
+    return _fleet_report(spark, sf)["portfolio"]
+
+
 @whole.query(f"""WITH {U._GRANTS_SQL}, kept AS ({U._GROUPED_SQL.format(cap=10, where=U._RISKY)})
 SELECT CASE WHEN lower(grantee) = 'public' THEN 'High' ELSE 'Medium' END AS severity, 'Landmine' AS category,
   count(*) AS findings FROM kept GROUP BY 1
