@@ -54,11 +54,13 @@ def health_check(
     database: str = "",
     all_databases: bool = True,
     foreign: Iterable[tuple[str, Sequence[DataFrame]]] = (),
+    foreign_text: Iterable[tuple[str, DataFrame]] = (),
 ) -> dict[str, DataFrame]:
     """Every check with inputs, as one scoped and de-duplicated finding table.
 
     `foreign` are result sets of other tools, each with a server column; those
-    that do not look like findings are returned under their own name.
+    that do not look like findings are returned under their own name. `foreign_text` are rows (server, row) of
+    other tools as JSON objects, of any mixture of schemas: what is no finding is returned as '<tool> (plain)', what is no object as '<tool> (rejected)'.
     """
     at = current_state(inputs, as_of)
     has = lambda *names: all(n in at for n in names)
@@ -105,6 +107,10 @@ def health_check(
         shaped, plain = N.split_result_sets(tool, frames)
         checks += [N.normalise_findings(tool, df, keys=["server"]) for _, df in shaped]
         out.update(plain)
+    for tool, df in foreign_text:
+        parts = N.foreign_rows(tool, N.read_rows(df, keys=["server"]))
+        checks.append(parts["findings"])
+        out.update({f"{tool} ({part})": parts[part] for part in ("plain", "rejected")})
     if checks:
         out["findings"] = N.finalize(checks, database, all_databases)
     return out

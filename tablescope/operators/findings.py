@@ -136,6 +136,74 @@ def normalise_findings(source: str, df: DataFrame, keys: Sequence[str] = ()) ->
     return df.select(*keys, row.alias("f")).select(*keys, "f.*")
 
 
+def read_rows(df: DataFrame, text: str = "row", keys: Sequence[str] = ()) -> DataFrame:
+    """Result rows of unknown schema, each a JSON object in `text`: the keys, variant, shape, names, cells.
+
+    The shape is the row's sorted field names; cells are its values as text, nested ones as JSON, in the order of the names. What is no object has
+    null in all of them. Rows of any number of shapes may be mixed: no schema is asked for and none is inferred.
+    """
+    value = F.try_parse_json(F.col(f"`{text}`"))
+    entries = F.array_sort(F.map_entries(F.try_variant_get(value, "$", "map<string,string>")))
+    parsed = df.select(*keys, value.alias("variant"), entries.alias("_entries"))
+    return parsed.select(
+        *keys, F.when(F.col("_entries").isNotNull(), F.col("variant")).alias("variant"),
+        F.array_join(F.col("_entries.key"), ", ").alias("shape"), F.col("_entries.key").alias("names"), F.col("_entries.value").alias("cells"),
+    )
+
+
+def shapes_of(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Each shape of read_rows with its rows, its merged schema, and whether it looks like findings."""
+    known = rows.filter(F.col("shape").isNotNull()).withColumn("is_finding", _has("priority") | _has("title"))
+    return known.groupBy(*keys, "shape").agg(
+        F.count(F.lit(1)).alias("rows"), F.schema_of_variant_agg("variant").alias("schema"), F.first("is_finding").alias("is_finding")
+    )
+
+
+def _place(role: str) -> Column:
+    """Place of the first candidate that the row has, in any case; null if it has none."""
+    lowered = F.transform("names", F.lower)
+    places = F.array(*[F.array_position(lowered, c.lower()) for c in FINDING_ROLES[role]])
+    return F.get(F.filter(places, lambda p: p > 0), F.lit(0))
+
+
+def _has(role: str) -> Column:
+    return _place(role).isNotNull()
+
+
+def _cell(role: str) -> Column:
+    return F.get("cells", (_place(role) - 1).cast("int"))
+
+
+def foreign_rows(source: str, rows: DataFrame, keys: Sequence[str] = ("server",)) -> dict[str, DataFrame]:
+    """Result rows of any shapes (read_rows) split into findings, plain rows (keys, shape, cells by name) and rejected ones (keys).
+
+    Each row is normalised by its own fields, as normalise_findings does a result set by its columns.
+    """
+    known = rows.filter(F.col("shape").isNotNull())
+    shaped = _has("priority") | _has("title")
+    raw = F.map_from_arrays("names", "cells")
+    cells = F.transform(F.arrays_zip("names", "cells"), lambda c: F.concat(c["names"], F.lit("="), F.coalesce(c["cells"], F.lit(""))))
+    row_text = F.array_join(cells, "; ")
+    priority = F.trim(_cell("priority"))
+    whole = F.when(priority.try_cast("double") == F.floor(priority.try_cast("double")), F.floor(priority.try_cast("double")))
+    title, database = _cell("title"), _cell("database")
+    row = finding(
+        F.coalesce(_cell("category"), F.lit("")),
+        F.when(_has("priority"), severity_from_priority(F.coalesce(whole.cast("string"), priority))).otherwise("Info"),
+        F.when(~is_blank(title), title).otherwise(f"{source} finding"),
+        F.when(_has("details"), F.coalesce(_cell("details"), F.lit(""))).otherwise(row_text),
+        recommendation=_cell("recommendation"),
+        database=F.when(~is_blank(database), F.trim(database)),
+        source=source,
+        raw=raw,
+    )
+    return {
+        "findings": known.filter(shaped).select(*keys, row.alias("f")).select(*keys, "f.*"),
+        "plain": known.filter(~shaped).select(*keys, "shape", raw.alias("cells")),
+        "rejected": rows.filter(F.col("shape").isNull()).select(*keys),
+    }
+
+
 def scope_to_database(findings: DataFrame, database: str, all_databases: bool = False) -> DataFrame:
     """Keeps findings of one database and those without a database."""
     if all_databases:

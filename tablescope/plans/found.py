@@ -146,3 +146,55 @@ QUALIFY row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id) = 1""")
 def dedupe_keep_first(spark, sf):
     documents = read_table(spark, sf, "documents")
     return N.dedupe_keep_first(documents, ["doc_id"], fields=["text"]).select("doc_id", "lang", "source")
+
+
+def _text_rows(spark, sf):
+    """Orders as JSON rows of three shapes, some of them broken."""
+    key = F.col("o_orderkey")
+    price = F.floor(F.col("o_totalprice") / 1000)
+    text = (
+        F.when(key % 50 == 49, F.lit("[1, 2]")).when(key % 50 == 48, F.lit('{"Priority": '))
+        .when(key % 3 == 0, F.to_json(F.struct(
+            price.alias("Priority"), F.concat(F.lit("Order "), "o_orderstatus").alias("Finding"), F.lit("seen").alias("DETAILS"),
+            F.concat(F.lit(" "), "o_orderstatus", F.lit(" ")).alias("Database"),
+        )))
+        .when(key % 3 == 1, F.to_json(F.struct(F.lit("  ").alias("checkname"), F.col("o_custkey").alias("who"), F.struct(key.alias("id")).alias("nested"))))
+        .otherwise(F.to_json(F.struct(F.col("o_orderstatus").alias("status"), key.alias("id"))))
+    )
+    return N.read_rows(read_table(spark, sf, "orders").select(key.alias("id"), text.alias("row")), keys=["id"])
+
+
+@found.query("""
+SELECT id, category, severity, title, details, database, raw FROM (
+  SELECT o_orderkey AS id, '' AS category, 'Order ' || o_orderstatus AS title, 'seen' AS details, o_orderstatus AS database,
+    CASE WHEN p <= 50 THEN 'Critical' WHEN p <= 100 THEN 'High' WHEN p <= 150 THEN 'Medium' WHEN p <= 200 THEN 'Low' ELSE 'Info' END AS severity,
+    p || '|Order ' || o_orderstatus || '|seen| ' || o_orderstatus || ' ' AS raw
+  FROM (SELECT *, floor(o_totalprice / 1000)::BIGINT AS p FROM orders) WHERE o_orderkey % 3 = 0 AND o_orderkey % 50 < 48
+  UNION ALL SELECT o_orderkey, '', 'orders finding', 'checkname=  ; nested={"id":' || o_orderkey || '}; who=' || o_custkey, NULL, 'Info',
+    '  |' || o_custkey || '|{"id":' || o_orderkey || '}'
+  FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 50 < 48)""")
+def foreign_text_findings(spark, sf):
+    """Findings among JSON rows of mixed schemas, each normalised by its own fields."""
+    found = N.foreign_rows("orders", _text_rows(spark, sf), keys=["id"])["findings"]
+    raw = F.concat_ws("|", *[F.col("raw")[n] for n in ["Priority", "Finding", "DETAILS", "Database", "checkname", "who", "nested"]])
+    return found.select("id", "category", "severity", "title", "details", "database", raw.alias("raw"))
+
+
+@found.query("""
+SELECT CASE o_orderkey % 3 WHEN 0 THEN 'DETAILS, Database, Finding, Priority' WHEN 1 THEN 'checkname, nested, who' ELSE 'id, status' END AS shape,
+  count(*) AS rows, o_orderkey % 3 <> 2 AS is_finding,
+  CASE o_orderkey % 3 WHEN 0 THEN 'OBJECT<DETAILS: STRING, Database: STRING, Finding: STRING, Priority: BIGINT>'
+    WHEN 1 THEN 'OBJECT<checkname: STRING, nested: OBJECT<id: BIGINT>, who: BIGINT>' ELSE 'OBJECT<id: BIGINT, status: STRING>' END AS schema
+FROM orders WHERE o_orderkey % 50 < 48 GROUP BY ALL""")
+def foreign_text_shapes(spark, sf):
+    return N.shapes_of(_text_rows(spark, sf)).select("shape", "rows", "is_finding", "schema")
+
+
+@found.query("""
+SELECT 'plain' AS part, count(*) AS rows, sum(o_orderkey)::BIGINT AS checksum FROM orders WHERE o_orderkey % 3 = 2 AND o_orderkey % 50 < 48
+UNION ALL SELECT 'rejected', count(*), sum(o_orderkey)::BIGINT FROM orders WHERE o_orderkey % 50 >= 48""")
+def foreign_text_rest(spark, sf):
+    """Rows that are no findings, and rows that are no objects."""
+    parts = N.foreign_rows("orders", _text_rows(spark, sf), keys=["id"])
+    counted = lambda part, key: parts[part].agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("rows"), F.sum(key).cast("bigint").alias("checksum"))
+    return counted("plain", F.col("cells")["id"].cast("bigint")).unionByName(counted("rejected", F.col("id")))

@@ -269,3 +269,26 @@ SELECT doc_id, CASE WHEN contains(t, ',') OR contains(t, '"') THEN '"' || replac
 FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\r\\n]', ' ', 'g') AS t FROM documents)""")
 def csv_normalise(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", csv_field(F.col("text")).alias("field"))
+
+
+def _quoted_sql(text: str) -> str:
+    return f"""CASE WHEN contains({text}, ',') OR contains({text}, '"') THEN '"' || replace({text}, '"', '""') || '"' ELSE {text} END"""
+
+
+def _plain_sql(number: str, places: int) -> str:
+    return f"regexp_replace(regexp_replace(({number})::DECIMAL(18,{places})::VARCHAR, '0+$', ''), '\\.$', '')"
+
+
+@scoring.query(f"""
+SELECT concat_ws(',', id, {_quoted_sql("clean")}, {_quoted_sql("cut")}, {_plain_sql("(id % 1000) / 1024.0", 4)}, {_plain_sql("id / 8.0", 2)},
+  '"[' || id || ',' || n || ']"', '"' || lang || ', ' || source || '"') AS line
+FROM (SELECT *, CASE WHEN length(clean) > 30 THEN left(clean, 30) || '...' ELSE clean END AS cut
+  FROM (SELECT doc_id AS id, n_chars AS n, lang, source, regexp_replace(text, '[\\r\\n]', ' ', 'g') AS clean FROM documents))""")
+def csv_rows(spark, sf):
+    """Lines of the CSV sink: long statements, numbers, lists of numbers and of texts."""
+    documents = read_table(spark, sf, "documents")
+    rows = documents.select(
+        "doc_id", "text", F.col("text").alias("statement_text"), ((F.col("doc_id") % 1000) / 1024).alias("distinct_ratio"),
+        (F.col("doc_id") / 8).alias("mean"), F.array("doc_id", "n_chars").alias("numbers"), F.array("lang", "source").alias("names"),
+    )
+    return sinks.csv_lines(rows, statement_chars=30)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescope.functions.constants import SKIP_COMPUTED, SKIP_LOB
+from tablescope.functions.frames import union_all
+from tablescope.functions.widths import byte_length
 from tablescope.operators import profile as P
 from tablescope.operators import shape as S
 from tablescope.plans.registry import Registry
@@ -119,6 +121,24 @@ def top_columns(spark, sf):
     return S.top_columns(full_profile(spark, sf))
 
 
+def stored_bytes(spark, sf):
+    """Stored bytes of every column, null for nested ones: one pass over each table."""
+    parts = []
+    for table, df in read_tables(spark, sf, TABLES).items():
+        sums = df.agg(*[F.sum(byte_length(F.col(f.name), f.dataType)).alias(f.name) for f in df.schema])
+        cells = [F.struct(F.lit(c).alias("column"), F.col(c).alias("stored_bytes")) for c in df.columns]
+        parts.append(sums.select(F.lit(table).alias("table"), F.inline(F.array(*cells))))
+    return union_all(parts)
+
+
+def _bytes_sql() -> str:
+    size = {"text": "sum(strlen({c}))", "lob": "max(NULL::BIGINT)", **{k: f"nullif({w} * count({{c}}), 0)" for k, (_, w) in KINDS.items() if w}}
+    return " UNION ALL ".join(
+        f"SELECT '{table}' AS \"table\", '{c}' AS \"column\", ({size[kind].format(c=c)})::BIGINT AS stored_bytes FROM {table}"
+        for table in TABLES for c, kind in columns_of(table)
+    )
+
+
 WITH_PROFILE = f"WITH profile AS ({profile_sql()})"
 
 SIZES_SQL = f"""sizes AS (
@@ -164,6 +184,7 @@ _ORACLES = {
         < round(round(greatest(0.1, least(100.0, 100.0 * {SAMPLE_TARGET} / total)), 4) * 10000)
 ), profile AS ({profile_sql(["orders"], "sampled")}) {_PROFILE_SELECT}""",
     "case_insensitive_profile": _folded_sql(),
+    "stored_bytes": _bytes_sql(),
     "approx_profile": f"""{WITH_PROFILE}
 SELECT "table", "column", sample_rows, null_count, avg_byte_length, true AS within_a_fifth FROM profile""",
     "table_shape": f"{WITH_PROFILE} {SHAPE_SQL}",
@@ -200,6 +221,6 @@ SELECT * FROM (SELECT "table", row_number() OVER (PARTITION BY "table" ORDER BY
 shape = Registry()
 for _query in [
     column_profile, column_eligibility, sampled_profile, case_insensitive_profile, approx_profile,
-    table_shape, compressed_estimate, shape_highlights, jackpot_column, clustering_column, top_columns,
+    table_shape, compressed_estimate, shape_highlights, jackpot_column, clustering_column, top_columns, stored_bytes,
 ]:
     shape.query(_ORACLES.get(_query.__name__))(_query)

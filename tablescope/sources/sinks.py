@@ -49,12 +49,21 @@ def csv_columns(df: DataFrame, statement_chars: int | None = None) -> DataFrame:
     return df.select(*out)
 
 
+CSV = {
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "",
+    "timestampFormat": "yyyy-MM-dd HH:mm:ss", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss",
+}
+
+
+def csv_lines(df: DataFrame, statement_chars: int | None = None) -> DataFrame:
+    """Each row as the line that write_csv writes for it."""
+    plain = csv_columns(df, statement_chars)
+    return plain.select(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in plain.columns]), CSV).alias("line"))
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", statement_chars: int | None = None) -> None:
     """Quotes are doubled, nulls are empty, spaces at the ends stay; timestamps as yyyy-MM-dd HH:mm:ss."""
-    csv_columns(df, statement_chars).write.mode(mode).options(
-        header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, quote='"', escape='"', emptyValue="", nullValue="",
-        timestampFormat="yyyy-MM-dd HH:mm:ss", timestampNTZFormat="yyyy-MM-dd HH:mm:ss",
-    ).csv(path)
+    csv_columns(df, statement_chars).write.mode(mode).options(header=True, **CSV).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -121,3 +121,31 @@ def test_helpers(spark):
     assert one(~K.contains_ci(lit("x"), lit(None).cast("string"))) is True
     assert one(K.hash_bucket(lit(42))) == int(__import__("hashlib").md5(b"42").hexdigest()[:8], 16) % 1_000_000
     assert [one(K.severity_name(lit(i))) for i in range(5)] == ["Info", "Low", "Medium", "High", "Critical"]
+
+
+def test_rows_of_unknown_schema(spark, frame):
+    texts = frame(
+        "server STRING, row STRING",
+        ("s", '{"priority": "10.0", "FINDING": "bad", "databasename": " a "}'), ("s", '{"Priority": 10, "priority": 200, "CheckName": null}'),
+        ("s", '{"x": null, "y": {"z": 1}}'), ("s", "{}"), ("s", "[1]"), ("s", "nonsense"), ("s", None), ("s", ""),
+    )
+    parsed = N.read_rows(texts, keys=["server"])
+    parts = N.foreign_rows("tool", parsed)
+    assert rows(parts["findings"], "severity", "title", "details", "database") == [
+        ("Critical", "bad", "FINDING=bad; databasename= a ; priority=10.0", "a"),
+        ("Critical", "tool finding", "CheckName=; Priority=10; priority=200", None),
+    ]
+    assert rows(parts["plain"], "shape", "cells") == [("", {}), ("x, y", {"x": None, "y": '{"z":1}'})]
+    assert parts["rejected"].count() == 4
+    assert rows(N.shapes_of(parsed).filter("shape = 'x, y'"), "rows", "schema", "is_finding") == [(1, "OBJECT<x: VOID, y: OBJECT<z: BIGINT>>", False)]
+    empty = N.foreign_rows("tool", N.read_rows(texts.limit(0), keys=["server"]))
+    assert empty["findings"].count() == empty["plain"].count() == 0
+
+
+def test_health_check_takes_text_rows(spark, frame):
+    from tablescope import flows
+
+    texts = frame("server STRING, row STRING", ("s", '{"Priority": 60, "Finding": "slow"}'), ("s", '{"n": 1}'), ("s", "?"))
+    report = flows.health_check({}, "2024-01-31", foreign_text=[("tool", texts)])
+    assert rows(report["findings"], "server", "severity", "title") == [("s", "High", "slow")]
+    assert report["tool (plain)"].count() == report["tool (rejected)"].count() == 1

@@ -82,6 +82,41 @@ def test_sampled_report(spark, estate):
     assert report["candidates"].first().sampled_rows == sampled
 
 
+def test_tables_of_one_name_on_two_servers(spark, frame, estate):
+    twice = lambda df: df.unionByName(df.withColumn("server", F.lit("z")))
+    inputs = {name: twice(df) for name, df in estate.items()}
+    facts = flows.table_facts(inputs).withColumn("has_columnstore", (F.col("server") == "z") & (F.col("table_name") == "lines"))
+    constant, unique = spark.range(100).select(F.lit(1).alias("v")), spark.range(100).select(F.col("id").alias("v"))
+    unread = spark.range(1).select(F.assert_true(F.lit(False)).alias("v"))
+    tables = {("s", "dbo.orders"): constant, ("z", "dbo.orders"): unique, ("s", "dbo.lines"): unique, ("z", "dbo.lines"): unread}
+    kept = flows.without_columnar(tables, facts)
+    assert set(kept) == set(tables) - {("z", "dbo.lines")}
+    report = flows.table_report(kept, facts, index_inputs=inputs, row_counts={("s", "dbo.orders"): 100, ("z", "dbo.orders"): 100}, sample_target=40)
+    shown = rows(report["candidates"], "server", "table", "pct_medium", "notes")
+    assert [(s, t, p > 0) for s, t, p, _ in shown] == [
+        ("s", "dbo.lines", False), ("s", "dbo.orders", True), ("z", "dbo.lines", False), ("z", "dbo.orders", False),
+    ]
+    assert shown[2][3] == "Already has a columnstore index" and "columnstore index" not in shown[0][3]
+    assert rows(report["columns"], "server", "table", "sample_percent") == [("s", "dbo.lines", None), ("s", "dbo.orders", 40.0), ("z", "dbo.orders", 40.0)]
+    assert rows(report["portfolio"], "already_columnar") == [(1,)]
+    assert report["digests"].count() == 4 and report["dead_indexes"].count() == 2
+    with pytest.raises(ValueError):
+        flows.table_report({"dbo.orders": constant, ("s", "dbo.orders"): constant}, facts)
+
+
+def test_statement_evidence(spark, frame):
+    stats = frame("statement_stats", ("s", "x", "h", 1, 2, 3000, 4000, AS_OF, 0, -1)).drop("source")
+    inputs = {
+        "statement_stats": stats, "batch_texts": frame("batch_texts", ("s", "h", "select a")),
+        "query_log": frame("query_log", ("s", "QueryStore", 1, 9, 1.0, 1.0, AS_OF, "select b"), ("z", "QueryStore", 1, 9, 1.0, 1.0, AS_OF, "select c")),
+        "log_status": frame("log_status", ("s", "READ_ONLY", 65536, 5, 10), ("z", "READ_ONLY", 1, 5, 10), ("y", "OFF", 0, 5, 10)),
+    }
+    log, said = flows.statement_evidence(inputs)
+    assert rows(log, "server", "source", "statement_text") == [("s", "PlanCache", "select a"), ("z", "QueryStore", "select c")]
+    assert rows(said, "server", "severity", "object") == [("s", "Low", "QueryStore")]
+    assert flows.statement_evidence({}) == (None, None)
+
+
 def test_access_audit(frame):
     from test_access import catalog, logins, users
 
