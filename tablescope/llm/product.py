@@ -2,7 +2,8 @@
 
 An inverted list per coarse centre; within a list a vector is a code: per subspace of its residual, the nearest
 codeword. A query probes each list whose cell lies within `margin` of it, as a share of the distance that
-still links (to the plane between its own centre and the list's), so there is no fixed number of probes, and at 1 no link is lost. In a list, the
+still links (to the plane between its own centre and the list's), so there is no fixed number of probes, and at 1 no link is lost. Of
+these it goes only to lists where its label has members whose distances from the centre differ from its own by that distance at most: others cannot link. In a list, the
 distance from the query to each code is summed from tables. By the triangle inequality, a member whose code is farther than the linking
 distance plus its own quantisation error cannot link; all others are compared exactly, by cosine in double precision.
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.llm.common import components, written
-from tablescope.llm.vectors import cosines, kmeans, nearest, norms, sample, stacked, usable
+from tablescope.llm.vectors import PRODUCTS, cosines, kmeans, nearest, norms, sample, stacked, usable
 
 
 @dataclass
@@ -42,30 +43,32 @@ def fit(x: np.ndarray, lists: int, subspaces: int, words: int) -> Quantiser:
     return Quantiser(centres, cuts, [kmeans(rest[:, a:b], words, 6, 2 + a) for a, b in zip(cuts, cuts[1:])])
 
 
-def probes(x: np.ndarray, centres: np.ndarray, margin: float) -> list[np.ndarray]:
-    """Per unit vector the lists whose cells lie within `margin` of it; its own list is first."""
+def probes(x: np.ndarray, centres: np.ndarray, margin: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per unit vector the lists whose cells lie within `margin` of it, its own list first, and its distances from their centres."""
     squares = ((centres * centres).sum(1) - 2 * x @ centres.T) + 1
     own = squares.argmin(1)
-    apart = np.sqrt(np.maximum(((centres[:, None] - centres[None]) ** 2).sum(-1), 0)) if len(centres) <= 512 else None
-    out = []
+    between = {c: norms(centres - centres[c]) for c in np.unique(own)}
+    lists, far = [], []
     for i, c in enumerate(own):
-        between = apart[c] if apart is not None else norms(centres - centres[c])
-        within = squares[i] - squares[i, c] <= 2 * margin * between + 1e-9
+        within = squares[i] - squares[i, c] <= 2 * margin * between[c] + 1e-9
         within[c] = False
-        out.append(np.append(c, np.flatnonzero(within)))
-    return out
+        lists.append(np.append(c, np.flatnonzero(within)))
+        far.append(norms(centres[lists[-1]] - x[i]))
+    return lists, far
 
 
 def assign(classes: DataFrame, model: Quantiser, margin: float) -> DataFrame:
-    """id, vector, ... -> lists (own list first), code, error."""
+    """id, vector, ... -> lists (own list first), far (distances from their centres), code, error."""
+
+    step = max(1, min(4096, PRODUCTS // len(model.centres)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
                 x = np.array(part.column("vector").to_pylist(), dtype=np.float64)
                 x /= norms(x)[:, None]
-                lists = probes(x, model.centres, margin)
+                lists, far = probes(x, model.centres, margin)
                 rest = x - model.centres[[own[0] for own in lists]]
                 codes, error = [], 0.0
                 for (a, b), words in zip(zip(model.cuts, model.cuts[1:]), model.words):
@@ -76,14 +79,15 @@ def assign(classes: DataFrame, model: Quantiser, margin: float) -> DataFrame:
                     [
                         *part.columns,
                         pa.array(lists, pa.list_(pa.int32())),
+                        pa.array(far, pa.list_(pa.float64())),
                         pa.array(list(np.stack(codes, 1).astype(np.int32)), pa.list_(pa.int32())),
                         pa.array(np.sqrt(error)),
                     ],
-                    names=[*part.schema.names, "lists", "code", "error"],
+                    names=[*part.schema.names, "lists", "far", "code", "error"],
                 )
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
-    return classes.mapInArrow(run, f"{schema}, lists array<int>, code array<int>, error double")
+    return classes.mapInArrow(run, f"{schema}, lists array<int>, far array<double>, code array<int>, error double")
 
 
 def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -142,25 +146,26 @@ def near_duplicates(
     roots = components(found.filter("b IS NOT NULL").select("a", "b")).toDF("id", "root")
     known = classes.select("id", "size", "label", F.col("vector").alias("_v")).join(counts, "id", "left").join(roots, "id", "left")
     known = known.select("label", "_v", F.coalesce("root", "id").alias("_root"), (F.coalesce("linked", F.lit(0)) + F.col("size") - 1).alias("_n"))
-    keyed = keyed.withColumn("_v", F.col("vector").cast("array<double>"))
-    return keyed.join(known, ["label", "_v"], "left").select(
-        "vec_id",
-        F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("_root", "vec_id").alias("component_id"),
-        F.col("vec_id").eqNullSafe(F.coalesce("_root", "vec_id")).alias("kept"),
+    # rows that take no part have no key to be joined by
+    alone = keyed.filter("vector IS NULL").select("vec_id", F.lit(0).cast("long").alias("_n"), F.col("vec_id").alias("_root"))
+    joined = keyed.filter("vector IS NOT NULL").withColumn("_v", F.col("vector").cast("array<double>")).join(known, ["label", "_v"], "left")
+    joined = joined.select("vec_id", F.coalesce("_n", F.lit(0)).alias("_n"), F.coalesce("_root", "vec_id").alias("_root"))
+    return joined.unionByName(alone).select(
+        "vec_id", F.col("_n").cast("long").alias("n_links"), F.col("_root").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("_root")).alias("kept")
     )
 
 
 def _links(coded: DataFrame, model: Quantiser, least: float, reach: float, block: int) -> DataFrame:
     """a, b, n: a forest of links (n null), and per block the size of what a query links to (b null)."""
-    members = coded.withColumn("list", F.get("lists", F.lit(0)))
-    queries = coded.withColumn("list", F.explode("lists"))
+    members = coded.withColumn("list", F.get("lists", F.lit(0))).withColumn("_far", F.get("far", F.lit(0)))
+    queries = coded.withColumn("_at", F.explode(F.arrays_zip("lists", "far"))).withColumns({"list": F.col("_at.lists"), "_far": F.col("_at.far")})
     key = ["label", "list"]
-    sizes = (
-        members.select(*key, F.lit(1).alias("m"), F.lit(0).alias("q")).unionByName(queries.select(*key, F.lit(0).alias("m"), F.lit(1).alias("q")))
-        .groupBy(*key).agg(F.ceil(F.sum("m") / block).cast("long").alias("m"), F.ceil(F.sum("q") / block).cast("long").alias("q"))
-        .filter("m > 0")
-    )
+    held = members.groupBy(*key).agg(
+        F.ceil(F.count("*") / block).cast("long").alias("m"), F.min("_far").alias("_least"), F.max("_far").alias("_most")
+    )
+    queries = queries.join(held, key).filter(F.col("_far").between(F.col("_least") - reach - 1e-9, F.col("_most") + reach + 1e-9)).drop("m", "_least", "_most")
+    asked = queries.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("long").alias("q"))
+    sizes = held.select(*key, "m").join(asked, key)
     at = F.xxhash64("id")
     members = members.join(sizes, key).select(
         *key, F.pmod(at, "m").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1)).alias("j"),

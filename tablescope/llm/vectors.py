@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Products held at once: 32 MB of doubles.
+PRODUCTS = 1 << 22
+
 
 def usable(vector: Column) -> Column:
     """Not null or empty, all components finite, not all zero; squares must neither vanish nor overflow in doubles."""
@@ -54,4 +57,8 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return (x @ centres.T - 0.5 * (centres * centres).sum(1)).argmax(1)
+    """Row by row the nearest centre, for so many rows at once that their products with all centres stay small."""
+    half = 0.5 * (centres * centres).sum(1)
+    step = max(1, PRODUCTS // max(1, len(centres)))
+    found = [(x[i : i + step] @ centres.T - half).argmax(1) for i in range(0, len(x), step)]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
