@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tablescope.llm.common import Parts, blocks, texts
+from tablescope.llm.common import Parts, blocks, remembered, texts
 
 NONE = np.iinfo(np.int64).max
 SHORT = 64
@@ -183,14 +183,9 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids.split(","))) if ids else b""
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """One codec per Python worker: the rank file is read once."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    return remembered(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, digests: bool = False) -> DataFrame:

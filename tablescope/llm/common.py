@@ -98,8 +98,27 @@ def chunks(text: str) -> list[str]:
     return _BEFORE_WORD.split(text) if _ODD_SPACE.search(text) else text.split(" ")
 
 
+_TOOL: dict[tuple, object] = {}
+
+
+def remembered(key: tuple, make: Callable[[], object]) -> object:
+    """What `make` gives, kept by a Python worker beyond its task, until another tool takes its place."""
+    if key not in _TOOL:
+        made = make()
+        _TOOL.clear()
+        _TOOL[key] = made
+    return _TOOL[key]
+
+
 def gc_rarely() -> None:
-    """Remembered values hold no cycles; looking for some again and again costs a third of the time."""
+    """Remembered values hold no cycles; looking for some again and again costs a third of the time.
+
+    Called where a tool starts: what an earlier stage's tool remembered in this worker goes first.
+    """
+    if _TOOL:
+        _TOOL.clear()
+        gc.unfreeze()
+    gc.collect()  # garbage would be frozen for good
     gc.freeze()
     gc.set_threshold(1_000_000, 50, 100)
 

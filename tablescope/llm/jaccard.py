@@ -46,19 +46,16 @@ class Shingler:
 
     def __init__(self, n: int) -> None:
         gc_rarely()
-        self.n, self.words = n, {}
+        self.n = n
 
     def hashes(self, text: str) -> np.ndarray:
         """Hash of each word."""
         return self.of_words(text.encode("utf-8", "surrogatepass").lower().split())
 
-    def of_words(self, found: list[bytes]) -> np.ndarray:
-        known = self.words
-        if len(known) > CACHED:
-            known.clear()
-        for w in set(found).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+    @staticmethod
+    def of_words(found: list[bytes]) -> np.ndarray:
+        """Hashed anew each time: looking a word up among many takes longer, and memory."""
+        return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
 
     def shingles(self, text: str) -> np.ndarray:
         """Sorted distinct hashes; fewer than n words are one shingle, none are none."""

@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tablescope.llm.common import Parts, blocks, chunks, gc_rarely, texts
+from tablescope.llm.common import Parts, blocks, chunks, gc_rarely, remembered, texts
 
-CACHED = 1_200_000
+#: Parts that an encoder remembers, and ids of each on average.
+CACHED, IDS = 500_000, 8
 #: The printable character that stands for each byte in the vocabulary: itself, or the next one from 256 on.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
 SHOWN = np.arange(256, dtype="<u4")
@@ -45,7 +46,7 @@ class Encoder:
     """Token ids of texts.
 
     A text is cut at its spaces into parts, and every part seen lately has a number: its ids lie in one flat array, so
-    a block of texts costs one look-up per part and one gather. The tokenizer's own pre-tokenizer cuts what is no plain word, its own
+    a block of texts costs one look-up per part and one gather. Of too many parts, those used most stay. The tokenizer's own pre-tokenizer cuts what is no plain word, its own
     model encodes each match once. Texts that hold a special token's string go through the tokenizer whole.
     """
 
@@ -57,12 +58,25 @@ class Encoder:
         self.tool = Tokenizer.from_file(path)
         self.cut, self.model = self.tool.pre_tokenizer.pre_tokenize_str, self.tool.model
         self.special = [t.content for t in self.tool.get_added_tokens_decoder().values()]
-        self.clear()
-
-    def clear(self) -> None:
         self.parts, self.pieces = _Numbers(), {}
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.starts, self.sizes, self.uses = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _forget(self) -> None:
+        """Keeps the parts used most, half of what may be held; uses count half from then on."""
+        often = np.argsort(-self.uses, kind="stable")[: CACHED // 2]
+        often = np.sort(often[np.cumsum(self.sizes[often]) <= CACHED * IDS // 2])
+        names = list(self.parts)
+        self.parts = _Numbers(zip(map(names.__getitem__, often.tolist()), range(len(often))))
+        self.flat = self._gathered(often)
+        self.sizes, self.uses, self.used = self.sizes[often], self.uses[often] // 2, len(self.flat)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _gathered(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of these parts, one after another."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[numbers] - ends + sizes, sizes)]
 
     def _matches(self, text: str) -> list[str]:
         return [text[a:b] for _, (a, b) in self.cut(text)]
@@ -75,12 +89,13 @@ class Encoder:
         tokens, end = self.model.tokenize, 0
         for match, r in zip(new, raw):
             first, end = end, end + len(r)
-            self.pieces[match] = array("I", [t.id for t in tokens(shown[first:end])])
+            self.pieces[match] = array("I", [t.id for t in tokens(shown[first:end])]).tobytes()
 
     def _learn(self) -> None:
         """Stores the ids of parts that were numbered but not encoded yet."""
-        cut = []  # per part, its matches; the space before it belongs to the first
-        for part in islice(self.parts, len(self.starts), None):
+        cut = []  # per part, its matches; the space before it belongs to the first. Words that are parts themselves come as their ids
+        known, flat, starts, sizes = len(self.starts), self.flat, self.starts, self.sizes
+        for part in islice(self.parts, known, None):
             if part.isalpha():
                 cut.append((" " + part,))
                 continue
@@ -88,36 +103,41 @@ class Encoder:
             lines = part.split("\n")
             stems = [line.rstrip(Parts.MARKS) for line in lines]
             if len(lines) <= 2 and all(map(str.isalpha, stems)):
-                own = [" " + stems[0], lines[0][len(stems[0]) :]]
+                at = self.parts.get(stems[0], known)
+                first = " " + stems[0] if at >= known else flat[starts[at] : starts[at] + sizes[at]].tobytes()
+                own = [first, lines[0][len(stems[0]) :]]
                 if len(lines) == 2:
                     own += ["\n", stems[1], lines[1][len(stems[1]) :]]
                 cut.append([m for m in own if m])
             else:
                 cut.append(self._matches(" " + part))
-        self._encoded(chain.from_iterable(cut))
+        self._encoded(m for c in cut for m in c if isinstance(m, str))
         piece = self.pieces.__getitem__
-        new = [piece(c[0]) if len(c) == 1 else sum(map(piece, c), array("I")) for c in cut]
-        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        new = [piece(c[0]) if len(c) == 1 else b"".join(m if isinstance(m, bytes) else piece(m) for m in c) for c in cut]
+        sizes = np.fromiter(map(len, new), np.int64, len(new)) // 4
         starts = self.used + np.cumsum(sizes) - sizes
-        self.used += int(sizes.sum())
-        while self.used > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used - int(sizes.sum()) : self.used] = np.frombuffer(b"".join(x.tobytes() for x in new), np.uint32)
+        first, self.used = self.used, self.used + int(sizes.sum())
+        if self.used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(self.used - len(self.flat), 1 << 18), np.uint32)])
+        self.flat[first : self.used] = np.frombuffer(b"".join(new), np.uint32)
         self.starts, self.sizes = np.append(self.starts, starts), np.append(self.sizes, sizes)
+        self.uses = np.append(self.uses, np.zeros_like(sizes))
 
     def encode(self, some: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.parts) > CACHED:
-            self.clear()
+        if len(self.parts) > CACHED or self.used > CACHED * IDS:
+            self._forget()
+        if len(self.pieces) > CACHED // 2:
+            self.pieces.clear()
         whole = {i for i, t in enumerate(some) if any(s in t for s in self.special)}
         cut = [[""] if i in whole else chunks(t) for i, t in enumerate(some)]
         parts = list(chain.from_iterable(c[1:] for c in cut))
         numbers = np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
         if len(self.parts) > len(self.starts):
             self._learn()
-        sizes = self.sizes[numbers]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[numbers] - ends + sizes, sizes)].astype("<u4")
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
+        ends = np.cumsum(self.sizes[numbers])
+        ids = self._gathered(numbers).astype("<u4")
         stops = np.append(0, ends)[np.cumsum([len(c) - 1 for c in cut])] if len(cut) else []
         heads = [self._matches(c[0]) for c in cut]
         self._encoded(chain.from_iterable(heads))
@@ -126,19 +146,14 @@ class Encoder:
             if i in whole:
                 head = np.array(self.tool.encode(some[i], add_special_tokens=False).ids, "<u4")
             else:
-                head = np.array([x for m in heads[i] for x in self.pieces[m]], "<u4")
+                head = np.frombuffer(b"".join(self.pieces[m] for m in heads[i]), np.uint32).astype("<u4")
             out.append(head.tobytes() + ids[first:stop].tobytes())
             first = stop
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return remembered(("encoder", path), lambda: Encoder(path))
 
 
 class SumOfSquares:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import weakref
 import zlib
 from collections import defaultdict
 from fractions import Fraction
@@ -86,6 +87,39 @@ def test_packing_holds_every_id_once(spark, odd):
     assert sum(r.doc_tokens == 1 for r in rows) == 3 and sum(r.length for r in rows if r.doc_id == 4) == 2 + 2 + 2
 
 
+def test_encoder_keeps_what_is_used_most(monkeypatch):
+    """Few parts and matches are held, texts of one word included, and ids stay those of the library."""
+    monkeypatch.setattr(packing, "CACHED", 60)
+    r = random.Random(8)
+    tool = packing.Encoder(tokenizer_path("byte_bpe_50k.json"))
+    for block in range(40):
+        some = [" ".join(r.choice(["the", "of.", "of.\nThe", f"w{r.randrange(9**6)}", f"Wört{r.randrange(9**4)};"]) for _ in range(20)) for _ in range(3)]
+        some += ODD
+        wanted = [tool.tool.encode(t or "", add_special_tokens=False).ids for t in some]
+        assert [np.frombuffer(x, "<u4").tolist() for x in tool.encode([t or "" for t in some])] == wanted
+        assert len(tool.parts) <= 60 + 200
+    assert "the" in tool.parts and "of." in tool.parts
+    for block in range(40):
+        tool.encode(["".join(r.choices("abcdefghij", k=12)) for _ in range(30)])
+    assert len(tool.pieces) < 400
+
+
+@pytest.mark.parametrize("other", [lambda: jaccard.Shingler(3), lambda: suffixes.Sequences(), lambda: language.Scorer(language.Model([], [], np.zeros((1, 0)), 4))])
+def test_another_stage_releases_what_the_encoder_remembers(other):
+    path = tokenizer_path("byte_bpe_50k.json")
+    tool = weakref.ref(packing.encoder(path))
+    assert packing.encoder(path) is tool()
+    other()
+    assert tool() is None
+
+
+def test_word_hashes_are_not_remembered():
+    tool = jaccard.Shingler(3)
+    before = {k: v for k, v in vars(tool).items()}
+    tool.shingles(prose(200, 1))
+    assert vars(tool) == before == {"n": 3}
+
+
 def test_level_array_minimises_squares():
     packer = packing.SumOfSquares(10, 100, 0)
     r = random.Random(3)
