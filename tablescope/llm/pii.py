@@ -35,8 +35,10 @@ from tablescope.llm.common import blocks, chunks, gc_rarely, numbered, texts, wr
 KINDS = ("email", "ip", "card", "phone")
 CACHED = 400_000
 SENT = 100_000
-#: Cells of the tables that keep most other words and pairs out of the counts; their size is fixed, whatever the data.
+#: Cells of the table that keeps most other pairs out of the counts, and least size of the filter of words; fixed, whatever the data.
 FILTER_BITS = 1 << 20
+#: Bits per candidate term of the filter of words, and the most it has (2 MB): as many other words pass for each candidate, however many there are.
+TERM_BITS, MOST_BITS = 64, 1 << 24
 #: Steps per doubling of a count in such a cell.
 STEPS = 4
 
@@ -189,18 +191,36 @@ def find_spans(docs: DataFrame, reach: int = 6) -> DataFrame:
     )
 
 
+def _term_filter(terms: DataFrame) -> bytes:
+    """A bit for each `term`, by its hash; other terms share few of them."""
+    terms = written(terms.select("term").distinct(), "terms")
+    size, least = FILTER_BITS, min(MOST_BITS, terms.count() * TERM_BITS)
+    while size < least:
+        size *= 2
+    at = terms.select(F.pmod("term", F.lit(size)).cast("int").alias("bit"))
+    found = at.groupBy(F.expr("bit >> 3").alias("at")).agg(F.bit_or(F.expr("1 << (bit & 7)")).alias("x")).toArrow()
+    bits = np.zeros(size // 8, np.uint8)
+    bits[found.column("at").to_numpy()] = found.column("x").to_numpy()
+    return bits.tobytes()
+
+
 def _counted(docs: DataFrame, bits: bytes) -> DataFrame:
-    """term, n: documents that hold each candidate term (and some others that the filter lets through)."""
+    """term, n_term: documents that hold each candidate term (and some others that the filter lets through)."""
+    return _term_rows(docs, bits).groupBy("term").agg(F.sum("n").alias("n_term"))
+
+
+def _term_rows(docs: DataFrame, bits: bytes) -> DataFrame:
+    """term, n: the same, combined within each task."""
+    size = 8 * len(bits)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc_rarely()
         known: dict[str, tuple] = {}
-        wanted = np.unpackbits(np.frombuffer(bits, np.uint8)).tobytes()
         counts: Counter = Counter()
 
         def found(part: str) -> tuple:
             hashes = map(_hash, [part.lower()] if part.isalpha() else [w.lower() for w in _TERM.findall(part)])
-            return tuple(h for h in hashes if wanted[h % FILTER_BITS])
+            return tuple(h for h in hashes if bits[h % size >> 3] >> (h & 7) & 1)
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"term": pa.array(list(counts), pa.int64()), "n": pa.array(list(counts.values()), pa.int64())})
@@ -218,7 +238,7 @@ def _counted(docs: DataFrame, bits: bytes) -> DataFrame:
                 counts.clear()
         yield out()
 
-    return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    return docs.select("text").mapInArrow(run, "term long, n long")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -266,7 +286,7 @@ def _candidates(docs: DataFrame, held: DataFrame, live: DataFrame, total: int, a
     groups = held.select("text_key", F.explode("entities").alias("entity")).join(live, "entity").select("text_key", "held", "n_entity").distinct()
     wanted = written(groups.groupBy("text_key").agg(F.collect_list(F.struct("held", "n_entity")).alias("live")), "wanted")
     keyed = _keyed(docs).join(wanted, "text_key")
-    counts = written(_counted(keyed, b"\xff" * (FILTER_BITS // 8)).withColumnRenamed("n_term", "n_live"), "counts")
+    counts = written(_counted(keyed, b"\xff").withColumnRenamed("n_term", "n_live"), "counts")
     least = counts.groupBy(F.pmod("term", F.lit(FILTER_BITS)).alias("cell")).agg(F.min("n_live").alias("n")).toArrow()
     # the least count of a cell's terms, rounded down: a pair that is left out cannot pass
     rare = np.zeros(FILTER_BITS, np.uint8)
@@ -321,10 +341,7 @@ def term_spans(docs: DataFrame, spans: DataFrame, alpha: float = 1.25, support:
         .select("held", "term", "n_both", "n_entity"),
         "pairs",
     )
-    places = pairs.select(F.pmod("term", F.lit(FILTER_BITS)).cast("int").alias("bit")).distinct().toArrow()
-    wanted = np.zeros(FILTER_BITS, np.uint8)
-    wanted[places.column("bit").to_numpy()] = 1
-    scored = pairs.join(_counted(docs, np.packbits(wanted).tobytes()), "term")
+    scored = pairs.join(_counted(docs, _term_filter(pairs)), "term")
     # a term that is independent of an entity in every document (IC 0) tells nothing of it
     passed = scored.filter((pmi("n_term") >= least) & (pmi("n_term") > 0)).select("held", "term")
     found = written(candidates.join(passed, ["held", "term"]).groupBy("text_key").agg(F.collect_set("term").alias("own")), "found")

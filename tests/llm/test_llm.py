@@ -334,6 +334,20 @@ def test_lists_of_entities_are_one_group(spark, monkeypatch):
     assert 9_000 <= counted[0][0].count() <= 20_000
 
 
+def test_filter_of_words_grows_with_the_terms(spark, monkeypatch):
+    """With a small filter to begin with, few words beside the candidates are counted, and the terms found are the same."""
+    letters = str.maketrans("0123456789", "abcdefghij")
+    texts = {i: f"{prose(80, i)} zed@mail.example.com" if i < 3 else prose(80, i) for i in range(60)}
+    texts = {i: (t + " " + prose(40, 500)).translate(letters) if i < 3 else t.translate(letters) for i, t in texts.items()}
+    monkeypatch.setattr(pii, "FILTER_BITS", 256)
+    bits, plain = [], pii._counted
+    monkeypatch.setattr(pii, "_counted", lambda docs, b: bits.append(b) or plain(docs, b))
+    rows = pii.detect(spark.createDataFrame(list(texts.items()), "doc_id LONG, text STRING")).collect()
+    filled = np.unpackbits(np.frombuffer(bits[1], np.uint8))
+    assert filled.sum() > 30 and filled.mean() <= 1 / 32
+    assert {r.doc_id: {(s.start, s.end) for s in r.all_spans if s.kind == 4} for r in rows} == brute_terms(texts)
+
+
 def test_pii_of_odd_rows(odd, empty):
     assert pii.detect(odd).count() == odd.count() and pii.detect(empty).count() == 0
     back = pii.sanitise(odd)
